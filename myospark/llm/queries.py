@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from myospark.llm import cotraining, secrets, sharding, simhash, toxicity, winnowing
+from myospark.llm import cotraining, crossentropy, secrets, sharding, simhash, toxicity, winnowing
 from myospark.session import read
 
 
@@ -17,6 +17,7 @@ def over_documents(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkS
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": lambda spark, sf_dir: cotraining.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
+        "op2_lm_score": lambda spark, sf_dir: crossentropy.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
         "op5_simhash": over_documents(simhash.simhash_report),
         "op6_sharding": over_documents(sharding.shard_report),
         "op7_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.ORACLE_SQL}
+    return {"op2_lm_score": crossentropy.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL}
