@@ -44,16 +44,18 @@ def sampled_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataF
 
 
 class Known(dict):
-    """Token -> what `of` makes of it; forgets all when full."""
+    """Token -> what `of` makes of it. When full, it forgets what wasn't asked for since it was last full."""
 
     def __init__(self, of: Callable[[str], object], most: int = REMEMBERED):
         super().__init__()
-        self.of, self.most = of, most
+        self.of, self.most, self.old = of, most, {}
 
     def __missing__(self, token: str) -> object:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[token] = out = self.of(token)
+        out = self.old.get(token)
+        self[token] = out = self.of(token) if out is None else out
         return out
 
 

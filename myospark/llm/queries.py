@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from myospark.llm import cotraining, crossentropy, secrets, sharding, simhash, toxicity, winnowing
+from myospark.llm import cotraining, crossentropy, packing, secrets, sharding, simhash, toxicity, winnowing
 from myospark.session import read
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": over_documents(sharding.shard_report),
         "op7_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
         "op8_fingerprints": over_documents(winnowing.compare_edits),
+        "op9_packing": over_documents(packing.packing_report),
         "op10_secrets": over_documents(secrets.secret_report),
     }
 
