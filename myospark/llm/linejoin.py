@@ -7,7 +7,8 @@ the symmetric difference (a parity sketch) leave few pairs. What they connect is
 
 A line is removed if a line before it, in the order of (doc_id, line number), is similar to it. Equal sets are one
 class; links are counted between classes. Lines without words are never removed. A null text has no lines; rows with a
-null doc_id come first; rows that share a doc_id are taken for one document. An empty table gives an empty table.
+null doc_id come first, and keep all their lines; rows that share a doc_id are taken for one document. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -330,7 +331,7 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     """docs without the removed lines; documents that lose all their words go, as every line of theirs is elsewhere."""
     found = similar_lines(docs)
     lost = found.where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("_lost")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("_id"), "left")
     kept = F.filter(F.split("text", "\n"), lambda _line, i: ~F.array_contains("_lost", i))
     text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     blank = F.col("_lost").isNotNull() & ~text.rlike(r"[^\x20\x09-\x0D]")

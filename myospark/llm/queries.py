@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from myospark.llm import cotraining, crossentropy, linejoin, packing, secrets, sharding, simhash, toxicity, winnowing
+from myospark.llm import cotraining, crossentropy, decontamination, linejoin, packing, secrets, sharding, simhash, toxicity, winnowing
 from myospark.session import read
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": lambda spark, sf_dir: cotraining.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
         "op2_lm_score": lambda spark, sf_dir: crossentropy.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
+        "op3_decontamination": lambda spark, sf_dir: decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
         "op4_line_dedup": over_documents(linejoin.line_report),
         "op5_simhash": over_documents(simhash.simhash_report),
         "op6_sharding": over_documents(sharding.shard_report),
