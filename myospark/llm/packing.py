@@ -181,7 +181,7 @@ def deal(rest: DataFrame, shard_tokens: int) -> DataFrame:
     """rest with `shard`: by least shingle hash, and by row where the documents of one range exceed the bound."""
     total = rest.agg(F.sum("length")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    ranged = rest.withColumn("range", F.floor(F.col("near") * F.lit(shards) / F.lit(float(1 << 31))))
+    ranged = rest.withColumn("range", F.floor(F.col("near").cast("double") * F.lit(float(shards)) / F.lit(float(1 << 31))))
     large = ranged.groupBy("range").agg(F.ceil(F.sum("length") / F.lit(1.5 * shard_tokens)).alias("splits")).where("splits > 1")
     large = F.broadcast(large) if large.count() <= BROADCAST_RANGES else large
     split = F.pmod(F.xxhash64("row"), F.coalesce("splits", F.lit(1)))
