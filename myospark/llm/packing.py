@@ -5,7 +5,7 @@ bounded size, each with its own BM25 inverted index over token ids. In a shard,
 index returns its unused neighbours, best first, which fill the window greedily; the neighbour that overflows is cut,
 and its rest opens the next window. So only a shard's last window has padding.
 
-Shards keep documents together that share token shingles (by their least hash), so copies and overlapping texts are
+Shards keep documents together that share token shingles (by the least hash of the whole text), so copies and overlapping texts are
 neighbours; a shard above the bound is split by document. Document frequencies are counted over all remainders.
 
 A null text is an empty one (its only token is the end). Null ids and repeated rows are packed like others. An empty
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from myospark.llm.linear import Known
+from myospark.llm.words import Splitter, mix, pieces, powers
 from myospark.session import cut, ensure_workers
 
 WINDOW, END = 4096, 2
@@ -36,49 +37,131 @@ K1, B, QUERY_TERMS = 1.2, 0.75, 32
 SHINGLE = 8
 #: Ranges that are split are broadcast up to this number.
 BROADCAST_RANGES = 100_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers (30 bytes each); bytes of texts encoded together, about.
+REMEMBERED, ENCODED = 3_000_000, 1 << 21
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, score double"
 
 
+#: ASCII characters that are neither letters, digits nor blanks.
+MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+#: The byte-level alphabet: printable bytes stand for themselves, the others, in turn, for characters from 256 on.
+PRINTABLE = [i for i in range(256) if 33 <= i <= 126 or 161 <= i and i != 173]
+ALPHABET = {i: i for i in PRINTABLE} | {b: 256 + n for n, b in enumerate(i for i in range(256) if i not in PRINTABLE)}
+#: Words on which the short way must agree with the tokenizer before it is taken.
+PROBES = ["the", "École", "straße", "Ñandú", "antidisestablishment", "qqzx", "Über!?", "word,"]
+
+
+class Table:
+    """Ids of words by hash: a large sorted part and a small one, looked up by sorted hashes."""
+
+    def __init__(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.parts = [(none.astype(np.uint64), none, none)] * 2
+        self.flat = np.zeros(0, np.uint16)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin in `flat`, and how many there are; -1 for unknown words."""
+        first, n = np.zeros(len(values), np.int64), np.full(len(values), -1, np.int64)
+        for h, f, k in self.parts:
+            if len(h):
+                at = np.minimum(np.searchsorted(h, values), len(h) - 1)
+                hit = h[at] == values
+                first[hit], n[hit] = f[at[hit]], k[at[hit]]
+        return first, n
+
+    def add(self, values: np.ndarray, found: list[bytes]) -> None:
+        if len(self.parts[0][0]) > REMEMBERED:  # forget all but the latest
+            self.__init__()
+        n = np.array([len(f) // 2 for f in found], np.int64)
+        new = values, len(self.flat) + np.cumsum(n) - n, n
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found) or b"", np.uint16)])
+        self.parts[1] = self._merged(self.parts[1], new)
+        if 4 * len(self.parts[1][0]) > len(self.parts[0][0]):
+            self.parts = [self._merged(*self.parts), tuple(x[:0] for x in self.parts[1])]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(both[0])
+        return tuple(x[order] for x in both)
+
+
 class Encoder:
-    """Token ids of texts. Blanks and line feeds part tokens, so the ids of what stands between them are remembered."""
+    """Token ids of texts. Blanks and line feeds part tokens, so the ids of what stands between them are remembered.
+
+    Words of Latin letters go to the tokenizer's model without its normaliser and regular expressions: in lower case, in
+    the byte-level alphabet, and apart from the marks behind them. If that isn't what the tokenizer does, all go through it.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        known = self.known = Known(self.word, REMEMBERED)
-        self.encode, self.get = tokenizer.encode, known.__getitem__
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.marks: dict[str, bytes] = {}
+        self.short = True
+        self.short = all(self.word(w) == self.whole(w) for w in PROBES)
+        self.table = Table()
+        self.splitter = Splitter(~np.isin(np.arange(256), [32, 10]), lower=False)
 
-    def word(self, word: str) -> bytes:
-        if word[-1:] in (".", ",") and word[:-1].isalpha():  # the tokenizer parts letters from marks
-            return self.get(word[:-1]) + self.get(word[-1])
-        if word.isascii() and word.isalpha() and not word.islower():  # it makes them lower case
-            return self.get(word.lower())
-        return np.array(self.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+    def whole(self, word: str) -> bytes:
+        return array("H", self.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def of(self, text: str | None) -> bytes:
-        """16-bit ids, with the end."""
-        words = (text or "").replace("\n", " ").split(" ")
-        return b"".join(map(self.get, words)) + b"\x02\x00"
+    def word(self, word: str) -> bytes:
+        if self.short:
+            head = word.rstrip(MARKS)
+            low = head.lower()
+            if head.isalpha() and (low.isascii() or max(low) < "\u0100"):
+                chars = low if low.isascii() else low.encode().decode("latin-1").translate(ALPHABET)
+                ids = array("H", [t.id for t in self.model.tokenize(chars)]).tobytes()
+                return ids if len(head) == len(word) else ids + self.behind(word[len(head) :])
+        return self.whole(word)
+
+    def behind(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = self.whole(marks)
+        return self.marks[marks]
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """16-bit ids of all texts data[offsets[i]:offsets[i + 1]] in turn, each with its end, and how many each has."""
+        hashes, starts, stops = self.splitter.of(data, offsets)
+        values, at = np.unique(hashes, return_inverse=True)
+        first, size = self.table.find(values)
+        if len(new := np.flatnonzero(size < 0)):
+            last = np.zeros(len(values), np.int64)
+            last[at] = np.arange(len(at))
+            raw = data.tobytes()
+            found = [self.word(raw[a:z].decode("utf-8", "replace")) for a, z in zip(starts[last[new]].tolist(), stops[last[new]].tolist(), strict=True)]
+            self.table.add(values[new], found)
+            first, size = self.table.find(values) if len(self.table.flat) else (first, size)
+            if (size < 0).any():  # the table was full, and forgot
+                return self.of(data, offsets)
+        n, text = size[at], np.searchsorted(offsets, starts, "right") - 1
+        total = np.bincount(text, n, len(offsets) - 1).astype(np.int64) + 1
+        out = np.full(int(total.sum()), END, np.uint16)
+        run = np.arange(int(n.sum()))
+        begin = np.cumsum(n) - n
+        out[np.repeat(text, n) + run] = self.table.flat[np.repeat(first[at] - begin, n) + run]
+        return out, total
 
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def shingle_hash(ids: np.ndarray) -> int:
-    """The least hash of SHINGLE ids in a row (31 bits)."""
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
-    n = min(SHINGLE, len(x))
-    h = np.zeros(len(x) - n + 1, np.uint64)
-    for i in range(n):
-        h = (h ^ x[i : len(x) - n + 1 + i]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-    return (int(h.min()) * 0x94D049BB133111EB & (1 << 64) - 1) >> 33  # spread evenly again
+def shingle_hashes(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The least hash of SHINGLE ids in a row in each run of ids, spread evenly over 31 bits; shorter runs are hashed whole."""
+    up, down = powers(len(ids) + 1)
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    stops = np.minimum(np.arange(len(ids)) + SHINGLE, np.repeat(starts + sizes, sizes))
+    hashes = mix((sums[stops] - sums[:-1]) * down[:-1])
+    whole = np.arange(len(ids)) - np.repeat(starts, sizes) <= np.repeat(np.maximum(sizes - SHINGLE, 0), sizes)
+    return (mix(np.minimum.reduceat(np.where(whole, hashes, np.uint64((1 << 64) - 1)), starts)) >> np.uint64(33)).astype(np.int64)
 
 
 def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,18 +171,20 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for b in batches:
-            out = []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.of(t), np.uint16)
-                n = len(ids)
-                whole = n - n % WINDOW
-                out += [(doc, n, i, WINDOW, None, crc(ids[i : i + WINDOW]), None) for i in range(0, whole, WINDOW)]
-                if whole < n:
-                    out.append((doc, n, whole, n - whole, shingle_hash(ids[whole:]), None, ids[whole:].tobytes()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [c.split()[0] for c in schema.split(", ")])
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+            for begin, data, offsets in pieces(b.column(1), ENCODED):
+                ids, sizes = encoder.of(data, offsets)
+                starts = np.cumsum(sizes) - sizes
+                near = shingle_hashes(ids, starts, sizes).tolist()
+                out = []
+                for doc, a, n, h in zip(b.column(0).slice(begin, len(sizes)).to_pylist(), starts.tolist(), sizes.tolist(), near, strict=True):
+                    whole = n - n % WINDOW
+                    out += [(doc, n, i, WINDOW, None, crc(ids[a + i : a + i + WINDOW]), None) for i in range(0, whole, WINDOW)]
+                    if whole < n:
+                        out.append((doc, n, whole, n - whole, h, None, ids[a + whole : a + n].tobytes()))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [c.split()[0] for c in schema.split(", ")])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def term_weights(remainders: DataFrame) -> tuple[np.ndarray, float]:
@@ -108,10 +193,13 @@ def term_weights(remainders: DataFrame) -> tuple[np.ndarray, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
         for b in batches:
-            for ids in b.column(0).to_pylist():
-                x = np.frombuffer(ids, np.uint16)
-                held[np.unique(x)] += 1
-                n, total = n + 1, total + len(x)
+            parts = [np.frombuffer(x, np.uint16) for x in b.column(0).to_pylist()]
+            n, total = n + len(parts), total + sum(map(len, parts))
+            for i in range(0, len(parts), 256):
+                some = parts[i : i + 256]
+                both = np.sort(np.repeat(np.arange(len(some), dtype=np.uint32), [len(x) for x in some]) << np.uint32(16) | np.concatenate(some))
+                once = both[np.append(True, both[1:] != both[:-1])]
+                held += np.bincount(once & np.uint32(0xFFFF), minlength=VOCABULARY)
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1, -2], pa.int32()), pa.array([*held[some].tolist(), n, total], pa.int64())], ["id", "n"])
 
@@ -135,7 +223,8 @@ class Index:
         self.weight = idf[self.term] * times * (K1 + 1) / (times + norm)
         self.first = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
         self.n = len(ids)
-        by_doc = np.lexsort((-self.weight, self.doc))
+        light = ~self.weight.astype(np.float32).view(np.uint32)  # weights are positive, so their bits sort like them
+        by_doc = np.argsort(self.doc.astype(np.uint64) << np.uint64(32) | light)
         starts = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
         self.query = [self.term[by_doc[a : min(b, a + QUERY_TERMS)]] for a, b in zip(starts, starts[1:], strict=False)]
 
