@@ -1,7 +1,8 @@
 """Line deduplication by an exact set-similarity join (Xiao et al., 2008).
 
-A line is the set of its words (A-Z in lower case, runs of other than ASCII white space), known by 58-bit hashes. Words
-are ordered by rarity over all lines. Two sets with a Jaccard similarity of 4/5 or more share a word among the first
+A line is the set of its words (A-Z in lower case, runs of other than ASCII white space), known by 48 bits of hash beside
+their rarity. Words are ordered by rarity over all lines: by the counts of their hash buckets, which all tasks know, and
+words that are nowhere else are in no list. Two sets with a Jaccard similarity of 4/5 or more share a word among the first
 n - ceil(4n/5) + 1 of each; so lines meet in the lists of those words, where length and positional filters and a bound on
 the symmetric difference (a parity sketch) leave few pairs. What they connect is verified exactly, group by group.
 
@@ -13,156 +14,162 @@ gives an empty table.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from myospark.llm.components import connected
-from myospark.llm.linear import Known
+from myospark.llm.words import BETWEEN_BLANKS, Splitter, mix, pieces
 from myospark.session import batch_rows, cut, ensure_workers
 
 #: Jaccard threshold, as a fraction.
 UP, DOWN = 4, 5
-#: Words whose frequency class every task knows, at most (9 bytes each); the rest count as rarest.
-RANKED = 1 << 20
-#: Distinct words a task counts before it sends them on; postings looked at together; classes compared in one task.
-COUNTED, BUFFER, GROUP = 500_000, 200_000, 1024
+#: Words are counted in 2^BUCKET_BITS hash buckets, whose levels every task knows (a byte each), in blocks of 2^BLOCK_BITS.
+BUCKET_BITS, BLOCK_BITS, KEY_BITS = 24, 12, 48
+#: Words a task counts before it sends counts on; postings looked at together; classes compared in one task.
+COUNTED, BUFFER, GROUP = 4_000_000, 200_000, 1024
 #: Ids and classes are broadcast up to this number (8 bytes each); beyond it they are joined by shuffling.
 BROADCAST_ROWS = 2_000_000
 #: Longest sketch, in 64-bit words.
 SKETCH = 64
 
-LINE = "class long, doc_id long, line_no int, n int, sketch array<long>, keys array<long>"
+LINE = "class long, doc_id long, line_no int, n int, sketch0 long, sketch1 long, wide array<long>, keys array<long>, positions array<int>"
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """The binary logarithm of the number of words in each of BUCKETS hash buckets, plus 1; 0 for none.
 
-
-def ranks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of the most frequent words, and the binary logarithm of their counts over all texts."""
+    A word whose bucket holds 1 is nowhere else. Tasks send on blocks of counts, which are added up block by block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        splitter, kept, held = Splitter(BETWEEN_BLANKS), [], 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            all_ = list(words.items())
-            for i in range(0, len(all_), 100_000):
-                part = all_[i : i + 100_000]
-                hashes = np.array([word_hash(w) for w, _ in part], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([n for _, n in part], pa.int64())], ["word", "n"])
-            words.clear()
+            nonlocal kept, held
+            buckets, n = np.unique(np.concatenate(kept), return_counts=True)
+            kept, held = [], 0
+            blocks, first = np.unique(buckets >> BLOCK_BITS, return_index=True)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(first, len(x)), pa.int32()), pa.array(x.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), lists(buckets & ((1 << BLOCK_BITS) - 1)), lists(n)], ["block", "bucket", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                words.update((text or b"").lower().split())
-            if len(words) > COUNTED:
-                yield from sent()
-        yield from sent()
-
-    counts = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    level = F.floor(F.log2(F.col("n")) + 1e-9).cast("int")
-    counts = cut(counts.where("n >= 4").select("word", level.alias("level")))
-    sizes = {r["level"]: r["n"] for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-    least = min(x for x in range(2, 65) if sum(n for k, n in sizes.items() if k >= x) <= RANKED)
-    kept = counts.where(F.col("level") >= least).toArrow()  # at most RANKED rows
-    words = kept["word"].to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    return words[order], kept["level"].to_numpy().astype(np.uint8)[order]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+            for _, data, offsets in pieces(b.column(0)):
+                hashes, _, _ = splitter.of(data, offsets)
+                kept.append((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
+                held += len(hashes)
+                if held > COUNTED:
+                    yield from sent()
+        if held:
+            yield from sent()
+
+    def add(group: pa.Table) -> pa.Table:
+        flat = lambda c: group[c].combine_chunks().flatten().to_numpy()
+        total = np.bincount(flat("bucket"), flat("n"), 1 << BLOCK_BITS)
+        levels = np.where(total > 0, np.floor(np.log2(np.maximum(total, 1))) + 1, 0).astype(np.uint8)
+        return pa.table({"block": group["block"].slice(0, 1), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    counts = docs.select(F.col("text").cast("binary")).mapInArrow(run, "block int, bucket array<int>, n array<int>")
+    found = counts.groupBy("block").applyInArrow(add, "block int, levels binary").toArrow()  # as many bytes as buckets, at most
+    out = np.zeros((1 << (BUCKET_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+    for block, levels in zip(found["block"].to_pylist(), found["levels"].to_pylist(), strict=True):
+        out[block] = np.frombuffer(levels, np.uint8)
+    return out.ravel()
 
 
 class Lines:
-    """The lines of texts as sets of keys: a key is a word's frequency class, then its hash."""
-
-    def __init__(self, words: np.ndarray, levels: np.ndarray):
-        self.words, self.levels = words, levels
-        self.get = Known(self.key, 300_000).__getitem__
+    """The lines of texts as sets of keys: a key is the level of a word's bucket, then 48 bits of its hash."""
 
-    def key(self, word: bytes) -> int:
-        h = word_hash(word)
-        at = int(self.words.searchsorted(np.uint64(h)))
-        level = int(self.levels[at]) if at < len(self.words) and int(self.words[at]) == h else 0
-        return level << 58 | h >> 6
+    def __init__(self, levels: np.ndarray):
+        self.levels, self.splitter = levels, Splitter(BETWEEN_BLANKS)
 
-    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each line with words: text, line number and size; then all keys, line by line, ascending."""
-        words, sizes, owner, number = [], [], [], []
-        for i, text in enumerate(texts):
-            for j, line in enumerate((text or b"").lower().split(b"\n")):
-                if found := line.split():
-                    words += found
-                    sizes.append(len(found))
-                    owner.append(i)
-                    number.append(j)
-        keys = np.fromiter(map(self.get, words), np.uint64, len(words))
-        line = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((keys, line))
-        keys, line = keys[order], line[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-        keys, line = keys[new], line[new]
-        return np.array(owner, np.int64), np.array(number, np.int32), np.bincount(line, minlength=len(sizes)), keys
+        hashes, starts, _ = self.splitter.of(data, offsets)
+        feeds = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(data == 10, out=feeds[1:])
+        text = np.searchsorted(offsets, starts, "right") - 1
+        number = feeds[starts] - feeds[offsets[text]]
+        new = np.ones(len(starts), bool)
+        new[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
+        first, line = np.flatnonzero(new), np.cumsum(new) - 1
+        level = self.levels[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
+        keys = level << np.uint64(KEY_BITS) | hashes >> np.uint64(64 - KEY_BITS)
+        if len(first) <= 1 << (64 - 6 - KEY_BITS):  # one sort of line and key in a number
+            both = np.sort(line.astype(np.uint64) << np.uint64(6 + KEY_BITS) | keys)
+            line, keys = (both >> np.uint64(6 + KEY_BITS)).astype(np.int64), both & np.uint64((1 << (6 + KEY_BITS)) - 1)
+        else:
+            order = np.lexsort((keys, line))
+            line, keys = line[order], keys[order]
+        once = np.ones(len(keys), bool)
+        once[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
+        return text[first], number[first].astype(np.int32), np.bincount(line[once], minlength=len(first)), keys[once]
 
 
 def sketch_words(n: np.ndarray) -> np.ndarray:
-    """Words of a sketch: the power of two that gives each word of the line a bit or more."""
-    return np.minimum(SKETCH, 1 << np.ceil(np.log2(np.maximum(n / 64, 1))).astype(np.int64))
+    """64-bit words of a sketch: two for lines of up to 128 words, or the power of two that gives each word two bits or more."""
+    return np.where(n <= 128, 2, np.minimum(SKETCH, 1 << np.ceil(np.log2(np.maximum(n / 32, 1))).astype(np.int64)))
 
 
-def line_rows(docs: DataFrame, table: tuple[np.ndarray, np.ndarray], whole: bool) -> DataFrame:
-    """A row for each line (LINE): keys are those of the prefix, or all."""
+def line_rows(docs: DataFrame, levels: np.ndarray, whole: bool) -> DataFrame:
+    """A row for each line (LINE): keys are those of the prefix whose words may be elsewhere, or all.
+
+    sketch0 and sketch1 hold 128 bits of parity; lines of more than 128 words have a wider sketch in `wide`.
+    """
+
+    def rows(lines: Lines, ids: pa.Array, first: int, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch | None:
+        owner, number, n, keys = lines.of(data, offsets)
+        if not len(n):
+            return None
+        starts = np.cumsum(n) - n
+        hashes = mix(keys & np.uint64((1 << KEY_BITS) - 1))
+        classes = mix(np.add.reduceat(hashes, starts) + n.astype(np.uint64))
+        size = sketch_words(n)
+        width = np.repeat(size, n)
+        bit = (hashes >> np.uint64(20)).astype(np.int64) & (64 * width - 1)
+        one = np.uint64(1) << (bit & 63).astype(np.uint64)
+        even = bit >> 6 & 1 == 0
+        sketch = [np.bitwise_xor.reduceat(np.where(side, one, np.uint64(0)), starts).view(np.int64) for side in (even, ~even)]
+        wide = np.where(size > 2, size, 0)
+        flat = np.zeros(int(wide.sum()), np.uint64)
+        some = width > 2
+        np.bitwise_xor.at(flat, np.repeat(np.cumsum(wide) - wide, n)[some] + bit[some] // 64, one[some])
+        position = np.arange(len(keys)) - np.repeat(starts, n)
+        if whole:
+            inside, kept = np.ones(len(keys), bool), n
+        else:
+            inside = (position < np.repeat(n - (UP * n + DOWN - 1) // DOWN + 1, n)) & (keys >> np.uint64(KEY_BITS) > 1)
+            kept = np.add.reduceat(inside, starts, dtype=np.int64)
+        lists = lambda x, k, mask=None: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(x), mask=mask)
+        columns = [classes.view(np.int64), ids.take(pa.array(first + owner)), number, pa.array(n, pa.int32()), *sketch, lists(flat.view(np.int64), wide, pa.array(wide == 0)), lists(keys[inside].view(np.int64), kept), lists(position[inside].astype(np.int32), kept)]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in LINE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = Lines(*table)
+        lines = Lines(levels)
         for b in batches:
-            owner, number, n, keys = lines.of(b.column(1).to_pylist())
-            starts = np.cumsum(n) - n
-            if not len(n):
-                continue
-            hashes = mix(keys)
-            classes = mix(np.add.reduceat(hashes, starts) + n.astype(np.uint64))
-            size = sketch_words(n)
-            bit = (hashes >> np.uint64(20)).astype(np.int64) % np.repeat(64 * size, n)
-            at = np.repeat(np.cumsum(size) - size, n) + bit // 64
-            sketch = np.zeros(int(size.sum()), np.uint64)
-            np.bitwise_xor.at(sketch, at, np.uint64(1) << (bit % 64).astype(np.uint64))
-            kept = n if whole else n - (UP * n + DOWN - 1) // DOWN + 1
-            inside = np.arange(len(keys)) - np.repeat(starts, n) < np.repeat(kept, n)
-            lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(x.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(classes.view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(number), pa.array(n, pa.int32()), lists(sketch, size), lists(keys[inside], kept)], [c.split()[0] for c in LINE.split(", ")]
-            )
+            for piece in pieces(b.column(1)):
+                if (found := rows(lines, b.column(0), *piece)) is not None:
+                    yield found
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, LINE)
 
 
-def folded(sketches: list[np.ndarray]) -> dict[int, np.ndarray]:
-    """The sketches as matrices of 1, 2, 4 and so on words; shorter ones are missing (zero) in the wider matrices."""
-    sizes = np.array([len(x) for x in sketches])
-    out = {}
-    for k in (1 << i for i in range(int(sizes.max()).bit_length())):
-        m = np.zeros((len(sketches), k), np.uint64)
-        for size in np.unique(sizes[sizes >= k]):
-            rows = np.flatnonzero(sizes == size)
-            m[rows] = np.bitwise_xor.reduce(np.stack([sketches[r] for r in rows]).view(np.uint64).reshape(len(rows), size // k, k), axis=1)
-        out[k] = m
+def folded(sketches: dict[int, np.ndarray]) -> dict[int, dict[int, np.ndarray]]:
+    """The wide sketches (by row) by width, each in all widths from its own down to 4 words."""
+    out: dict[int, dict[int, np.ndarray]] = {}
+    for row, x in sketches.items():
+        while len(x) > 2:
+            out.setdefault(len(x), {})[row] = x
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return out
 
 
-def join_lists(key: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def join_lists(key: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[np.ndarray], wide: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of classes that pass the filters, rows sorted by (key, n): as many as connect what they connect."""
-    size, by_width = np.array([len(x) for x in sketches]), folded(sketches)
-    root, out, d = np.arange(len(key)), [], 1
+    by_width, root, out, d = folded(wide), np.arange(len(key)), [], 1
     i = np.arange(len(key))
     while True:
         i = i[i < len(key) - d]
@@ -176,18 +183,19 @@ def join_lists(key: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray,
         rest = np.minimum(n[i] - pos[i], n[j] - pos[j])
         some = (cls[i] != cls[j]) & (root[i] != root[j]) & ((UP + DOWN) * rest >= UP * total)
         a, b = i[some], j[some]
-        apart = np.zeros(len(a), np.int64)
-        width = np.minimum(size[a], size[b])
-        for k in np.unique(width):
-            at = width == k
-            apart[at] = np.bitwise_count(by_width[int(k)][a[at]] ^ by_width[int(k)][b[at]]).sum(axis=1)
+        apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in sketches)
         near = (UP + DOWN) * apart <= (DOWN - UP) * total[some]
         for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            if root[x] != root[y]:
-                first, last = np.searchsorted(key, key[x]), np.searchsorted(key, key[x], "right")
-                part = root[first:last]
-                part[part == root[y]] = root[x]
-                out.append((cls[x], cls[y]))
+            if root[x] == root[y]:
+                continue
+            if x in wide and y in wide:
+                k = min(len(wide[x]), len(wide[y]))
+                if (UP + DOWN) * int(np.bitwise_count(by_width[k][x] ^ by_width[k][y]).sum()) > (DOWN - UP) * (n[x] + n[y]):
+                    continue
+            first, last = np.searchsorted(key, key[x]), np.searchsorted(key, key[x], "right")
+            part = root[first:last]
+            part[part == root[y]] = root[x]
+            out.append((cls[x], cls[y]))
         d += 1
     pairs = np.array(out, np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
@@ -195,7 +203,7 @@ def join_lists(key: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray,
 
 def candidates(lines: DataFrame) -> DataFrame:
     """(a, b): classes that some prefix word's list connects after the filters."""
-    posted = lines.select(F.posexplode("keys").alias("pos", "key"), "class", "n", "sketch")
+    posted = lines.select(F.explode(F.arrays_zip("keys", "positions")).alias("k"), "class", "n", "sketch0", "sketch1", "wide").select(F.col("k.keys").alias("key"), F.col("k.positions").alias("pos"), "class", "n", "sketch0", "sketch1", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -210,9 +218,9 @@ def candidates(lines: DataFrame) -> DataFrame:
             rows = np.flatnonzero(new & (np.repeat(lengths, lengths) > 1))
             a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if len(rows):
-                sketches = t["sketch"].take(pa.array(rows)).combine_chunks()
-                flat, edges = sketches.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sketches.value_lengths().to_numpy())])
-                a, b = join_lists(key[rows], cls[rows], n[rows], pos[rows], [flat[x:y] for x, y in zip(edges, edges[1:], strict=False)])
+                some = t["wide"].combine_chunks().take(pa.array(rows))
+                wide = {i: np.array(some[i].as_py(), np.int64).view(np.uint64) for i in np.flatnonzero(some.is_valid().to_numpy(zero_copy_only=False)).tolist()}
+                a, b = join_lists(key[rows], cls[rows], n[rows], pos[rows], [t[c].to_numpy().view(np.uint64)[rows] for c in ("sketch0", "sketch1")], wide)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for b in batches:
@@ -311,15 +319,15 @@ def small(df: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame) -> DataFrame:
     """A row for each line with words: doc_id, line_no, class_id, n_links (classes similar to its own), removed."""
     ensure_workers(docs.sparkSession)
-    table = ranks(docs)
-    lines = cut(line_rows(docs, table, whole=False))
+    levels = word_levels(docs)
+    lines = cut(line_rows(docs, levels, whole=False))
     with batch_rows(docs.sparkSession, 32_768):
         roots = cut(connected(candidates(lines)))
     firsts = lines.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("own"))
     joined = cut(firsts.join(roots.withColumnRenamed("vertex", "class"), "class").select("class", "root", "own.*"))
     ids = small(joined.select(F.col("doc_id").alias("_id")).distinct())
     some = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    sets = line_rows(some, table, whole=True).select("class", "n", "keys").join(small(joined.select("class")), "class", "left_semi").dropDuplicates(["class"])
+    sets = line_rows(some, levels, whole=True).select("class", "n", "keys").join(small(joined.select("class")), "class", "left_semi").dropDuplicates(["class"])
     found = verify(joined.join(sets, "class"))
     earliest = F.least(F.col("own"), F.coalesce("first", "own"))
     classes = firsts.join(found, "class", "left").select("class", F.coalesce("links", F.lit(0)).alias("n_links"), earliest.alias("earliest"))
