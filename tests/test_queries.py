@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numbers
 import os
 
 import pandas as pd
@@ -24,7 +25,9 @@ def duck():
 
 
 def rows(frame):
-    text = lambda v: "null" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
+    def text(v):
+        return "null" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, numbers.Number) else str(v)
+
     return sorted(tuple(text(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
