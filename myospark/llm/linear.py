@@ -166,12 +166,18 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
         return 1.0, 0.0
     up, down = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
     t, a, b = np.where(y > 0, up, down), 1.0, 0.0
+
+    def loss(a: float, b: float) -> float:
+        x = a * z + b
+        return float((np.logaddexp(0, x) - t * x).sum() + 5e-4 * (a - 1) ** 2)
+
     for _ in range(steps):
         p = sigmoid(a * z + b)
         g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
         s = np.maximum(p * (1 - p), 1e-9)
         h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-9]])
-        d = np.linalg.solve(h, g)
-        d *= min(1.0, 5.0 / (np.abs(d).max() + 1e-12))
+        d, before = np.linalg.solve(h, g), loss(a, b)
+        while loss(a - d[0], b - d[1]) > before and np.abs(d).max() > 1e-9:
+            d /= 2
         a, b = a - d[0], b - d[1]
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
