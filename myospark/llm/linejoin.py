@@ -28,7 +28,7 @@ from myospark.session import batch_rows, cut, ensure_workers
 #: Jaccard threshold, as a fraction.
 UP, DOWN = 4, 5
 #: Words are counted in 2^BUCKET_BITS hash buckets, whose levels every task knows (a byte each), in blocks of 2^BLOCK_BITS.
-BUCKET_BITS, BLOCK_BITS, KEY_BITS = 24, 12, 48
+BUCKET_BITS, BLOCK_BITS, KEY_BITS, POSITION_BITS = 24, 12, 48, 9
 #: Words a task counts before it sends counts on; postings looked at together; classes compared in one task.
 COUNTED, BUFFER, GROUP = 4_000_000, 200_000, 1024
 #: Ids and classes are broadcast up to this number (8 bytes each); beyond it they are joined by shuffling.
@@ -36,7 +36,7 @@ BROADCAST_ROWS = 2_000_000
 #: Longest sketch, in 64-bit words.
 SKETCH = 64
 
-LINE = "class long, doc_id long, line_no int, n int, sketch0 long, sketch1 long, wide array<long>, keys array<long>, positions array<int>"
+LINE = "class long, doc_id long, line_no int, n int, sketch0 long, sketch1 long, wide array<long>, keys array<long>"
 
 
 def word_levels(docs: DataFrame) -> np.ndarray:
@@ -115,7 +115,10 @@ def sketch_words(n: np.ndarray) -> np.ndarray:
 
 
 def line_rows(docs: DataFrame, levels: np.ndarray, whole: bool) -> DataFrame:
-    """A row for each line (LINE): keys are those of the prefix whose words may be elsewhere, or all.
+    """A row for each line (LINE): keys are all, or those of the prefix whose words may be elsewhere, with their positions.
+
+    Positions are in the lowest POSITION_BITS, as far as these go, which only weakens the positional filter. Lines of
+    fewer than 4 words are similar to none but their equals, and have no prefix.
 
     sketch0 and sketch1 hold 128 bits of parity; lines of more than 128 words have a wider sketch in `wide`.
     """
@@ -141,10 +144,12 @@ def line_rows(docs: DataFrame, levels: np.ndarray, whole: bool) -> DataFrame:
         if whole:
             inside, kept = np.ones(len(keys), bool), n
         else:
-            inside = (position < np.repeat(n - (UP * n + DOWN - 1) // DOWN + 1, n)) & (keys >> np.uint64(KEY_BITS) > 1)
+            prefix = np.where(n < 4, 0, n - (UP * n + DOWN - 1) // DOWN + 1)
+            inside = (position < np.repeat(prefix, n)) & (keys >> np.uint64(KEY_BITS) > 1)
+            keys = keys << np.uint64(POSITION_BITS) | np.minimum(position, (1 << POSITION_BITS) - 1).astype(np.uint64)
             kept = np.add.reduceat(inside, starts, dtype=np.int64)
         lists = lambda x, k, mask=None: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(x), mask=mask)
-        columns = [classes.view(np.int64), ids.take(pa.array(first + owner)), number, pa.array(n, pa.int32()), *sketch, lists(flat.view(np.int64), wide, pa.array(wide == 0)), lists(keys[inside].view(np.int64), kept), lists(position[inside].astype(np.int32), kept)]
+        columns = [classes.view(np.int64), ids.take(pa.array(first + owner)), number, pa.array(n, pa.int32()), *sketch, lists(flat.view(np.int64), wide, pa.array(wide == 0)), lists(keys[inside].view(np.int64), kept)]
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in LINE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,31 +208,34 @@ def join_lists(key: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray,
 
 def candidates(lines: DataFrame) -> DataFrame:
     """(a, b): classes that some prefix word's list connects after the filters."""
-    posted = lines.select(F.explode(F.arrays_zip("keys", "positions")).alias("k"), "class", "n", "sketch0", "sketch1", "wide").select(F.col("k.keys").alias("key"), F.col("k.positions").alias("pos"), "class", "n", "sketch0", "sketch1", "wide")
+    posted = lines.select(F.explode("keys").alias("key"), "class", "n", "sketch0", "sketch1", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
         def joined(t: pa.Table) -> pa.RecordBatch:
-            key, n = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-            cls, pos = t["class"].to_numpy(), t["pos"].to_numpy().astype(np.int64)
+            packed, n, cls = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["class"].to_numpy()
+            order = np.lexsort((cls, n, packed >> POSITION_BITS))
+            packed, n, cls = packed[order], n[order], cls[order]
+            key, pos = packed >> POSITION_BITS, packed & ((1 << POSITION_BITS) - 1)
             new = np.ones(len(key), bool)  # copies in one list
             new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
             starts = np.concatenate([[True], key[1:] != key[:-1]])
             lengths = np.bincount(np.cumsum(starts) - 1)
             rows = np.flatnonzero(new & (np.repeat(lengths, lengths) > 1))
+            from_ = order[rows]
             a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if len(rows):
-                some = t["wide"].combine_chunks().take(pa.array(rows))
+                some = t["wide"].combine_chunks().take(pa.array(from_))
                 wide = {i: np.array(some[i].as_py(), np.int64).view(np.uint64) for i in np.flatnonzero(some.is_valid().to_numpy(zero_copy_only=False)).tolist()}
-                a, b = join_lists(key[rows], cls[rows], n[rows], pos[rows], [t[c].to_numpy().view(np.uint64)[rows] for c in ("sketch0", "sketch1")], wide)
+                a, b = join_lists(key[rows], cls[rows], n[rows], pos[rows], [t[c].to_numpy().view(np.uint64)[from_] for c in ("sketch0", "sketch1")], wide)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for b in batches:
             kept.append(b)
             if sum(x.num_rows for x in kept) >= BUFFER:
                 t = pa.Table.from_batches(kept)
-                key = t["key"].to_numpy()
+                key = t["key"].to_numpy() >> POSITION_BITS
                 end = int(np.searchsorted(key, key[-1]))  # the last list may go on
                 if end:
                     yield joined(t.slice(0, end))
@@ -235,7 +243,7 @@ def candidates(lines: DataFrame) -> DataFrame:
         if kept:
             yield joined(pa.Table.from_batches(kept))
 
-    return posted.repartition("key").sortWithinPartitions("key", "n", "class").mapInArrow(run, "a long, b long")
+    return posted.repartition(F.shiftright("key", POSITION_BITS)).sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def compare(keys: list[np.ndarray], n: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -323,12 +331,14 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     lines = cut(line_rows(docs, levels, whole=False))
     with batch_rows(docs.sparkSession, 32_768):
         roots = cut(connected(candidates(lines)))
-    firsts = lines.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("own"))
-    joined = cut(firsts.join(roots.withColumnRenamed("vertex", "class"), "class").select("class", "root", "own.*"))
+    own = F.min(F.struct("doc_id", "line_no")).alias("own")
+    joined = lines.select("class", "doc_id", "line_no").join(small(roots.withColumnRenamed("vertex", "class")), "class").groupBy("class", "root").agg(own)
+    joined = cut(joined.select("class", "root", "own.*"))
     ids = small(joined.select(F.col("doc_id").alias("_id")).distinct())
     some = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
     sets = line_rows(some, levels, whole=True).select("class", "n", "keys").join(small(joined.select("class")), "class", "left_semi").dropDuplicates(["class"])
-    found = verify(joined.join(sets, "class"))
+    found = small(cut(verify(sets.join(small(joined), "class"))))
+    firsts = lines.groupBy("class").agg(own)
     earliest = F.least(F.col("own"), F.coalesce("first", "own"))
     classes = firsts.join(found, "class", "left").select("class", F.coalesce("links", F.lit(0)).alias("n_links"), earliest.alias("earliest"))
     removed = F.struct(F.col("doc_id"), F.col("line_no")) > F.col("earliest")
