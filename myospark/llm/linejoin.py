@@ -31,8 +31,8 @@ UP, DOWN = 4, 5
 BUCKET_BITS, BLOCK_BITS, KEY_BITS, POSITION_BITS = 24, 12, 48, 9
 #: Words a task counts before it sends counts on; postings looked at together; classes compared in one task.
 COUNTED, BUFFER, GROUP = 4_000_000, 200_000, 1024
-#: Ids and classes are broadcast up to this number (8 bytes each); beyond it they are joined by shuffling.
-BROADCAST_ROWS = 2_000_000
+#: Ids and classes are broadcast up to this number (50 bytes each at most); beyond it they are joined by shuffling.
+BROADCAST_ROWS = 500_000
 #: Longest sketch, in 64-bit words.
 SKETCH = 64
 
