@@ -30,17 +30,25 @@ SEED = 42
 LARGE, BLOCK = 2048, 256
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """The SimHash as an unsigned integer."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The hash of each shingle of `words` words, repeats included."""
     parts = text.lower().split()  # of bytes: A-Z only; space and \x09-\x0D
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     n = max(1, len(parts) - words + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     xxh = xxhash.xxh64_intdigest
-    hashes = np.array([xxh(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)], np.uint64)
+    return np.array([xxh(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """The SimHash as an unsigned integer."""
+    hashes = shingles(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
         ones += np.unpackbits(hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

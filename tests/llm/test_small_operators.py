@@ -270,6 +270,61 @@ def test_components_of_chains(spark):
     assert {got[n] for n in names[:201]} == {min(names[:201])} and {got[n] for n in names[201:]} == {min(names[201:])}
 
 
+# near copies
+
+
+def plain_sets(text, k):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def near_texts():
+    """Copies around few texts and chains of them, from 0.7 to 1 alike, and a text with a passage of all others."""
+    rng, texts = random.Random(11), []
+    for c, size in enumerate([8, 40, 40, 120, 120, 300, 300, 300]):
+        base = prose(size, 700 + c).split()
+        for i in range(14):
+            words = list(base)
+            for j in rng.sample(range(size), min(size, rng.randint(0, max(1, size // 40)))):
+                words[j] = f"x{rng.randrange(9)}"
+            texts.append((1000 + 100 * c + i, " ".join(words).title()))
+            base = words if rng.random() < 0.2 else base
+    shared = prose(60, 900)
+    texts += [(3000 + i, f"{shared} {prose(rng.randint(5, 40), 950 + i)}") for i in range(30)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("count_docs", [8000, 1])
+def test_pipeline_near_copies_against_all_pairs(spark, monkeypatch, count_docs):
+    """The pipeline's stage keeps the least document of each component of pairs at 0.8 or more."""
+    import corpus_pipeline
+    from myospark.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "COUNT_DOCS", count_docs)
+    texts = near_texts()
+    sets, root = [plain_sets(t, 5) for _, t in texts], list(range(len(texts)))
+    close = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                close += 10 * len(a & b) < 9 * len(a | b)
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    assert close > 50
+    want = {min(texts[i][0] for i in range(len(texts)) if root[i] == r) for r in set(root)}
+    got = {r["doc_id"] for r in corpus_pipeline.drop_copies(spark, corpus(spark, texts), "").collect()}
+    assert got == want
+
+
+def test_near_copies_of_odd_texts(spark):
+    from myospark.llm import nearcopies
+
+    kept = sorted(str(r["doc_id"]) for r in nearcopies.keep_one(corpus(spark, ODD)).collect())
+    assert kept == ["0", "1", "5", "7", "None"]
+    assert nearcopies.keep_one(corpus(spark, ODD).limit(0)).count() == 0
+
+
 # words
 
 
