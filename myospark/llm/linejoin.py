@@ -6,22 +6,27 @@ words that are nowhere else are in no list. Two sets with a Jaccard similarity o
 n - ceil(4n/5) + 1 of each; so lines meet in the lists of those words, where length and positional filters and a bound on
 the symmetric difference (a parity sketch) leave few pairs. What they connect is verified exactly, group by group.
 
-A line is removed if a line before it, in the order of (doc_id, line number), is similar to it. Equal sets are one
-class; links are counted between classes. Lines without words are never removed. A null text has no lines; rows with a
-null doc_id come first, and keep all their lines; rows that share a doc_id are taken for one document. An empty table
-gives an empty table.
+Lines of one set of words (told by two 64-bit sums) are one class, and only classes are joined, however often their lines
+are repeated. Long lists are cut by lengths, and then into parts that are joined in pairs; so are large groups.
+
+A line is removed if a line before it, in the order of (doc_id, row, line number), is similar to it. Links are counted
+between classes. Lines without words are never removed. A null text has no lines; rows with a null doc_id come first; rows
+that share a doc_id are rows of their own, and equal rows too. Lines of any length are compared whole. An empty table gives
+an empty table. Columns other than doc_id and text may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from myospark.llm.components import connected
+from myospark.llm.spread import BROADCAST_ROWS, fresh, join_dealt, numbered, small, written
 from myospark.llm.words import BETWEEN_BLANKS, Splitter, mix, pieces
 from myospark.session import batch_rows, cut, ensure_workers
 
@@ -31,12 +36,14 @@ UP, DOWN = 4, 5
 BUCKET_BITS, BLOCK_BITS, KEY_BITS, POSITION_BITS = 24, 12, 48, 9
 #: Words a task counts before it sends counts on; postings looked at together; classes compared in one task.
 COUNTED, BUFFER, GROUP = 4_000_000, 200_000, 1024
-#: Ids and classes are broadcast up to this number (50 bytes each at most); beyond it they are joined by shuffling.
-BROADCAST_ROWS = 500_000
+#: Words of a level above LIST_LEVEL may have long lists; these are cut into parts of LIST classes.
+LIST_LEVEL, LIST = 13, 8192
+#: Similar lines are in the same or in neighbouring bands of lengths (a little wider than the threshold asks).
+BAND = math.log(1.26)
 #: Longest sketch, in 64-bit words.
 SKETCH = 64
 
-LINE = "class long, doc_id long, line_no int, n int, sketch0 long, sketch1 long, wide array<long>, keys array<long>"
+LINE = "class long, twin long, doc_id long, row long, line_no int, n int, sketch0 long, sketch1 long, wide array<long>, keys array<long>"
 
 
 def word_levels(docs: DataFrame) -> np.ndarray:
@@ -115,7 +122,7 @@ def sketch_words(n: np.ndarray) -> np.ndarray:
 
 
 def line_rows(docs: DataFrame, levels: np.ndarray, whole: bool) -> DataFrame:
-    """A row for each line (LINE): keys are all, or those of the prefix whose words may be elsewhere, with their positions.
+    """A row for each line (LINE) of docs (doc_id, row, text): keys are all, or those of the prefix whose words may be elsewhere, with their positions.
 
     Positions are in the lowest POSITION_BITS, as far as these go, which only weakens the positional filter. Lines of
     fewer than 4 words are similar to none but their equals, and have no prefix.
@@ -123,13 +130,13 @@ def line_rows(docs: DataFrame, levels: np.ndarray, whole: bool) -> DataFrame:
     sketch0 and sketch1 hold 128 bits of parity; lines of more than 128 words have a wider sketch in `wide`.
     """
 
-    def rows(lines: Lines, ids: pa.Array, first: int, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch | None:
+    def rows(lines: Lines, ids: list[pa.Array], first: int, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch | None:
         owner, number, n, keys = lines.of(data, offsets)
         if not len(n):
             return None
         starts = np.cumsum(n) - n
         hashes = mix(keys & np.uint64((1 << KEY_BITS) - 1))
-        classes = mix(np.add.reduceat(hashes, starts) + n.astype(np.uint64))
+        classes, twins = (mix(np.add.reduceat(x, starts) + n.astype(np.uint64)) for x in (hashes, mix(~hashes)))
         size = sketch_words(n)
         width = np.repeat(size, n)
         bit = (hashes >> np.uint64(20)).astype(np.int64) & (64 * width - 1)
@@ -149,17 +156,25 @@ def line_rows(docs: DataFrame, levels: np.ndarray, whole: bool) -> DataFrame:
             keys = keys << np.uint64(POSITION_BITS) | np.minimum(position, (1 << POSITION_BITS) - 1).astype(np.uint64)
             kept = np.add.reduceat(inside, starts, dtype=np.int64)
         lists = lambda x, k, mask=None: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(x), mask=mask)
-        columns = [classes.view(np.int64), ids.take(pa.array(first + owner)), number, pa.array(n, pa.int32()), *sketch, lists(flat.view(np.int64), wide, pa.array(wide == 0)), lists(keys[inside].view(np.int64), kept)]
+        columns = [classes.view(np.int64), twins.view(np.int64), *(x.take(pa.array(first + owner)) for x in ids), number, pa.array(n, pa.int32()), *sketch, lists(flat.view(np.int64), wide, pa.array(wide == 0)), lists(keys[inside].view(np.int64), kept)]
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in LINE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = Lines(levels)
         for b in batches:
-            for piece in pieces(b.column(1)):
-                if (found := rows(lines, b.column(0), *piece)) is not None:
+            for piece in pieces(b.column(2)):
+                if (found := rows(lines, b.columns[:2], *piece)) is not None:
                     yield found
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, LINE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "row", F.col("text").cast("binary").alias("text")).mapInArrow(run, LINE)
+
+
+def line_classes(lines: DataFrame) -> DataFrame:
+    """One row for each set of words: id, class, twin, held (lines), own (where the first of them stands), and the rest of LINE."""
+    first = F.min(F.struct("doc_id", "row", "line_no", "n", "sketch0", "sketch1", "wide", "keys")).alias("x")
+    found = lines.groupBy("class", "twin").agg(first, F.count(F.lit(1)).alias("held"))
+    own = F.struct("x.doc_id", "x.row", "x.line_no").alias("own")
+    return written(found.select(F.monotonically_increasing_id().alias("id"), "class", "twin", "held", own, "x.n", "x.sketch0", "x.sketch1", "x.wide", "x.keys"))
 
 
 def folded(sketches: dict[int, np.ndarray]) -> dict[int, dict[int, np.ndarray]]:
@@ -206,23 +221,44 @@ def join_lists(key: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray,
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """(a, b): classes that some prefix word's list connects after the filters."""
-    posted = lines.select(F.explode("keys").alias("key"), "class", "n", "sketch0", "sketch1", "wide")
+def band_of(n: Column) -> Column:
+    return F.floor(F.log(n) / BAND).cast("int")
+
+
+def postings(classes: DataFrame) -> DataFrame:
+    """(key, id, n, sketches): a row for each class in each list that it is in; key is the list, then the position.
+
+    Where a word may be in many classes, its list is cut into lists for two neighbouring bands of lengths each, and these
+    into parts of LIST classes, which meet in pairs.
+    """
+    posted = classes.select(F.explode("keys").alias("key"), "id", "n", "sketch0", "sketch1", "wide")
+    often = F.shiftright("key", KEY_BITS + POSITION_BITS) > LIST_LEVEL
+    band = band_of(F.col("n"))
+    long_ = posted.where(often).withColumns({"list": F.shiftright("key", POSITION_BITS), "band": F.explode(F.array(band, band + 1))})
+    sizes = long_.groupBy("list", "band").agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts")).where("parts > 1")
+    dealt = long_.join(small(cut(sizes)), ["list", "band"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    paired = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = F.xxhash64("list", "band", F.least("part", "other"), F.greatest("part", "other"))
+    position = F.col("key").bitwiseAND((1 << POSITION_BITS) - 1)
+    key = F.shiftleft(F.shiftrightunsigned(group, 64 - 6 - KEY_BITS), POSITION_BITS).bitwiseOR(position)
+    return posted.where(~often).unionByName(paired.withColumn("key", key).select(*posted.columns))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): ids of classes that some prefix word's list connects after the filters."""
+    posted = postings(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
         def joined(t: pa.Table) -> pa.RecordBatch:
-            packed, n, cls = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["class"].to_numpy()
+            packed, n, cls = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["id"].to_numpy()
             order = np.lexsort((cls, n, packed >> POSITION_BITS))
             packed, n, cls = packed[order], n[order], cls[order]
             key, pos = packed >> POSITION_BITS, packed & ((1 << POSITION_BITS) - 1)
-            new = np.ones(len(key), bool)  # copies in one list
-            new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
             starts = np.concatenate([[True], key[1:] != key[:-1]])
             lengths = np.bincount(np.cumsum(starts) - 1)
-            rows = np.flatnonzero(new & (np.repeat(lengths, lengths) > 1))
+            rows = np.flatnonzero(np.repeat(lengths, lengths) > 1)
             from_ = order[rows]
             a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if len(rows):
@@ -262,16 +298,32 @@ def compare(keys: list[np.ndarray], n: np.ndarray, rows: np.ndarray, columns: np
     return (UP + DOWN) * both >= UP * (n[rows][:, None] + n[columns][None, :])
 
 
+def in_units(members: DataFrame) -> DataFrame:
+    """members (root, id, n) with the pairs (x, y) of units that they are compared in, and their own `unit`.
+
+    A unit has GROUP classes, about. Groups above that are cut into bands of lengths, and bands into units; a unit meets
+    those of its own band and of the bands beside it, each once.
+    """
+    total = members.groupBy("root").agg(F.count(F.lit(1)).alias("all"))
+    banded = join_dealt(members.select("root", "id", "n"), total, ["root"], "all", F.col("id"))
+    banded = banded.withColumn("band", F.when(F.col("all") <= GROUP, 0).otherwise(band_of(F.col("n"))))
+    sizes = banded.groupBy("root", "all", "band").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    parts = sizes.groupBy("root", "all").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"))  # as many as bands
+    dealt = join_dealt(banded.drop("all"), parts, ["root"], "all", F.col("id"))
+    unit = lambda band, part: F.shiftleft(band.cast("long"), 32) + part
+    own = unit(F.col("band"), F.pmod(F.xxhash64("id"), F.element_at("parts", F.col("band"))))
+    units = lambda b: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("parts", b), F.lit(0))), lambda q: F.when(q < F.try_element_at("parts", b), unit(b, q)))
+    near = F.filter(F.flatten(F.transform(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), units)), lambda u: u.isNotNull())
+    met = dealt.withColumn("unit", own).withColumn("other", F.explode(near))
+    return met.select("root", "id", "unit", F.least("unit", "other").alias("x"), F.greatest("unit", "other").alias("y"))
+
+
 def verify(members: DataFrame) -> DataFrame:
-    """(class, links, doc_id, line_no): how many classes are similar to each, and where the first of them stands.
+    """(id, links, first): how many classes are similar to each, and where the first of them stands.
 
-    members: (root, class, n, keys, doc_id, line_no). Groups above GROUP are cut into parts, and the parts compared in
-    pairs.
+    members: (root, id, n, keys, doc_id, row, line_no).
     """
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(GROUP))).alias("parts"))
-    dealt = members.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    pairs = dealt.withColumn("other", other).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+    pairs = in_units(members).withColumnRenamed("unit", "part").join(members.drop("root"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, []
@@ -291,10 +343,11 @@ def verify(members: DataFrame) -> DataFrame:
                 alike |= alike.T
             np.fill_diagonal(alike, False)
             links = alike.sum(axis=1)
-            first = np.where(links > 0, alike.argmax(axis=1), 0)  # rows stand in the order of (doc_id, line_no)
+            first = np.where(links > 0, alike.argmax(axis=1), 0)  # rows stand in the order of (doc_id, row, line_no)
             some = pa.array(np.flatnonzero(links))
             where = pa.array(first).take(some)
-            return pa.RecordBatch.from_arrays([t["class"].combine_chunks().take(some), pa.array(links).take(some), t["doc_id"].combine_chunks().take(where), t["line_no"].combine_chunks().take(where)], ["class", "links", "doc_id", "line_no"])
+            of = lambda c, at: t[c].combine_chunks().take(at)
+            return pa.RecordBatch.from_arrays([of("id", some), pa.array(links).take(some), *(of(c, where) for c in ("doc_id", "row", "line_no"))], ["id", "links", "doc_id", "row", "line_no"])
 
         def groups() -> Iterator[pa.Table]:
             nonlocal last, kept
@@ -315,45 +368,58 @@ def verify(members: DataFrame) -> DataFrame:
         for t in groups():
             yield done(t)
 
-    columns = ["root", "x", "y", "part", "class", "n", "keys", "doc_id", "line_no"]
-    found = pairs.select(*columns).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "doc_id", "line_no", "class").mapInArrow(run, "class long, links long, doc_id long, line_no int")
-    return found.groupBy("class").agg(F.sum("links").alias("links"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    columns = ["root", "x", "y", "part", "id", "n", "keys", "doc_id", "row", "line_no"]
+    found = pairs.select(*columns).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "doc_id", "row", "line_no").mapInArrow(run, "id long, links long, doc_id long, row long, line_no int")
+    return found.groupBy("id").agg(F.sum("links").alias("links"), F.min(F.struct("doc_id", "row", "line_no")).alias("first"))
+
 
+def class_sets(docs: DataFrame, levels: np.ndarray, members: DataFrame) -> DataFrame:
+    """members (id, root, class, twin, own) with n and keys, from the texts that they stand in."""
+    ids = small(members.select(F.col("own.doc_id").alias("_id")).distinct())
+    some = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    whole, keys, wanted = line_rows(some, levels, whole=True).select("class", "twin", "n", "keys"), ["class", "twin"], members.select("class", "twin")
+    if members.count() <= BROADCAST_ROWS:
+        sets = whole.join(F.broadcast(wanted), keys, "left_semi").dropDuplicates(keys)
+    else:  # copies go before the shuffle
+        sets = whole.dropDuplicates(keys).join(wanted, keys, "left_semi")
+    return sets.join(small(members), keys).select("root", "id", "n", "keys", "own.*")
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+def similar_lines(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """A row for each line with words.
 
-def similar_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with words: doc_id, line_no, class_id, n_links (classes similar to its own), removed."""
+    doc_id, row, line_no; class_doc_id, class_row, class_line_no: where the first line of its set of words stands;
+    n_links: sets that are similar to its own; removed. row: a column that numbers the rows of docs, if there is one.
+    """
     ensure_workers(docs.sparkSession)
-    levels = word_levels(docs)
-    lines = cut(line_rows(docs, levels, whole=False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("text").alias("text"))
+    levels = word_levels(rows)
+    lines = written(line_rows(rows, levels, whole=False))
+    classes = line_classes(lines)
     with batch_rows(docs.sparkSession, 32_768):
-        roots = cut(connected(candidates(lines)))
-    own = F.min(F.struct("doc_id", "line_no")).alias("own")
-    joined = lines.select("class", "doc_id", "line_no").join(small(roots.withColumnRenamed("vertex", "class")), "class").groupBy("class", "root").agg(own)
-    joined = cut(joined.select("class", "root", "own.*"))
-    ids = small(joined.select(F.col("doc_id").alias("_id")).distinct())
-    some = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    sets = line_rows(some, levels, whole=True).select("class", "n", "keys").join(small(joined.select("class")), "class", "left_semi").dropDuplicates(["class"])
-    found = small(cut(verify(sets.join(small(joined), "class"))))
-    firsts = lines.groupBy("class").agg(own)
-    earliest = F.least(F.col("own"), F.coalesce("first", "own"))
-    classes = firsts.join(found, "class", "left").select("class", F.coalesce("links", F.lit(0)).alias("n_links"), earliest.alias("earliest"))
-    removed = F.struct(F.col("doc_id"), F.col("line_no")) > F.col("earliest")
-    return lines.select("class", "doc_id", "line_no").join(classes, "class").select("doc_id", "line_no", F.col("class").alias("class_id"), "n_links", removed.alias("removed"))
+        roots = small(cut(connected(candidates(classes)).withColumnRenamed("vertex", "id")))
+    members = cut(classes.select("id", "class", "twin", "own").join(roots, "id"))
+    found = small(cut(verify(cut(class_sets(rows, levels, members)))))
+    known = classes.select("id", "class", "twin", "held", "own").join(found, "id", "left")
+    known = known.select("class", "twin", "held", "own", F.coalesce("links", F.lit(0)).alias("n_links"), F.least("own", F.coalesce("first", "own")).alias("earliest"))
+    each = join_dealt(lines.select("class", "twin", "doc_id", "row", "line_no"), known, ["class", "twin"], "held", F.xxhash64("row", "line_no"))
+    removed = F.struct(F.col("doc_id"), F.col("row"), F.col("line_no")) > F.col("earliest")
+    own = [F.col(f"own.{c}").alias(f"class_{c}") for c in ("doc_id", "row", "line_no")]
+    return each.select("doc_id", "row", "line_no", *own, "n_links", removed.alias("removed"))
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """docs without the removed lines; documents that lose all their words go, as every line of theirs is elsewhere."""
-    found = similar_lines(docs)
-    lost = found.where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("_lost")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda _line, i: ~F.array_contains("_lost", i))
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    blank = F.col("_lost").isNotNull() & ~text.rlike(r"[^\x20\x09-\x0D]")
-    return joined.where(~blank).withColumn("text", text).select(*docs.columns)
+    """docs without the removed lines; rows that lose all their words go, as every line of theirs is elsewhere."""
+    row = fresh(docs, "row")
+    rows = numbered(docs, row)
+    lost_lines = fresh(rows, "lost")
+    found = similar_lines(rows, row).where("removed")
+    lost = found.groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias(lost_lines))
+    lines = F.col(lost_lines)
+    kept = F.filter(F.split("text", "\n"), lambda _line, i: ~F.array_contains(lines, i))
+    text = F.when(lines.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    blank = lines.isNotNull() & ~text.rlike(r"[^\x20\x09-\x0D]")
+    return rows.join(lost, row, "left").where(~blank).withColumn("text", text).select(*docs.columns)
 
 
 #: All pairs of word sets that share a word, by length; a line goes if a line before it is similar.
@@ -369,11 +435,13 @@ pairs AS (
   SELECT a.c AS a, b.c AS b FROM posted a JOIN posted b ON a.w = b.w AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n AND a.c <> b.c
   GROUP BY a.c, b.c, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
 found AS (SELECT a AS c, count(*) AS n_links, min(own) AS first FROM pairs JOIN classes ON b = c GROUP BY a)
-SELECT doc_id, line_no, coalesce(n_links, 0)::BIGINT AS n_links, (doc_id, line_no) > least(own, coalesce(first, own)) AS removed
+SELECT doc_id, line_no, struct_extract_at(own, 1) AS class_doc_id, struct_extract_at(own, 2) AS class_line_no,
+  coalesce(n_links, 0)::BIGINT AS n_links, (doc_id, line_no) > least(own, coalesce(first, own)) AS removed
 FROM numbered JOIN classes USING (c) LEFT JOIN found USING (c)
 """
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, n_links, removed, for every line with words."""
-    return similar_lines(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "n_links", "removed")
+    """doc_id, line_no, class_doc_id, class_line_no, n_links, removed, for every line with words."""
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return similar_lines(docs).select("doc_id", number("line_no"), "class_doc_id", number("class_line_no"), "n_links", "removed")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from myospark.llm.components import connected
 from myospark.llm.linear import bounded_sample, sampled_texts
-from myospark.llm.linejoin import small
+from myospark.llm.spread import small
 from myospark.llm.simhash import shingles
 from myospark.session import cut, ensure_workers
 

@@ -9,7 +9,9 @@ Buckets hold distinct fingerprints only, so copies count once. A bucket above LA
 bits that its own mask leaves free; each dealing halves those, so buckets end up below any bound without losing pairs.
 
 Texts: A-Z in lower case; words are runs of other than white space; shingles of `words` words, repeats included. Fewer
-words give one shingle, none gives fingerprint zero, which links like any other. A null text is an empty one.
+words give one shingle, none gives fingerprint zero, which links like any other. A null text is an empty one. Texts of any
+length are read whole, one at a time. Null keys are keys like others, and come last; rows that share a key are rows of
+their own. Columns beyond key and text are ignored, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from myospark.llm.components import connected
+from myospark.llm.spread import fresh, join_dealt, numbered, without
 from myospark.session import cut, ensure_workers
 
 SEED = 42
@@ -147,15 +150,22 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return found.distinct()
 
 
+def judged(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (key, row, fingerprint) with `first`: the least (key, row) that links of at most `radius` bits lead to."""
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "row")
+    groups = rows.groupBy("fingerprint").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n"))
+    roots = connected(links(groups.select("fingerprint"), radius)).withColumnRenamed("vertex", "fingerprint")
+    rooted = groups.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members"))
+    classes = join_dealt(rooted.select("root", "fingerprint", "n"), least, ["root"], "members", F.col("fingerprint"))
+    return join_dealt(rows, classes.select("fingerprint", "n", "first"), ["fingerprint"], "n", F.col("row")).select("key", "row", "fingerprint", "first")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, radius: int = 3, key: str = "doc_id") -> DataFrame:
     """(key, fingerprint, component_id): component_id is the least key that links of at most `radius` bits lead to."""
-    rows = cut(fingerprints(docs.select(key, text), text, words).select(key, "fingerprint"))
-    groups = rows.groupBy("fingerprint").agg(F.min(key).alias("_least"))
-    roots = connected(links(groups.select("fingerprint"), radius))
-    rooted = groups.join(roots.withColumnRenamed("vertex", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    classes = rooted.join(least, "root").select("fingerprint", "component_id")
-    return rows.join(classes, "fingerprint").select(key, "fingerprint", "component_id")
+    prints = fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), words=words)
+    rows = cut(prints.select("key", F.monotonically_increasing_id().alias("row"), "fingerprint"))
+    return judged(rows, radius).select(F.col("key").alias(key), "fingerprint", F.col("first.key").alias("component_id"))
 
 
 def hexadecimal(fingerprint: Column) -> Column:
@@ -163,10 +173,12 @@ def hexadecimal(fingerprint: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, text: str = "text", words: int = 5, radius: int = 3, key: str = "doc_id") -> DataFrame:
-    """docs without those near copies whose key isn't the least of their group."""
-    found = near_duplicates(docs, text, words, radius, key)
-    lost = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(lost, key, "left_anti")
+    """docs without near copies: of each group the row of the least key stays, and one row of those that share it."""
+    row = fresh(docs, "row")
+    rows = numbered(docs, row)
+    prints = fingerprints(rows.select(F.col(key).alias("key"), F.col(row).alias("row"), F.col(text).alias("text")), words=words)
+    found = judged(cut(prints.select("key", "row", "fingerprint")), radius)
+    return without(rows, found.where(F.col("row") != F.col("first.row")).select(F.col("row").alias(row)), row).select(*docs.columns)
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
