@@ -1,15 +1,19 @@
-"""Near copies by the Jaccard similarity of their shingle sets: every pair at UP / DOWN or above is linked.
+"""Near copies by Jaccard similarity: every pair of shingle sets at UP / DOWN or above is linked.
 
-An exact set-similarity join with prefix and positional filters. All sets are ordered alike, rare shingles first; a pair
-at UP / DOWN or above shares a shingle among the first n - ceil(UP n / DOWN) + 1 of each, and from its first common
-shingle on there is room for the overlap. What is frequent is learned from a sample; any order finds the same pairs.
+SimHash finds most of them: fingerprints of the sets are linked by covering tables (`simhash.links`), and the links checked on
+whole sets. But sets at 0.8 differ in about ten of 64 bits, and tables for that radius would be too many. So what SimHash
+leaves apart goes through an exact set-similarity join with prefix and positional filters: all sets are ordered alike, rare
+shingles first; a pair at UP / DOWN or above shares a shingle among the first n - ceil(UP n / DOWN) + 1 of each, and from its
+first common shingle on there is room for the overlap. What is frequent is learned from a sample; any order finds the same.
 
-Documents of one shingle set are one class. Classes that share a prefix shingle are first compared with leaders, one for
+Documents of one shingle set are one class. Classes that share a prefix shingle are first compared with a leader, one for
 each shingle and band of sizes, picked by hash. Pairs that this leaves in different components are then all compared, so
-a large group of copies costs about as much as its size, and nothing is left out. All comparisons are of whole sets.
+a large group of copies costs about as much as its size, and nothing is left out.
 
-Words and shingles are those of `simhash`: fewer words than a shingle has give one shingle, none gives the empty set,
-whose documents are copies of each other.
+Words: A-Z in lower case, runs of other than ASCII white space. Fewer words than a shingle has give one shingle, none gives
+the empty set, whose documents are copies of each other. A null text is an empty one. Texts of any length are compared whole.
+Of each component the row of the least key stays (null keys last), and one row of those that share it. An empty table gives
+an empty table. Columns other than key and text may have any names.
 """
 
 from __future__ import annotations
@@ -18,78 +22,140 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from myospark.llm.components import connected
 from myospark.llm.linear import bounded_sample, sampled_texts
-from myospark.llm.spread import small
-from myospark.llm.simhash import shingles
-from myospark.session import cut, ensure_workers
-
-#: The least similarity, as a fraction.
-UP, DOWN = 4, 5
+from myospark.llm.simhash import links as near_links
+from myospark.llm.simhash import majority
+from myospark.llm.spread import fresh, join_dealt, numbered, small, without, written
+from myospark.llm.words import BETWEEN_BLANKS, Splitter, mix, pieces, powers
+from myospark.session import batch_rows, cut, ensure_workers
+
+#: The least similarity, as a fraction; bits that SimHash's links differ in at most.
+UP, DOWN, RADIUS = 4, 5, 3
 #: Documents whose shingles are counted, and the most frequent ones that every task knows.
 COUNT_DOCS, COUNTED = 8000, 1 << 18
-#: Leaders that a class is compared with before all pairs are.
-LEADERS = 4
+#: Texts whose shingles are sorted together: their numbers stand above KEY_BITS of hash.
+TOGETHER, KEY_BITS = 1024, 54
+
+SET = "class long, twin long, n int, fingerprint long, prefix array<long>"
+
 
+class Shingles:
+    """The sets of texts' shingles, as ascending hashes of KEY_BITS."""
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The distinct shingles' hashes, sorted."""
-    return np.unique(shingles(text, words))
+    def __init__(self, words: int):
+        self.words, self.splitter = words, Splitter(BETWEEN_BLANKS)
 
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All sets in turn, and their sizes; at most TOGETHER texts."""
+        found, starts, _ = self.splitter.of(data, offsets)
+        n = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(offsets) - 1)
+        ends = np.cumsum(n)
+        size = np.where(n > 0, np.maximum(n - self.words + 1, 1), 0)
+        text = np.repeat(np.arange(len(n)), size)
+        at = np.repeat(ends - n, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        hashes, factors = np.zeros(len(at), np.uint64), powers(self.words + 1)[0]
+        for j in range(self.words):
+            inside = at + j < ends[text]
+            hashes[inside] += found[at[inside] + j] * factors[j + 1]
+        keys = np.sort(text.astype(np.uint64) << np.uint64(KEY_BITS) | mix(hashes) >> np.uint64(64 - KEY_BITS))
+        keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+        sizes = np.bincount((keys >> np.uint64(KEY_BITS)).astype(np.int64), minlength=len(n))
+        return (keys & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64), sizes
 
-def class_of(found: np.ndarray) -> int:
-    return int(np.array(xxhash.xxh64_intdigest(found.tobytes()), np.uint64).view(np.int64))
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, sets, sizes) of runs of texts."""
+        for low in range(0, len(texts), TOGETHER):
+            for first, data, offsets in pieces(texts.slice(low, TOGETHER)):
+                yield low + first, *self.of(data, offsets)
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values, pa.int64()))
 
 
 def binary(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
-def frequent(docs: DataFrame, text: str, words: int, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the most frequent shingles of a sample; bounded by COUNTED."""
+def whole_sets(texts: DataFrame, words: int) -> DataFrame:
+    """texts (id, text) as (id, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for b in batches:
+            for first, keys, sizes in shingles.batches(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sizes)), lists(keys, sizes)], ["id", "keys"])
 
-    @F.pandas_udf("array<long>")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(bytes(t), words).view(np.int64) for t in texts])
+    return texts.select("id", "text").mapInArrow(run, "id long, keys array<long>")
 
-    chosen = bounded_sample(docs.select(key).where(F.col(key).isNotNull()).distinct(), key, COUNT_DOCS)
-    counts = sampled_texts(docs, chosen, key, text).select(F.explode(sets(binary("text"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+
+def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent shingles of a sample of docs (row, text); bounded by COUNTED."""
+    chosen = bounded_sample(docs.select("row"), "row", COUNT_DOCS)
+    texts = sampled_texts(docs, chosen, "row", "text").select(F.col("row").alias("id"), binary("text").alias("text"))
+    counts = whole_sets(texts, words).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
     found = counts.orderBy(F.desc("n"), "key").limit(COUNTED).toArrow()
-    hashes, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    hashes, n = found["key"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order]
 
 
-def prefix(found: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The shingles of a set that a similar set shares one of, the rarest first."""
-    level = np.zeros(len(found), np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-        level = np.where(hashes[at] == found, n[at], 0)
-    size = len(found)
-    return found[np.argsort(level, kind="stable")][: size - -(-UP * size // DOWN) + 1 if size else 0]
-
-
-def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, text: str, words: int, key: str) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose whole sets are similar. firsts: (class, key) of a document of each."""
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [shingle_set(bytes(t), words) for t in batch["text"]]
-            yield pd.DataFrame({"class": [class_of(x) for x in found], "keys": [x.view(np.int64) for x in found]})
-
-    some = cut(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
-    ids = small(cut(firsts.join(some, "class").select(F.col(key).alias("_id")).distinct()))
-    texts = docs.select(key, binary(text).alias("text")).join(ids, F.col(key).eqNullSafe(F.col("_id")), "left_semi").select("text")
-    whole = cut(texts.mapInPandas(sets, "class long, keys array<long>").join(small(some), "class", "left_semi").dropDuplicates(["class"]))
-    both = pairs.join(whole.toDF("a", "keys_a"), "a").join(whole.toDF("b", "keys_b"), "b")
-    overlap = F.size(F.array_intersect("keys_a", "keys_b"))
-    return cut(both.where((UP + DOWN) * overlap >= UP * (F.size("keys_a") + F.size("keys_b"))).select("a", "b"))
+def ranks(keys: np.ndarray, ranked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    hashes, n = ranked
+    if not len(hashes):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+    return np.where(hashes[at] == keys, n[at], 0)
+
+
+def described(docs: DataFrame, words: int, ranked: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """docs (row, key, text) as (row, key, *SET): prefix is the part of a set that a similar set shares one of, rarest first."""
+    key_type = docs.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for b in batches:
+            for first, keys, sizes in shingles.batches(b.column(2)):
+                starts, hashes = np.cumsum(sizes) - sizes, mix(keys.astype(np.uint64))
+                some = sizes > 0
+                sums = np.zeros((2, len(sizes)), np.uint64)
+                for i, x in enumerate((hashes, mix(~hashes))):
+                    sums[i, some] = np.add.reduceat(x, starts[some]) if some.any() else 0
+                prints = [majority(hashes[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                level, prefix = ranks(keys, ranked), []
+                length = np.where(some, sizes - -(-UP * sizes // DOWN) + 1, 0)
+                for a, n, m in zip(starts.tolist(), sizes.tolist(), length.tolist(), strict=True):
+                    prefix.append(keys[a : a + n][np.argsort(level[a : a + n], kind="stable")[:m]])
+                columns = [*(c.slice(first, len(sizes)) for c in b.columns[:2]), *(pa.array(mix(x + sizes.astype(np.uint64)).view(np.int64)) for x in sums), pa.array(sizes, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(prints, np.uint64).view(np.int64)), lists(np.concatenate([keys[:0], *prefix]), length)], ["row", "key", *(c.split()[0] for c in SET.split(", "))])
+
+    return docs.select("row", "key", binary("text").alias("text")).mapInArrow(run, f"row long, key {key_type}, {SET}")
+
+
+def shared(posted: DataFrame) -> DataFrame:
+    """The rows of posted (key, ...) whose key is held by more than one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, twice = None, True  # the last row of all so far, and whether it has been sent
+        for b in batches:
+            if not b.num_rows:
+                continue
+            both = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks().to_batches()[0]
+            key = both.column(0).to_numpy()
+            same = key[1:] == key[:-1]
+            kept = np.append(False, same) | np.append(same, False)
+            if last is not None:
+                kept[0] &= not twice
+            twice = bool(kept[-1]) or (len(key) == 1 and twice)
+            last = both.slice(len(key) - 1)
+            yield both.filter(pa.array(kept))
+
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, posted.schema)
 
 
 def may_reach(x: str, y: str) -> Column:
@@ -98,49 +164,92 @@ def may_reach(x: str, y: str) -> Column:
     return (UP + DOWN) * rest >= UP * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
-def components(docs: DataFrame, text: str = "text", words: int = 5, key: str = "doc_id") -> DataFrame:
-    """(key, component_id): the least key that similar pairs lead to."""
+def ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def rooted(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """ids (id, ...) with the root of the component that links (a, b) put each id in."""
+    roots = connected(links).withColumnRenamed("vertex", "id")
+    return ids.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+class Classes:
+    """The sets of docs (row, key, text): `rows` (row, class, twin), and one row for each set in `own` (id, row, held, least)."""
+
+    def __init__(self, docs: DataFrame, words: int):
+        self.docs, self.words = docs, words
+        whole = written(described(docs, words, frequent(docs, words)))
+        self.rows = whole.select("row", "class", "twin")
+        place = F.struct(F.col("key").isNull().alias("none"), "key", "row")
+        found = whole.groupBy("class", "twin").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("held"))
+        self.own = cut(found.withColumn("id", F.col("least.row")))  # a class's number is its first row's
+        copies = self.rows.join(self.own.select(F.col("id").alias("row")), "row", "left_anti").select("row")
+        self.first = without(whole, cut(copies), "row").withColumnRenamed("row", "id")
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose whole sets are similar."""
+        pairs = cut(pairs)
+        some = small(cut(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()))
+        texts = self.docs.join(some, "row", "left_semi").select(F.col("row").alias("id"), binary("text").alias("text"))
+        whole = whole_sets(texts, self.words)
+        both = pairs.join(whole.toDF("a", "keys_a"), "a").join(whole.toDF("b", "keys_b"), "b")
+        overlap = F.size(F.array_intersect("keys_a", "keys_b"))
+        return cut(both.where((UP + DOWN) * overlap >= UP * (F.size("keys_a") + F.size("keys_b"))).select("a", "b"))
+
+    def near_fingerprints(self) -> DataFrame:
+        """(a, b): classes whose SimHash fingerprints are equal or that its covering tables link."""
+        prints = self.first.select("id", "fingerprint")
+        least = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+        same = join_dealt(prints, least, ["fingerprint"], "n", F.col("id")).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+        linked = near_links(least.select("fingerprint"), RADIUS)
+        name = lambda c: least.select(F.col("fingerprint").alias(c), F.col("least").alias(f"{c}_id"))
+        return same.union(linked.join(name("a"), "a").join(name("b"), "b").select(*ordered(F.col("a_id"), F.col("b_id"))))
+
+    def links(self) -> DataFrame:
+        """(a, b): similar classes; between any two that are similar there is a path."""
+        with batch_rows(self.docs.sparkSession, 32_768):
+            posted = self.first.select(F.posexplode("prefix").alias("pos", "key"), "id", "n").select("key", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+            posted = written(shared(posted))
+            found = self.similar(self.near_fingerprints())
+        n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND((1 << 32) - 1)
+        posted = posted.select("key", "id", n.alias("n"), pos.alias("pos"), F.floor(F.log(n) / math.log(DOWN / UP)).alias("band"))
+
+        left = self.apart(posted, found)
+        leader = F.min_by(F.struct("id", "n", "pos", "root"), F.xxhash64("key", "id")).alias("l")
+        leaders = left.groupBy("key", "band").agg(leader, F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "band", "l.*", "m")
+        met = join_dealt(left.withColumnsRenamed({"id": "x", "n": "x_n", "pos": "x_pos", "root": "x_root"}), leaders, ["key", "band"], "m", F.col("x"))
+        met = met.select(F.struct(F.col("x").alias("id"), F.col("x_n").alias("n"), F.col("x_pos").alias("pos"), F.col("x_root").alias("root")).alias("x"), F.struct("id", "n", "pos", "root").alias("y"))
+        met = met.where((F.col("x.root") != F.col("y.root")) & may_reach("x", "y")).groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("leader")).agg(F.count(F.lit(1)).alias("m"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("m"), "leader"))
+        led = cut(met.withColumn("rank", rank).where("rank = 1").select(*ordered(F.col("id"), F.col("leader"))).distinct())
+        found = found.union(self.similar(led))
+
+        left = self.apart(posted, found)
+        met = left.alias("x").join(left.alias("y"), "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_reach("x", "y"))
+        rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
+        return found.union(self.similar(rest))
+
+    def apart(self, posted: DataFrame, links: DataFrame) -> DataFrame:
+        """posted with roots, without the keys whose classes are all in one component."""
+        known = rooted(posted, links)
+        keys = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        return cut(known.join(keys, "key", "left_semi"))
+
+
+def judged(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs (row, key, text) as (row, first): the least (none, key, row) that similar pairs lead to."""
     ensure_workers(docs.sparkSession)
-    hashes, counts = frequent(docs, text, words, key)
-
-    @F.pandas_udf("class long, n int, prefix array<long>")
-    def classes_of(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(bytes(t), words) for t in texts]
-        return pd.DataFrame({"class": [class_of(x) for x in found], "n": [len(x) for x in found], "prefix": [prefix(x, hashes, counts).view(np.int64) for x in found]})
-
-    rows = cut(docs.select(key, classes_of(binary(text)).alias("x")).select(key, "x.*"))
-    firsts = cut(rows.groupBy("class").agg(F.min(key).alias(key)))
-    # one row for each class: that of its least key; equal rows of one key are one
-    own = rows.join(firsts.toDF("class", "_least"), "class").where(F.col(key).eqNullSafe(F.col("_least"))).dropDuplicates(["class"])
-    posted = own.select("class", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "class", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    posted = posted.join(shared, "key").select("key", "class", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos"))
-    posted = cut(posted.withColumn("band", F.floor(F.log("n") / math.log(DOWN / UP))))
-
-    leader = F.min_by(F.struct("class", "n", "pos"), F.xxhash64("key", "class")).alias("l")
-    leaders = posted.groupBy("key", "band").agg(leader, F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "band", "l.*")
-    met = posted.alias("x").join(leaders.alias("y"), ["key", "band"]).where((F.col("x.class") != F.col("y.class")) & may_reach("x", "y"))
-    met = met.groupBy(F.col("x.class").alias("class"), F.col("y.class").alias("leader")).agg(F.count(F.lit(1)).alias("m"))
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("m"), "leader"))
-    led = met.withColumn("rank", rank).where(F.col("rank") <= LEADERS)
-    led = cut(led.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct())
-    links = similar(led, docs, firsts, text, words, key)
-
-    roots = connected(links).withColumnRenamed("vertex", "class")
-    rooted = posted.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rooted = cut(rooted.join(apart, "key", "left_semi"))
-    rest = rooted.alias("x").join(rooted.alias("y"), "key").where((F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & may_reach("x", "y"))
-    rest = cut(rest.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(led, ["a", "b"], "left_anti"))
-    links = links.union(similar(rest, docs, firsts, text, words, key))
-
-    roots = connected(links).withColumnRenamed("vertex", "class")
-    joined = firsts.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = joined.groupBy("root").agg(F.min(key).alias("component_id"))
-    return rows.select(key, "class").join(joined.select("class", "root"), "class").join(least, "root").select(key, "component_id")
+    classes = Classes(docs, words)
+    known = rooted(classes.own, classes.links())
+    least = known.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n"))
+    named = join_dealt(known.select("root", "class", "twin", "held"), least, ["root"], "n", F.col("class"))
+    return join_dealt(classes.rows, named.select("class", "twin", "held", "first"), ["class", "twin"], "held", F.col("row")).select("row", "first")
 
 
 def keep_one(docs: DataFrame, text: str = "text", words: int = 5, key: str = "doc_id") -> DataFrame:
-    """docs without those near copies whose key isn't the least of their component."""
-    lost = components(docs, text, words, key).where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(lost, key, "left_anti")
+    """docs without near copies: of each component one row stays."""
+    row = fresh(docs, "row")
+    rows = numbered(docs, row)
+    found = judged(rows.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), words)
+    return without(rows, found.where(F.col("row") != F.col("first.row")).select(F.col("row").alias(row)), row).select(*docs.columns)

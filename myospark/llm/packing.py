@@ -2,14 +2,16 @@
 
 Documents are tokenised and cut into whole windows; what is left of each is packed. Remainders are dealt into shards of
 bounded size, each with its own BM25 inverted index over token ids. In a shard, a seed document opens a window; the
-index returns its unused neighbours, best first, which fill the window greedily; the neighbour that overflows is cut,
+index is asked with all its distinct token ids and returns its unused neighbours, best first (of equal scores, the first in
+the shard), which fill the window greedily; the neighbour that overflows is cut,
 and its rest opens the next window. So only a shard's last window has padding.
 
 Shards keep documents together that share token shingles (by the least hash of the whole text), so copies and overlapping texts are
 neighbours; a shard above the bound is split by document. Document frequencies are counted over all remainders.
 
-A null text is an empty one (its only token is the end). Null ids and repeated rows are packed like others. An empty
-table gives an empty table.
+A null text is an empty one (its only token is the end). Null ids and repeated rows are packed like others. A text of any
+length is cut into whole windows and one remainder. Columns other than key and text may have any names. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from myospark.session import cut, ensure_workers
 WINDOW, END = 4096, 2
 #: Tokens of one shard, about; token ids are below VOCABULARY.
 SHARD_TOKENS, VOCABULARY = 1 << 21, 1 << 16
-#: BM25's constants; terms of a seed that are looked up, those that weigh most.
-K1, B, QUERY_TERMS = 1.2, 0.75, 32
+#: BM25's constants; terms held by more than one in DENSE of a shard's documents are kept as columns of a matrix.
+K1, B, DENSE = 1.2, 0.75, 16
 SHINGLE = 8
 #: Ranges that are split are broadcast up to this number.
 BROADCAST_RANGES = 100_000
@@ -212,27 +213,42 @@ def term_weights(remainders: DataFrame) -> tuple[np.ndarray, float]:
 
 
 class Index:
-    """A shard's inverted index: for each token id the documents that hold it, with their BM25 weights."""
+    """A shard's inverted index: for each token id the documents that hold it, with their BM25 weights.
+
+    Ids that many documents hold are columns of a matrix instead of lists; scores are sums of both.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.n = n = len(ids)
         sizes = np.array([len(x) for x in ids])
-        owner = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
-        terms, times = np.unique(np.concatenate(ids).astype(np.int64) * len(ids) + owner, return_counts=True)
-        self.doc, self.term = terms % len(ids), terms // len(ids)
-        norm = K1 * (1 - B + B * sizes[self.doc] / max(mean, 1.0))
-        self.weight = idf[self.term] * times * (K1 + 1) / (times + norm)
-        self.first = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
-        self.n = len(ids)
-        light = ~self.weight.astype(np.float32).view(np.uint32)  # weights are positive, so their bits sort like them
-        by_doc = np.argsort(self.doc.astype(np.uint64) << np.uint64(32) | light)
-        starts = np.searchsorted(self.doc[by_doc], np.arange(self.n + 1))
-        self.query = [self.term[by_doc[a : min(b, a + QUERY_TERMS)]] for a, b in zip(starts, starts[1:], strict=False)]
+        owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
+        terms, times = np.unique(np.concatenate(ids).astype(np.int64) * n + owner, return_counts=True)
+        doc, term = terms % n, terms // n
+        norm = K1 * (1 - B + B * sizes[doc] / max(mean, 1.0))
+        weight = (idf[term] * times * (K1 + 1) / (times + norm)).astype(np.float32)
+        held = np.bincount(term, minlength=VOCABULARY)
+        column = np.cumsum(held > n // DENSE) - 1
+        often = held[term] > n // DENSE
+        self.matrix = np.zeros((int(column[-1]) + 1, n), np.float32)
+        self.matrix[column[term[often]], doc[often]] = weight[often]
+        rare = ~often
+        self.doc, self.weight = doc[rare], weight[rare].astype(np.float64)
+        self.first = np.searchsorted(term[rare], np.arange(VOCABULARY + 1))
+        by_doc = np.argsort(doc, kind="stable")
+        starts = np.searchsorted(doc[by_doc], np.arange(n + 1))
+        term, often = term[by_doc], often[by_doc]
+        spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+        self.rare = [term[a:b][~often[a:b]] for a, b in spans]
+        self.often = [column[term[a:b][often[a:b]]] for a, b in spans]
 
     def scores(self, seed: int) -> np.ndarray:
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed]]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        out = self.matrix[self.often[seed]].sum(axis=0).astype(np.float64) if len(self.often[seed]) else np.zeros(self.n)
+        a, b = self.first[self.rare[seed]], self.first[self.rare[seed] + 1]
+        size = b - a
+        if total := int(size.sum()):
+            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(total)
+            out += np.bincount(self.doc[at], self.weight[at], self.n)
+        return out
 
 
 def fill(sizes: list[int], index: Index) -> Iterator[tuple[int, int, int, int, int, float]]:
@@ -284,16 +300,18 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", sh
     whole, rest = pieces.where("ids is null"), pieces.where("ids is not null")
     idf, mean = term_weights(rest)
 
-    def run(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["near", "row"]).reset_index(drop=True)
-        ids = [np.frombuffer(x, np.uint16) for x in group["ids"]]
-        out = [
-            (group["doc_id"][d], group["start"][d] + at, n, crc(ids[d][at : at + n]), group["doc_tokens"][d], (int(keys[0]) << 20) + window, offset, score)
-            for d, at, n, window, offset, score in fill([len(x) for x in ids], Index(ids, idf, mean))
-        ]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
-
-    packed = deal(rest, shard_tokens).select("shard", "doc_id", "start", "doc_tokens", "near", "row", "ids").groupBy("shard").applyInPandas(run, PIECE)
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(np.lexsort([group[c].to_numpy() for c in ("row", "near")])))
+        ids = [np.frombuffer(x, np.uint16) for x in group["ids"].to_pylist()]
+        filled = list(zip(*fill([len(x) for x in ids], Index(ids, idf, mean)), strict=True))
+        d, at, n, window, offset = (np.array(x, np.int64) for x in filled[:5])
+        of = lambda c: group[c].combine_chunks().take(pa.array(d))  # noqa: E731  ids stay in Arrow: some are null
+        sums = pa.array([crc(ids[i][a : a + k]) for i, a, k in zip(d.tolist(), at.tolist(), n.tolist(), strict=True)], pa.int64())
+        first = group["shard"][0].as_py() << 20
+        columns = [of("doc_id"), pa.array(of("start").to_numpy() + at), pa.array(n), sums, of("doc_tokens"), pa.array(first + window), pa.array(offset), pa.array(filled[5], pa.float64())]
+        return pa.Table.from_arrays(columns, [c.split()[0] for c in PIECE.split(", ")])
+
+    packed = deal(rest, shard_tokens).select("shard", "doc_id", "start", "doc_tokens", "near", "row", "ids").groupBy("shard").applyInArrow(run, PIECE)
     single = whole.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0.0).alias("score"))
     return single.unionByName(packed)
 

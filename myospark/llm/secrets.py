@@ -5,7 +5,8 @@ repositories and owners: values that many hold are copied examples; values that
 that look random, look live. Each live-looking value is reported as a span of its own kind, beside the pattern's.
 
 Nulls: a null text is an empty one; null owners or repositories count as one owner or repository. Repeated rows are
-rows of their own. Columns beyond the named ones are ignored.
+rows of their own. Texts of any length are scanned whole, one at a time. Columns beyond the named ones are ignored, whatever
+their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from myospark.llm.spread import join_dealt
 from myospark.session import cut, ensure_workers
 
 #: The base patterns, over UTF-8 bytes. Letters of `assign` are of either case.
@@ -105,10 +107,11 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """value, n_owners, n_repositories. Distinct pairs first, so that a value of a third of all rows is summed in parts."""
-    pairs = candidates.select("value", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository")).distinct()
-    by_owner = pairs.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
+    """value, n_owners, n_repositories, held (candidates). Counted by holder first, so that a value of a third of all rows is summed in parts."""
+    holders = candidates.select("value", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"))
+    pairs = holders.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = pairs.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
+    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("held"))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", most_owners: int = 1, most_repositories: int = 3, least_bits: float = 2.5) -> DataFrame:
@@ -119,7 +122,7 @@ def find_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     """
     rows = cut(scan(docs, text, owner, repository).withColumn("row", F.monotonically_increasing_id()))
     each = rows.where(F.size("candidates") > 0).select("row", "owner", "repository", F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.*")
-    held = each.join(ownership(each), "value")
+    held = join_dealt(each, ownership(each), ["value"], "held", F.col("row"))
     few = (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
     live = few & (F.col("bits") >= least_bits)
     span = F.struct(F.col("start"), F.lit(KINDS.index("live")).alias("kind"), F.col("end"))

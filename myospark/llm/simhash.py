@@ -46,9 +46,8 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.array([xxh(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """The SimHash as an unsigned integer."""
-    hashes = shingles(text, words)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half the hashes, as an unsigned integer; 0 of none."""
     n = len(hashes)
     if not n:
         return 0
@@ -58,6 +57,11 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * ones > n).view(">u8")[0])
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """The SimHash as an unsigned integer."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
     """docs with `fingerprint` (64 bits in a long). Narrow: no shuffle."""
     ensure_workers(docs.sparkSession)

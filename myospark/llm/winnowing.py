@@ -4,8 +4,10 @@ Rolling hashes of all k-grams of the normalised text; of each window of w hashes
 equals, with its position. Two texts that share k + w - 1 normalised characters share a kept hash.
 
 Normalised: A-Z in lower case, white space dropped; positions are code points of the whole text. Texts of fewer than k
-such characters have one hash, of all of them, and texts without any have none. A null text is an empty one; a null
-doc_id sorts first. Rows with equal doc_id follow each other by text.
+such characters have one hash, of all of them, and texts without any have none. Texts of any length are fingerprinted whole.
+A null text is an empty one; a null doc_id sorts first. Rows with equal doc_id follow each other by text, and in no fixed
+order where there are more than a range of rows holds. Other columns are ignored, whatever their names; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -18,35 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from myospark.llm.words import mix, powers
 from myospark.session import ensure_workers
 
 K, W = 16, 85
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: k-grams looked at together, at most; also the bound below which a position fits beside a hash in 64 bits.
 CHUNK = 1 << 20
 LOW = np.uint64((1 << 24) - 1)
 #: Rows of one doc_id range, and ranges at most (their edges go to every task).
 RANGE_ROWS, MOST_RANGES = 1000, 65536
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and INVERSE to the powers 0 to n - 1, modulo 2^64."""
-    if len(_powers.get("up", ())) < n:
-        for name, x in (("up", BASE), ("down", INVERSE)):
-            one = np.full(max(n, 4096), x, np.uint64)
-            one[0] = 1
-            _powers[name] = np.cumprod(one)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -132,17 +115,28 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = max(1, min(MOST_RANGES, -(-docs.count() // RANGE_ROWS)))
     found = rows.agg(F.percentile_approx("key", [i / n for i in range(n)], 10 * n).alias("x")).first()["x"] or [0]
-    edges = np.unique(np.array(found, np.int64))  # each is a row's key
+    edges, times = np.unique(np.array(found, np.int64), return_counts=True)  # each is a row's key
+    times = (times + 1) // 2  # of the ranges that one key fills, every second is used: none is left empty
+    first, total = np.cumsum(times) - times, int(times.sum())
 
-    @F.pandas_udf("array<struct<bucket:int,guard:boolean>>")
-    def buckets(keys):
+    @F.pandas_udf("array<struct<bucket:int,guard:boolean,tie:int>>")
+    def buckets(keys, numbers):
         import pandas as pd
 
-        at = np.maximum(np.searchsorted(edges, keys.to_numpy(), "right") - 1, 0)
-        first = edges[at] == keys.to_numpy()
-        return pd.Series([[{"bucket": b, "guard": False}] + ([{"bucket": (b - 1) % len(edges), "guard": True}] if f else []) for b, f in zip(at.tolist(), first.tolist(), strict=True)])
+        key = keys.to_numpy()
+        at = np.maximum(np.searchsorted(edges, key, "right") - 1, 0)
+        hot, edge = times[at] > 1, edges[at] == key
+        # the rows of a key that fills several ranges are dealt to the first ones of these; the last takes what follows
+        tie = np.where(hot & edge, (mix(numbers.to_numpy().astype(np.uint64) + np.uint64(1)) >> np.uint64(33)).astype(np.int64), 0)
+        own = first[at] + np.where(hot, np.where(edge, tie * times[at] >> 31, times[at] - 1), 0)
+        order = np.lexsort([tie, key, own])
+        least = np.zeros(len(key), bool)
+        least[order[np.append(True, own[order][1:] != own[order][:-1])]] = True
+        guard = edge & np.where(hot, least, True) | (own == 0) & least
+        return pd.Series([[{"bucket": b, "guard": False, "tie": t}] + ([{"bucket": (b - 1) % total, "guard": True, "tie": t}] if g else []) for b, t, g in zip(own.tolist(), tie.tolist(), guard.tolist(), strict=True)])
 
-    return rows.select(F.explode(buckets("key")).alias("b"), "key", "doc_id", "text").select("b.*", "key", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "guard", "key", "text")
+    dealt = rows.select(F.explode(buckets("key", F.monotonically_increasing_id())).alias("b"), "key", "doc_id", "text")
+    return dealt.select("b.bucket", "b.guard", "key", "doc_id", "text", "b.tie").repartition("bucket").sortWithinPartitions("bucket", "guard", "key", "tie", "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_kept long"
@@ -168,10 +162,14 @@ def compare_edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
                     continue
                 row = (bucket, doc_id, text, winnow(code_points(text), k, w))
                 if last is not None:
+                    if last[0] != bucket:
+                        raise RuntimeError(f"range {last[0]} has no row after it")
                     out.append(pair(last, row))
                 last, closed = (None, bucket) if guard else (row, None)
             types = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
             names = [c.split()[0] for c in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+        if last is not None:
+            raise RuntimeError(f"range {last[0]} has no row after it")
 
     return with_next(docs).mapInArrow(run, RESULT)
