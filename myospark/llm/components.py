@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from myospark.llm.spread import join_dealt
 from myospark.session import cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link neighbours to the least of a vertex's neighbourhood: the larger ones, or the smaller ones and itself.
 
-    The neighbours of a hub are dealt over several tasks.
+    A hub's neighbours share a key of the join, which nothing but another shuffle follows, so adaptive execution splits it.
     """
     both = edges.union(edges.select("b", "a")) if large else edges
     both = both.toDF("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    near = join_dealt(both, least, ["u"], "n", F.col("v")).select("u", "v", "m")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    near = both.join(least, "u")
     out = near.where(F.col("v") > F.col("u")) if large else near.union(least.select("u", F.col("u").alias("v"), "m"))
     return out.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 

@@ -304,16 +304,17 @@ def in_units(members: DataFrame) -> DataFrame:
     A unit has GROUP classes, about. Groups above that are cut into bands of lengths, and bands into units; a unit meets
     those of its own band and of the bands beside it, each once.
     """
-    total = members.groupBy("root").agg(F.count(F.lit(1)).alias("all"))
-    banded = join_dealt(members.select("root", "id", "n"), total, ["root"], "all", F.col("id"))
-    banded = banded.withColumn("band", F.when(F.col("all") <= GROUP, 0).otherwise(band_of(F.col("n"))))
-    sizes = banded.groupBy("root", "all", "band").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    parts = sizes.groupBy("root", "all").agg(F.map_from_entries(F.collect_list(F.struct("band", "parts"))).alias("parts"))  # as many as bands
-    dealt = join_dealt(banded.drop("all"), parts, ["root"], "all", F.col("id"))
+    banded = members.select("root", "id", band_of(F.col("n")).alias("band"))
+    counts = banded.groupBy("root", "band").agg(F.count(F.lit(1)).alias("n"))
+    shape = counts.groupBy("root").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("bands"))  # as many as bands
+    dealt = join_dealt(banded, shape, ["root"], "all", F.col("id"))
+    one = F.col("all") <= GROUP
+    dealt = dealt.withColumn("band", F.when(one, 0).otherwise(F.col("band")))
+    parts = lambda b: F.when(one, F.when(b == 0, 1).otherwise(0)).otherwise(F.coalesce(F.ceil(F.try_element_at("bands", b) / GROUP), F.lit(0))).cast("int")
     unit = lambda band, part: F.shiftleft(band.cast("long"), 32) + part
-    own = unit(F.col("band"), F.pmod(F.xxhash64("id"), F.element_at("parts", F.col("band"))))
-    units = lambda b: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("parts", b), F.lit(0))), lambda q: F.when(q < F.try_element_at("parts", b), unit(b, q)))
-    near = F.filter(F.flatten(F.transform(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), units)), lambda u: u.isNotNull())
+    own = unit(F.col("band"), F.pmod(F.xxhash64("id"), parts(F.col("band"))))
+    units = lambda b: F.transform(F.slice(F.sequence(F.lit(0), parts(b)), F.lit(1), parts(b)), lambda q: unit(b, q))
+    near = F.flatten(F.transform(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), units))
     met = dealt.withColumn("unit", own).withColumn("other", F.explode(near))
     return met.select("root", "id", "unit", F.least("unit", "other").alias("x"), F.greatest("unit", "other").alias("y"))
 
