@@ -1,40 +1,42 @@
 """Language-model scoring by cross-entropy difference (Moore and Lewis, 2010).
 
-Two bigram models of one kind share one vocabulary: the target model is counted on documents marked as target, the
-background model on all documents. A document's score is its mean loss a token under the background model less that under
-the target model: high scores read like the target.
+Two bigram models of one kind share one vocabulary, all words of all documents: the target model is counted on documents
+marked as target, the background model on all. A document's score is its mean loss a token under the background model less
+that under the target model: high scores read like the target.
 
-Words: A-Z in lower case, runs of other than ASCII white space. The vocabulary is the WORDS most frequent words of all
-documents; other words are one unknown word. A document's end is a token too, and the history of its first word.
-p(w) = (c(w) + 1) / (N + V), p(w | h) = (c(h w) + MU p(w)) / (c(h) + MU).
+Words: A-Z in lower case, runs of other than ASCII white space, known by 64 bits of hash. A document's end is a token too,
+and the history of its first word. p(w) = (c(w) + 1) / (N + V), p(w | h) = (c(h w) + MU p(w)) / (c(h) + MU).
 
-No task holds all bigrams. Documents are dealt into blocks of bounded size; each block's distinct bigrams are sent to the
-parts of the bigram table, added up there, and the sums go back to those blocks whose own counts aren't the sums already.
+No task holds all words or bigrams. Each task cuts its documents into blocks of bounded size, whatever their ids; each block's
+distinct words and bigrams are sent to the parts of the table of counts, added up there, and the sums sent back to the blocks.
 
 A null text is an empty one: no tokens, null losses. A null doc_id is never target. Repeated rows count as often as they
-occur. An empty table gives an empty table.
+occur. A text of any length is counted whole, in one block. No order of words matters, so there are no ties. An empty table
+gives an empty table. Columns other than doc_id and text may have any names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from myospark.session import cut, ensure_workers
+from myospark.llm.spread import written
+from myospark.llm.words import BETWEEN_BLANKS, Splitter, mix, pieces
+from myospark.session import ensure_workers
 
-WORDS, MU = 65_534, 100.0
-UNKNOWN, END = 0, 65_535
-#: Tokens of one block and bigrams of one part, about; distinct words that a task counts before it sends them on.
-BLOCK_TOKENS, COUNTED = 2_500_000, 500_000
+MU = 100.0
+#: Tokens of one block, about.
+BLOCK_TOKENS = 2_500_000
 #: Target ids are broadcast up to this number (8 bytes each); beyond it they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: The hash that stands for a document's end; multipliers of a bigram's hash.
+END, HISTORY, WORD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
+BLOCK = "tokens long, ends long, target_tokens long, target_ends long, words array<long>, low binary, high binary, doc_ids array<long>, targets array<boolean>, sizes array<int>"
 RESULT = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
@@ -46,144 +48,139 @@ def mark_target(docs: DataFrame, target: DataFrame) -> DataFrame:
     return rows.join(ids, rows["doc_id"] == ids["_id"], "left").select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
 
 
-def count_words(marked: DataFrame) -> DataFrame:
-    """(word, n, n_target); the empty word stands for the ends of documents with words, a space for all words."""
+def encode(marked: DataFrame) -> DataFrame:
+    """Blocks of documents (block, *BLOCK): the words' hashes, most frequent first, and each token as a number of one of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_, own = Counter(), Counter()
+    Numbers are of 32 bits: `low` and `high` hold 16 each. Written, so that a block stays the same however often it is read.
+    """
 
-        def sent() -> Iterator[pa.RecordBatch]:
-            words = list(all_)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([all_[w] for w in part], pa.int64()), pa.array([own[w] for w in part], pa.int64())], ["word", "n", "n_target"])
-            all_.clear()
-            own.clear()
+    def block(ids: list[pa.Array], targets: list[np.ndarray], sizes: list[np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
+        n, own = np.concatenate(sizes), np.concatenate(targets)
+        values, at, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order))
+        numbers = number[at]
+        one = lambda x, kind: pa.array([x], kind)
+        columns = [*(one(int(x), pa.int64()) for x in (n.sum(), (n > 0).sum(), n[own].sum(), (n[own] > 0).sum())), one(values[order].view(np.int64), pa.list_(pa.int64()))]
+        columns += [one((numbers & 0xFFFF).astype(np.uint16).tobytes(), pa.binary()), one((numbers >> 16).astype(np.uint16).tobytes(), pa.binary())]
+        both = pa.concat_arrays(ids)
+        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        columns += [whole(both), whole(pa.array(own)), whole(pa.array(n.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in BLOCK.split(", ")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, held, kept = Splitter(BETWEEN_BLANKS), 0, ([], [], [], [])
         for b in batches:
-            for text, target in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if words := (text or b"").lower().split():
-                    for c in (all_, own) if target else (all_,):
-                        c.update(words)
-                        c[b""] += 1
-                        c[b" "] += len(words)
-            if len(all_) > COUNTED:
-                yield from sent()
-        yield from sent()
-
-    return marked.mapInArrow(run, "word binary, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def vocabulary(marked: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The words of ids 1, 2 and so on, and for each of the 65,536 ids the counts (background, target)."""
-    counts = count_words(marked).withColumn("special", F.col("word").isin(b"", b" "))
-    kept = counts.orderBy(F.desc("special"), F.when(~F.col("special"), -F.col("n")), "word").limit(WORDS + 2).toArrow()  # bounded
-    table = np.zeros((65_536, 2), np.int64)
-    words, n, own = kept["word"].to_pylist(), kept["n"].to_numpy(), kept["n_target"].to_numpy()
-    if not words:
-        return [], table
-    table[END] = n[0], own[0]
-    table[1 : len(words) - 1] = np.column_stack([n[2:], own[2:]])
-    table[UNKNOWN] = n[1] - n[2:].sum(), own[1] - own[2:].sum()
-    return words[2:], table
-
-
-def encode(marked: DataFrame, words: list[bytes], blocks: int) -> DataFrame:
-    """(block, doc_id, target, ids): ids of the words as 16-bit numbers."""
+            own = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for first, data, offsets in pieces(b.column(1)):
+                found, starts, _ = splitter.of(data, offsets)
+                n = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(offsets) - 1)
+                for x, to in zip((b.column(0).slice(first, len(n)), own[first : first + len(n)], n, found), kept, strict=True):
+                    to.append(x)
+                held += len(found)
+                if held >= BLOCK_TOKENS:
+                    yield block(*kept)
+                    held, kept = 0, ([], [], [], [])
+        if kept[0]:
+            yield block(*kept)
+
+    return written(marked.select("doc_id", "text", "target").mapInArrow(run, BLOCK).withColumn("block", F.monotonically_increasing_id()))
+
+
+class Counts:
+    """A block's distinct words and bigrams, by part of the table of counts, and what its tokens are of them."""
+
+    def __init__(self, words: np.ndarray, low: bytes, high: bytes, own: np.ndarray, sizes: np.ndarray, parts: int):
+        numbers = np.frombuffer(low, np.uint16).astype(np.int64) | np.frombuffer(high, np.uint16).astype(np.int64) << 16
+        end = len(words)
+        self.sizes = np.where(sizes > 0, sizes + 1, 0).astype(np.int64)
+        last = np.cumsum(self.sizes)[sizes > 0] - 1
+        token = np.full(int(self.sizes.sum()), end, np.int64)
+        inside = np.ones(len(token), bool)
+        inside[last] = False
+        token[inside] = numbers
+        before = np.append(end, token[:-1])[: len(token)]
+        owned = np.repeat(own, self.sizes)
+        grams, self.at = np.unique(before * (end + 1) + token, return_inverse=True)
+        self.before, self.word = grams // (end + 1), grams % (end + 1)
+        hashes = np.append(words.view(np.uint64), END)
+        single = np.arange(end + 1) if len(token) else np.zeros(0, np.int64)
+        keys = np.concatenate([mix(hashes[single]), mix(hashes[self.before] * HISTORY + hashes[self.word] * WORD)])
+        count = lambda x, n, weights=None: np.bincount(x, weights, n).astype(np.int64)
+        n = np.concatenate([count(token, end + 1)[single], count(self.at, len(grams))])
+        n_target = np.concatenate([count(token, end + 1, owned)[single], count(self.at, len(grams), owned)])
+        part = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        self.part, self.first = np.unique(part[self.order], return_index=True)
+        self.keys, self.n, self.n_target = (x[self.order] for x in (keys.view(np.int64), n, n_target))
+        self.singles = len(single)
+
+    @classmethod
+    def of(cls, table: pa.Table | pa.RecordBatch, row: int, parts: int) -> Counts:
+        value = lambda c: table[c][row].values.to_numpy(zero_copy_only=False)
+        return cls(value("words"), table["low"][row].as_py(), table["high"][row].as_py(), value("targets").astype(bool), value("sizes"), parts)
+
+    def losses(self, n: np.ndarray, total: float, kinds: int) -> np.ndarray:
+        """Each document's mean loss under the model with these counts; they are in the order of the keys."""
+        counts = np.empty(len(n))
+        counts[self.order] = n
+        single, pair = counts[: self.singles], counts[self.singles :]
+        means = np.zeros(len(self.sizes))
+        some = self.sizes > 0
+        if some.any():
+            p = (single[self.word] + 1.0) / (total + kinds)
+            loss = -np.log((pair + MU * p) / (single[self.before] + MU))
+            means[some] = np.add.reduceat(loss[self.at], (np.cumsum(self.sizes) - self.sizes)[some]) / self.sizes[some]
+        return means
+
+
+def requests(blocks: DataFrame, parts: int) -> DataFrame:
+    """(part, block, keys, n, n_target): each block's distinct words and bigrams and counts, by part of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: i for i, w in enumerate(words, 1)}
         for b in batches:
-            out = [np.fromiter(map(ids.get, (t or b"").lower().split(), repeat(UNKNOWN)), np.uint16).tobytes() for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.binary())], ["block", "doc_id", "target", "ids"])
-
-    block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int")
-    return marked.select(block.alias("block"), "doc_id", "target", "text").mapInArrow(run, "block int, doc_id long, target boolean, ids binary")
-
-
-def bigrams(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bigrams (history, word) as 32-bit numbers, of all texts in turn, and how many each text has (0 if it has no words)."""
-    parts = [np.frombuffer(x, np.uint16) for x in ids]
-    sizes = np.array([len(p) + 1 if len(p) else 0 for p in parts], np.int64)
-    end = np.array([END], np.uint16)
-    words = np.concatenate([end, *(x for p in parts if len(p) for x in (p, end))])
-    return words[:-1].astype(np.uint32) << np.uint32(16) | words[1:], sizes
-
+            for row in range(b.num_rows):
+                c = Counts.of(b, row, parts)
+                edges = pa.array(np.append(c.first, len(c.keys)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x, kind)) for x, kind in ((c.keys, pa.int64()), (c.n, pa.int32()), (c.n_target, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c.part, pa.int32()), pa.array([b["block"][row].as_py()] * len(c.part), pa.int64()), *lists], ["part", "block", "keys", "n", "n_target"])
 
-def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
-    return ((grams * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(parts)
-
-
-def requests(encoded: DataFrame, parts: int) -> DataFrame:
-    """(part, block, grams, n, n_target): each block's distinct bigrams and counts, by part of the bigram table."""
-
-    def run(group: pa.Table) -> pa.Table:
-        grams, sizes = bigrams(group["ids"].to_pylist())
-        own = np.repeat(group["target"].to_numpy(zero_copy_only=False).astype(bool), sizes)
-        values, at = np.unique(grams, return_inverse=True)
-        n, n_target = np.bincount(at, minlength=len(values)), np.bincount(at, own, len(values)).astype(np.int64)
-        part = part_of(values, parts)
-        order = np.argsort(part, kind="stable")
-        used, first = np.unique(part[order], return_index=True)
-        edges = [*first.tolist(), len(order)]
-        cut_up = lambda x: [x[order[a:b]].astype(np.int32) for a, b in zip(edges, edges[1:], strict=False)]
-        kind, block = pa.list_(pa.int32()), group["block"][0].as_py()
-        return pa.table({"part": pa.array(used.astype(np.int32)), "block": pa.array([block] * len(used), pa.int32()), **{k: pa.array(cut_up(x), kind) for k, x in (("grams", values.view(np.int32)), ("n", n), ("n_target", n_target))}})
-
-    return encoded.groupBy("block").applyInArrow(run, "part int, block int, grams array<int>, n array<int>, n_target array<int>")
+    return blocks.select("block", "words", "low", "high", "targets", "sizes").mapInArrow(run, "part int, block long, keys array<long>, n array<int>, n_target array<int>")
 
 
 def add_up(asked: DataFrame) -> DataFrame:
-    """(block, grams, n, n_target): the sums over all blocks of those of a block's bigrams that other blocks have too."""
+    """(block, part, n, n_target): the sums over all blocks, in the order of each request's keys."""
 
     def run(group: pa.Table) -> pa.Table:
         flat = lambda c: group[c].combine_chunks().flatten().to_numpy()
-        grams, n, n_target = flat("grams"), flat("n").astype(np.int64), flat("n_target").astype(np.int64)
-        sizes = group["grams"].combine_chunks().value_lengths().to_numpy()
-        values, at, held = np.unique(grams, return_inverse=True, return_counts=True)
-        sums, sums_target = np.bincount(at, n, len(values)), np.bincount(at, n_target, len(values))
-        owner, more = np.repeat(np.arange(len(sizes)), sizes), held[at] > 1
-        edges = np.concatenate([[0], np.cumsum(np.bincount(owner[more], minlength=len(sizes)))]).tolist()
-        split = lambda x: [x[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.table({"block": group["block"].combine_chunks(), "grams": pa.array(split(grams[more]), pa.list_(pa.int32())), "n": pa.array(split(sums[at][more].astype(np.int64)), pa.list_(pa.int64())), "n_target": pa.array(split(sums_target[at][more].astype(np.int64)), pa.list_(pa.int64()))})
+        keys = group["keys"].combine_chunks()
+        values, at = np.unique(flat("keys"), return_inverse=True)
+        edges = pa.array(np.append(0, np.cumsum(keys.value_lengths().to_numpy())), pa.int32())
+        sums = lambda c: pa.ListArray.from_arrays(edges, pa.array(np.bincount(at, flat(c), len(values)).astype(np.int64)[at]))
+        return pa.table({"block": group["block"], "part": group["part"], "n": sums("n"), "n_target": sums("n_target")})
 
-    return asked.groupBy("part").applyInArrow(run, "block int, grams array<int>, n array<long>, n_target array<long>")
+    return asked.groupBy("part").applyInArrow(run, "block long, part int, n array<long>, n_target array<long>")
 
 
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     """One row for each document: tokens (with its end), mean losses in nats under both models, and their difference."""
     ensure_workers(docs.sparkSession)
-    marked = mark_target(docs, target)
-    words, totals = vocabulary(marked)
-    blocks = int(max(1, -(-int(totals[:, 0].sum()) // BLOCK_TOKENS)))
-    encoded = encode(marked, words, blocks)
-    sums = add_up(requests(encoded, blocks))
-    kinds = len(words) + 2
+    blocks = encode(mark_target(docs, target))
+    sums = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "ends", "target_tokens", "target_ends")), F.count(F.lit(1))).first()
+    totals, parts = (sums[0] + sums[1], sums[2] + sums[3]), max(1, sums[4], -(-(sums[0] + sums[1]) // BLOCK_TOKENS))
+    kinds = blocks.select(F.explode("words").alias("word")).distinct().count() + 1
 
     def run(_key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
-        grams, sizes = bigrams(group["ids"].to_pylist())
-        own = np.repeat(group["target"].to_numpy(zero_copy_only=False).astype(bool), sizes)
-        values, at = np.unique(grams, return_inverse=True)
-        n = np.stack([np.bincount(at, minlength=len(values)).astype(float), np.bincount(at, own, len(values))])
-        if found.num_rows:
-            flat = lambda c: found[c].combine_chunks().flatten().to_numpy()
-            place = np.searchsorted(values, flat("grams").view(np.uint32))
-            n[0, place], n[1, place] = flat("n"), flat("n_target")
-        before, word = (values >> np.uint32(16)).astype(np.int64), (values & np.uint32(0xFFFF)).astype(np.int64)
-        loss = []
-        for k in (0, 1):
-            single = (totals[word, k] + 1.0) / (totals[:, k].sum() + kinds)
-            loss.append(-np.log((n[k] + MU * single) / (totals[before, k] + MU)))
-        empty = sizes == 0
-        starts = (np.cumsum(sizes) - sizes)[~empty]
-        means = np.zeros((2, len(sizes)))
-        if len(starts):
-            for k in (0, 1):
-                means[k, ~empty] = np.add.reduceat(loss[k][at], starts) / sizes[~empty]
-        column = lambda x: pa.array(x, pa.float64(), mask=empty)
-        return pa.table({"doc_id": group["doc_id"].combine_chunks(), "n_tokens": pa.array(sizes), "loss_target": column(means[1]), "loss_background": column(means[0]), "score": column(means[0] - means[1])})
-
-    return encoded.groupBy("block").cogroup(cut(sums).groupBy("block")).applyInArrow(run, RESULT)
+        c = Counts.of(group, 0, parts)
+        found = found.sort_by("part")
+        flat = lambda x: found[x].combine_chunks().flatten().to_numpy() if found.num_rows else np.zeros(0)
+        background, own = c.losses(flat("n"), totals[0], kinds), c.losses(flat("n_target"), totals[1], kinds)
+        column = lambda x: pa.array(x, pa.float64(), mask=c.sizes == 0)
+        return pa.table({"doc_id": group["doc_ids"].combine_chunks().flatten(), "n_tokens": pa.array(c.sizes), "loss_target": column(own), "loss_background": column(background), "score": column(background - own)})
+
+    sent = blocks.select("block", "words", "low", "high", "targets", "sizes", "doc_ids")
+    return sent.groupBy("block").cogroup(add_up(requests(blocks, parts)).groupBy("block")).applyInArrow(run, RESULT)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,12 +198,10 @@ docs AS (
   FROM documents d LEFT JOIN good g ON d.doc_id = g.doc_id),
 tokens AS (
   SELECT row, own, unnest(list_append(words, '')) AS w, generate_subscripts(list_append(words, ''), 1) AS i FROM docs WHERE len(words) > 0),
-vocabulary AS (SELECT w FROM tokens WHERE w <> '' GROUP BY w ORDER BY count(*) DESC, encode(w) LIMIT 65534),
-known AS (SELECT row, own, i, CASE WHEN t.w = '' THEN '' WHEN v.w IS NULL THEN ' ' ELSE t.w END AS w FROM tokens t LEFT JOIN vocabulary v ON t.w = v.w),
-pairs AS (SELECT row, own, w, coalesce(lag(w) OVER (PARTITION BY row ORDER BY i), '') AS h FROM known),
+pairs AS (SELECT row, own, w, coalesce(lag(w) OVER (PARTITION BY row ORDER BY i), '') AS h FROM tokens),
 single AS (SELECT w, count(*)::DOUBLE AS n, count(*) FILTER (own)::DOUBLE AS n_own FROM pairs GROUP BY w),
 both_ AS (SELECT h, w, count(*)::DOUBLE AS n, count(*) FILTER (own)::DOUBLE AS n_own FROM pairs GROUP BY h, w),
-total AS (SELECT sum(n) AS n, sum(n_own) AS n_own, (SELECT count(*) + 2 FROM vocabulary)::DOUBLE AS v FROM single),
+total AS (SELECT sum(n) AS n, sum(n_own) AS n_own, count(*)::DOUBLE AS v FROM single),
 p AS (
   SELECT b.h, b.w,
     -ln((b.n + 100 * (s.n + 1) / (t.n + t.v)) / (h.n + 100)) AS loss_background,
