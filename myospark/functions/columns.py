@@ -18,6 +18,11 @@ def time_axis(sample: Column, rate: Column | float) -> Column:
     return sample.cast("double") / (F.lit(rate) if isinstance(rate, (int, float)) else rate)
 
 
+def single(x: Column) -> Column:
+    """Rounded to single precision."""
+    return x.cast("float").cast("double")
+
+
 def suffix(path: Column) -> Column:
     return F.regexp_extract(F.lower(path), r"(\.[^./]+)$", 1)
 
@@ -44,10 +49,15 @@ def effective_gain(adapter: Column, channel: Column) -> Column:
     return adapter * F.coalesce(channel, adapter)
 
 
+#: White space at either end of a text.
+ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
 def channel_description(*parts: Column) -> Column:
     """The parts that say something, joined by hyphens. Padded placeholders are kept, trimmed."""
-    given = F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "") & (F.lower(x) != "not defined") & (F.trim(x) != ""))
-    return F.array_join(F.transform(given, lambda x: F.trim(x)), "-")
+    strip = lambda x: F.regexp_replace(x, ENDS, "")
+    given = F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "") & (F.lower(x) != "not defined") & (strip(x) != ""))
+    return F.array_join(F.transform(given, strip), "-")
 
 
 def track_description(device: Column, path: Column, subtitle: Column, channel: Column) -> Column:

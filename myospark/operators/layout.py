@@ -20,7 +20,7 @@ def deinterleave(df: DataFrame, position: str, total: int | Column, channels: in
         raise ValueError(f"a stream needs channels, not {channels}")
     p = F.col(position)
     whole = total - total % channels
-    return df.where(p < whole).withColumns({"channel_idx": (p % channels).cast("int"), "sample_idx": F.floor(p / channels).cast("long")})
+    return df.where(p < whole).withColumns({"channel_idx": (p % channels).cast("int"), "sample_idx": F.expr(f"`{position}` div {channels}")})
 
 
 def interleave(df: DataFrame, channels: int) -> DataFrame:
@@ -61,7 +61,8 @@ def channel_count(signals: DataFrame, keys: list[str], channel: str = "channel_i
 
 
 def explode_samples(signals: DataFrame) -> DataFrame:
-    """A row for each sample of chunked signals, with its time in seconds."""
-    rows = signals.select("file_id", "channel_idx", "sampling_frequency", "start_sample", F.posexplode("samples").alias("_at", "value"))
+    """A row for each sample of chunked signals, with its time: the stored one where it is aligned, or that of the rate."""
+    rows = signals.select("file_id", "channel_idx", "description", "sampling_frequency", "start_sample", F.when(F.col("time_aligned"), F.col("time")).alias("time"), F.posexplode("samples").alias("_at", "value"))
     at = F.col("start_sample") + F.col("_at")
-    return rows.select("file_id", "channel_idx", at.alias("sample_idx"), (at / F.col("sampling_frequency")).alias("t"), "value")
+    t = F.coalesce(F.get("time", F.col("_at")), at / F.col("sampling_frequency"))
+    return rows.select("file_id", "channel_idx", "description", at.alias("sample_idx"), t.alias("t"), "value")

@@ -258,7 +258,7 @@ def channel_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, value::FLOAT::DOUBLE AS value FROM events")
 def cast_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", F.col("value").cast("float").cast("double").alias("value"))
+    return read(spark, sf_dir, "events").select("event_id", C.single(F.col("value")).alias("value"))
 
 
 @query("SELECT event_id, epoch(TIMESTAMP '2024-01-20 00:00:00') - floor(epoch(ts)) < 604800 AS fresh FROM events")
@@ -280,8 +280,8 @@ def _encoded(parts: DataFrame, run: Callable[[pd.DataFrame], bytes], suffix: str
 
 
 def _samples(files: DataFrame) -> DataFrame:
-    rows = decode_files(files).select(F.regexp_extract("file_id", r"/(\d+)\.", 1).cast("long").alias("file_id"), long("channel_idx"), "description", F.posexplode("samples").alias("sample_idx", "value"))
-    return rows.select("file_id", "channel_idx", long("sample_idx"), "description", "value")
+    rows = layout.explode_samples(decode_files(files)).withColumn("file_id", F.regexp_extract("file_id", r"/(\d+)\.", 1).cast("long"))
+    return rows.select("file_id", long("channel_idx"), long("sample_idx"), "description", "value", "t")
 
 
 #: Parts as two channels of whole samples; a last odd part is left out.
@@ -300,7 +300,7 @@ def otb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         adapter = {"Gain": 5, "ChannelStartIndex": 0, "ID": "A1", "Description": "mat"}
         return encode.encode_otb({"Name": "Q", "SampleFrequency": 2048, "ad_bits": 16, "DeviceTotalChannels": 2}, [(adapter, channels)], pairs(group), tail=b"\x01\x00")
 
-    return _samples(_encoded(read(spark, sf_dir, "part"), run, ".otb+"))
+    return _samples(_encoded(read(spark, sf_dir, "part"), run, ".otb+")).drop("t")
 
 
 @query(f"SELECT file_id, channel_idx, sample_idx, CASE channel_idx WHEN 0 THEN 'S-a.sig-one-ch0' ELSE 'S-a.sig-two-ch0' END AS description, v * (5::DOUBLE / 65536::DOUBLE * 1000::DOUBLE / CASE channel_idx WHEN 0 THEN 4::DOUBLE ELSE 8::DOUBLE END) AS value FROM ({PAIRS_SQL})")
@@ -309,7 +309,7 @@ def otb4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         track = {"Device": "S", "ADC_Nbits": 16, "ADC_Range": 5, "SignalStreamPath": "a.sig", "NumberOfChannels": 1}
         return encode.encode_otb4([track | {"Gain": 4, "SubTitle": " one "}, track | {"Gain": 8, "SubTitle": "two"}], {"a.sig": encode.interleaved(pairs(group), "<i2")}, "zip")
 
-    return _samples(_encoded(read(spark, sf_dir, "part"), run, ".otb4"))
+    return _samples(_encoded(read(spark, sf_dir, "part"), run, ".otb4")).drop("t")
 
 
 @query(f"SELECT file_id, channel_idx, sample_idx, CASE channel_idx WHEN 0 THEN 'Novecento+-a.sig-one-ch0' ELSE 'Novecento+-b.sig-two-ch0' END AS description, v * (5::DOUBLE / 16777216::DOUBLE * 1000::DOUBLE / CASE channel_idx WHEN 0 THEN 4::DOUBLE ELSE 8::DOUBLE END) AS value FROM ({PAIRS_SQL})")
@@ -321,18 +321,30 @@ def novecento_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         longer = np.concatenate([x[1], [7, 7]])
         return encode.encode_otb4(tracks_, {"a.sig": encode.interleaved(x[:1], "<i4"), "sub/b.sig": encode.interleaved(longer[None, :], "<i4"), "c.sig": b"\0" * 8})
 
-    return _samples(_encoded(read(spark, sf_dir, "part"), run, ".otb4"))
+    return _samples(_encoded(read(spark, sf_dir, "part"), run, ".otb4")).drop("t")
 
 
-@query(f"SELECT file_id, channel_idx, sample_idx, CASE channel_idx WHEN 0 THEN 'é' ELSE 'two' END AS description, v / 8::DOUBLE AS value FROM ({PAIRS_SQL}) WHERE file_id IN (SELECT p_partkey // 40 FROM part GROUP BY ALL HAVING count(*) >= 4)")
+@query("""SELECT file_id, CASE WHEN m < 4 THEN 0 ELSE n % 2 END AS channel_idx, CASE WHEN m < 4 THEN n ELSE n // 2 END AS sample_idx,
+  CASE WHEN m >= 4 AND n % 2 = 1 THEN 'two' ELSE 'é' END AS description, v / 8::DOUBLE AS value,
+  CASE WHEN m < 4 THEN n::DOUBLE / 2048::DOUBLE ELSE 0.5::DOUBLE + ((n // 2) * (n // 2))::DOUBLE / 2048::DOUBLE END AS t
+FROM (SELECT p_partkey // 40 AS file_id, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1 AS n, count(*) OVER (PARTITION BY p_partkey // 40) AS m, (p_size * 100 - 2500)::DOUBLE AS v FROM part)
+WHERE n < m - m % 2""")
 def mat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With uneven times. One sample of two channels is read as two samples of one, whose time vector then isn't aligned."""
+
     def run(group: pd.DataFrame) -> bytes:
         x = pairs(group) / 8.0
-        return mat.write_mat({"Data": x, "Time": np.arange(x.shape[1])[:, None] / RATE, "Description": ["é", "two"], "SamplingFrequency": np.array([[RATE]])})
+        at = np.arange(x.shape[1])
+        return mat.write_mat({"Data": x, "Time": (0.5 + at * at / RATE)[:, None], "Description": ["é", "two"], "SamplingFrequency": np.array([[RATE]])})
+
+    return _samples(_encoded(read(spark, sf_dir, "part"), run, ".mat"))
+
 
-    sized = read(spark, sf_dir, "part").withColumn("f", F.floor(F.col("p_partkey") / 40))
-    enough = sized.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m >= 4").select("f")
-    return _samples(_encoded(sized.join(enough, "f", "left_semi"), run, ".mat"))
+@query("SELECT p_partkey, concat('é', p_name) AS text FROM part")
+def entry_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("é"), F.col("p_name"))
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
+    return read(spark, sf_dir, "part").select("p_partkey", C.entry_text(raw).alias("text"))
 
 
 def queries() -> dict[str, Query]:

@@ -29,9 +29,11 @@ def ensure_workers(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set one only where none is set."""
+    """Use the shared folder that the cluster names. Only a local session may do without a name: it gets a folder of its own."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 

@@ -1,27 +1,38 @@
 """Readers and writer of recordings as DataFrames.
 
 Files are listed and read by Spark's binary file source, so any file system that Spark knows will do; a task decodes the
-files it is given, one at a time, in memory. Rows are chunks of at most CHUNK samples of one channel.
+files it is given, one at a time, in memory. Rows are chunks of at most CHUNK samples of one channel; a recording without
+samples has a chunk of none for each channel, and one without channels a row without a channel.
 """
 
 from __future__ import annotations
 
+import logging
 import os
+import uuid
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from myospark.functions.columns import FILE_TYPES
 from myospark.session import ensure_workers
 from myospark.sources import mat, otb, otb4
 
-CHUNK = 1 << 16
+logger = logging.getLogger(__name__)
+logger.addHandler(logging.NullHandler())
+
+#: Samples of a chunk; values that go to the JVM in one batch, about.
+CHUNK, BATCH_VALUES = 1 << 16, 1 << 20
 DECODERS = {"mat": mat.decode, "otb": otb.decode, "otb4": otb4.decode}
 HEAD = "file_id string, file_name string, file_type string, file_size long, sampling_frequency double, n_samples long, channel_count int, single boolean, time_aligned boolean, channel_idx int, description string"
-SIGNALS = HEAD + ", chunk_idx int, start_sample long, samples array<double>"
+#: time: as the file stores it, null where it is the axis of the sampling frequency. One that isn't aligned with the samples
+#: (time_aligned) stands whole in the first chunk.
+SIGNALS = HEAD + ", chunk_idx int, start_sample long, samples array<double>, time array<double>"
 
 
 def type_of(path: str) -> str:
@@ -45,24 +56,49 @@ def read_recordings(spark: SparkSession, path: str | list[str], file_type: str |
 def decode_files(files: DataFrame, file_type: str | None = None, header_only: bool = False, channels: list[int] | None = None) -> DataFrame:
     """The same for rows of Spark's binary file source, also of a stream of them."""
     schema = HEAD if header_only else SIGNALS
-    names = [c.split()[0] for c in schema.split(", ")]
+    types = arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
-            for path, size, content in zip(files["path"], files["length"], files["content"], strict=True):
-                kind = file_type or type_of(path)
-                d = DECODERS[kind](bytes(content), header_only)
-                n = len(d.data) if d.data is not None else len(d.descriptions or [])
-                head = [path, path.rsplit("/", 1)[-1], kind, size, d.rate, d.n_samples, n, d.single, d.time_aligned]
-                for c in range(n) if channels is None else [c for c in channels if 0 <= c < n]:
-                    row = [*head, c, d.descriptions[c] if d.descriptions and c < len(d.descriptions) else None]
-                    if header_only:
-                        yield pd.DataFrame([row], columns=names)
-                        continue
-                    starts = range(0, d.n_samples, CHUNK)
-                    yield pd.DataFrame([[*row, k, s, d.data[c, s : s + CHUNK]] for k, s in enumerate(starts)], columns=names)
-
-    return files.select("path", "length", "content").mapInPandas(run, schema)
+            for path, size, content in zip(*(files.column(c) for c in ("path", "length", "content")), strict=True):
+                rows, held = [], 0
+                for row in decoded_rows(path.as_py(), size.as_py(), content.as_py(), file_type, header_only, channels):
+                    rows.append(row)
+                    held += 1 if header_only else 1 + len(row[-2])
+                    if held >= BATCH_VALUES:
+                        yield as_batch(rows, types)
+                        rows, held = [], 0
+                yield as_batch(rows, types)
+
+    return files.select("path", "length", "content").mapInArrow(run, schema)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+
+def as_batch(rows: list[list], types: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(types)], schema=types)
+
+
+def decoded_rows(path: str, size: int, content: bytes, file_type: str | None, header_only: bool, channels: list[int] | None) -> Iterator[list]:
+    """The rows of one file."""
+    kind = file_type or type_of(path)
+    d = DECODERS[kind](content, header_only)
+    logger.debug("%s: %s samples of %s channels at %s", path, d.n_samples, d.n_channels, d.rate)
+    head = [path, path.rsplit("/", 1)[-1], kind, size, d.rate, d.n_samples, d.n_channels, d.single, d.time_aligned]
+    stored = None if d.time is None or d.time_aligned and np.array_equal(d.time, np.arange(d.n_samples) / d.rate) else d.time
+    listed = range(d.n_channels) if channels is None else [c for c in channels if 0 <= c < d.n_channels]
+    for c in listed if d.n_channels else [None]:
+        row = [*head, c, d.descriptions[c] if c is not None and d.descriptions and c < len(d.descriptions) else None]
+        if header_only:
+            yield row
+            continue
+        for k, s in enumerate(range(0, max(d.n_samples, 1), CHUNK)):
+            samples = d.data[c, s : s + CHUNK] if c is not None else np.zeros(0)
+            time = None if stored is None else stored[s : s + CHUNK] if d.time_aligned else stored if k == 0 else None
+            yield [*row, k, s, samples, time]
 
 
 def mat_path(path: str) -> str:
@@ -70,34 +106,47 @@ def mat_path(path: str) -> str:
     return str(PurePosixPath(path).with_suffix(".mat")) if "://" not in path else path.rsplit(".", 1)[0] + ".mat" if "." in path.rsplit("/", 1)[-1] else path + ".mat"
 
 
-def write_mat_files(signals: DataFrame, path: str | None = None) -> DataFrame:
+def write_mat_files(signals: DataFrame, path: str | None = None, target: str | None = None) -> DataFrame:
     """Write each recording to a file of its own; a lazy DataFrame (file_id, path, bytes) that writes when it runs.
 
-    path: the folder; the files keep their names, with the suffix .mat. Files go through pyarrow's file systems, so the
-    folder may be any URI that they know; it must be shared by the executors. A recording is written by one task.
+    path: the folder; the files keep their names, with the suffix .mat. target: the file itself, for a single recording;
+    another suffix than .mat is replaced. Recordings that would be written to one file are an error before it is written.
+    Files go through pyarrow's file systems, so the folder may be any URI that they know; it must be shared by the
+    executors. A recording is written by one task, under another name until it is whole.
     """
     import pyarrow.fs
 
     ensure_workers(signals.sparkSession)
 
+    stem = F.regexp_replace("file_name", r"^(.+)\.[^.]+$", "$1")
+    named = F.lit(target if target.lower().endswith(".mat") else mat_path(target)) if target is not None else F.concat(F.lit(f"{path}/"), stem, F.lit(".mat"))
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        if group["file_id"].nunique() > 1:
+            raise ValueError(f"several recordings would be written to {group['target'].iloc[0]}: {', '.join(sorted(group['file_id'].unique())[:3])}")
         group = group.sort_values(["channel_idx", "chunk_idx"])
         first = group.iloc[0]
-        data = np.stack([np.concatenate(g["samples"].to_list()) for _, g in group.groupby("channel_idx")], axis=1)
+        joined = lambda g, c: np.concatenate([np.zeros(0), *(x for x in g[c] if x is not None)])
+        channels = [g for _, g in group.groupby("channel_idx")]
+        data = np.stack([joined(g, "samples") for g in channels], axis=1) if channels else np.zeros((0, 0))
         if first["single"]:
             data = data.astype(np.float32)
+        stored = (channels[0] if channels else group)["time"]
+        time = joined({"time": stored}, "time") if stored.notna().any() else np.arange(len(data)) / first["sampling_frequency"]
         described = group.drop_duplicates("channel_idx")["description"]
-        variables = {"Data": data, "Time": np.arange(len(data))[:, None] / first["sampling_frequency"], "SamplingFrequency": np.array([[first["sampling_frequency"]]])}
+        variables = {"Data": data, "Time": time[:, None], "SamplingFrequency": np.array([[first["sampling_frequency"]]])}
         if described.notna().all():
             variables["Description"] = described.tolist()
-        content = mat.write_mat(variables)
-        target = mat_path(f"{path}/{first['file_name']}")
-        system, at = pyarrow.fs.FileSystem.from_uri(target if "://" in target or target.startswith("file:") else os.path.abspath(target))
-        with system.open_output_stream(at) as out:
+        content, to = mat.write_mat(variables), first["target"]
+        system, at = pyarrow.fs.FileSystem.from_uri(to if "://" in to or to.startswith("file:") else os.path.abspath(to))
+        part = f"{at}.{uuid.uuid4()}.part"
+        with system.open_output_stream(part) as out:
             out.write(content)
-        return pd.DataFrame({"file_id": [first["file_id"]], "path": [target], "bytes": [len(content)]})
+        system.move(part, at)
+        logger.info("saved %s", to)
+        return pd.DataFrame({"file_id": [first["file_id"]], "path": [to], "bytes": [len(content)]})
 
-    return signals.groupBy("file_id").applyInPandas(run, "file_id string, path string, bytes long")
+    return signals.withColumn("target", named).groupBy("target").applyInPandas(run, "file_id string, path string, bytes long")
 
 
 def recordings(signals: DataFrame) -> DataFrame:
@@ -107,6 +156,6 @@ def recordings(signals: DataFrame) -> DataFrame:
 
 
 def channels(signals: DataFrame) -> DataFrame:
-    return signals.select("file_id", "channel_idx", "description").distinct()
+    return signals.where("channel_idx is not null").select("file_id", "channel_idx", "description").distinct()
 
 

@@ -13,7 +13,7 @@ from myospark.sources.recording import Decoded
 #: Fixed values of the format: data types of elements, and classes of arrays.
 NUMBERS = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
 MATRIX, COMPRESSED, UTF8, UTF16, UTF32 = 14, 15, 16, 17, 18
-CELL, STRUCT, CHAR, DOUBLE = 1, 2, 4, 6
+CELL, STRUCT, CHAR, DOUBLE, INT16 = 1, 2, 4, 6, 10
 CLASSES = {6: "f8", 7: "f4", 8: "i1", 9: "u1", 10: "i2", 11: "u2", 12: "i4", 13: "u4", 14: "i8", 15: "u8"}
 HEADER_BYTES = 128
 
@@ -35,13 +35,26 @@ def numbers(kind: int, raw: bytes, order: str) -> np.ndarray:
     return np.frombuffer(raw, np.dtype(NUMBERS[kind]).newbyteorder(order))
 
 
-def matrix(raw: bytes, order: str) -> tuple[str, object]:
-    """Name and value of an array: numbers, a string (rows of characters as a list), or a list for a cell array."""
+class Unread(tuple):
+    """The shape of an array whose numbers weren't read; `kind` is its class."""
+
+    kind = DOUBLE
+
+
+def matrix(raw: bytes, order: str, skip: str | None = None) -> tuple[str, object]:
+    """Name and value of an array: numbers, a string (rows of characters as a list), or a list for a cell array.
+
+    skip: the name of an array of which only the shape is read.
+    """
     parts = elements(raw, order)
     flags = numbers(*next(parts), order)
     shape = tuple(numbers(*next(parts), order).tolist())
     name = bytes(next(parts)[1]).decode("latin-1")
     kind = int(flags[0]) & 0xFF
+    if name == skip:
+        unread = Unread(shape)
+        unread.kind = kind
+        return name, unread
     if kind == CELL:
         return name, [matrix(p, order)[1] if p else np.zeros((0, 0)) for t, p in parts if t == MATRIX]
     if kind == CHAR:
@@ -65,8 +78,24 @@ def characters(kind: int, raw: bytes, shape: tuple, order: str) -> object:
     return ["".join(row).rstrip() for row in np.array(list(text)).reshape(shape, order="F")]
 
 
-def read_mat(content: bytes) -> dict[str, object]:
-    """All variables of a file."""
+#: Bytes that an array's flags, shape and name fit into.
+HEAD_BYTES = 1024
+
+
+def unpacked(raw: bytes, order: str, skip: str | None) -> bytes:
+    """A compressed array; if it is the one to skip, only its head."""
+    if skip is not None:
+        head = zlib.decompressobj().decompress(raw, HEAD_BYTES)
+        if struct.unpack_from(order + "I", head)[0] == MATRIX:
+            parts = elements(head[8:], order)
+            next(parts), next(parts)
+            if bytes(next(parts)[1]).decode("latin-1") == skip:
+                return head
+    return zlib.decompress(raw)
+
+
+def read_mat(content: bytes, skip: str | None = None) -> dict[str, object]:
+    """All variables of a file; of the one named `skip` only the shape."""
     if len(content) < HEADER_BYTES or content[:8] == b"\x89HDF\r\n\x1a\n":
         raise ValueError("this isn't a MATLAB level 5 file")
     order = {b"IM": "<", b"MI": ">"}.get(content[126:128])
@@ -75,9 +104,9 @@ def read_mat(content: bytes) -> dict[str, object]:
     out: dict[str, object] = {}
     for kind, raw in elements(content[HEADER_BYTES:], order):
         if kind == COMPRESSED:
-            kind, raw = next(elements(zlib.decompress(raw), order))
+            kind, raw = next(elements(unpacked(raw, order, skip), order))
         if kind == MATRIX:
-            name, value = matrix(raw, order)
+            name, value = matrix(raw, order, skip)
             out[name] = value
     return out
 
@@ -124,13 +153,19 @@ def texts(value: object) -> list[str] | None:
 
 def decode(content: bytes, header_only: bool = False) -> Decoded:
     """Data is turned so that it has no fewer samples than channels; 16-bit integers become single floats."""
-    found = read_mat(content)
+    found = read_mat(content, "Data" if header_only else None)
     for name in ("Data", "Time"):
         if name not in found:
             raise KeyError(name)
-    data, time = np.atleast_2d(found["Data"]), np.ravel(found["Time"])
-    if data.shape[0] < data.shape[1]:
-        data = data.T
-    aligned = check_time(len(time), *data.shape)
+    data, time = found["Data"], np.ravel(found["Time"])
+    if header_only:
+        shape, whole = (tuple(data) if len(data) > 1 else (1, *data)), data.kind == INT16
+    else:
+        data = np.atleast_2d(data)
+        shape, whole = data.shape, data.dtype == np.int16
+    wide = shape[0] < shape[1]
+    n_samples, n_channels = shape[::-1] if wide else shape
+    aligned = check_time(len(time), n_samples, n_channels)
     rate = found.get("SamplingFrequency")
-    return Decoded(float(np.ravel(rate)[0]) if rate is not None else 1.0, data.shape[0], texts(found.get("Description")), None if header_only else data.T.astype(float), time.astype(float), data.dtype == np.int16, aligned)
+    samples = None if header_only else (data if wide else data.T).astype(float)
+    return Decoded(float(np.ravel(rate)[0]) if rate is not None else 1.0, n_samples, texts(found.get("Description")), samples, time.astype(float), whole, aligned, n_channels)

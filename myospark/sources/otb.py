@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
@@ -11,6 +12,9 @@ from myospark.functions.columns import BITS, CHANNELS, DEVICE, RATE, SUPPLY_VOLT
 from myospark.sources.archives import members, signal_files
 from myospark.sources.recording import Decoded
 
+logger = logging.getLogger(__name__)
+logger.addHandler(logging.NullHandler())
+
 
 @dataclass
 class Header:
@@ -26,7 +30,7 @@ class Header:
 
 def describe(*parts: str | None) -> str:
     """The parts that say something, trimmed, joined by hyphens."""
-    given = (p.strip(" ") for p in parts if p and p.lower() != "not defined")
+    given = (p.strip() for p in parts if p and p.lower() != "not defined")
     return "-".join(p for p in given if p)
 
 
@@ -62,6 +66,8 @@ def counts(raw: bytes, channels: int, bits: int) -> np.ndarray:
     """Channels by samples; a partial last sample is left out. 16 bits are stored in two bytes, all others in four."""
     values = np.frombuffer(raw, "<i2" if bits == 16 else "<i4", len(raw) // (2 if bits == 16 else 4))
     whole = len(values) // channels
+    if whole * channels != len(values):
+        logger.warning("%s values are left over of %s for %s channels", len(values) - whole * channels, len(values), channels)
     return values[: whole * channels].reshape(whole, channels).T
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
@@ -14,6 +15,9 @@ from myospark.sources.recording import Decoded
 #: Fixed values of the format: the list of tracks, the device with a stream for each track, and the default rate.
 TRACKS, MANY_STREAMS, RATE = "Tracks_000.xml", "Novecento+", 2000.0
 
+logger = logging.getLogger(__name__)
+logger.addHandler(logging.NullHandler())
+
 
 @dataclass
 class Track:
@@ -59,34 +63,39 @@ def parse_tracks(xml: bytes) -> list[Track]:
     return [track(e) for e in ElementTree.fromstring(xml).iterfind("TrackInfo")]
 
 
-def one_stream(found: dict[str, bytes], tracks: list[Track]) -> tuple[np.ndarray, list[str], float]:
+def one_stream(found: dict[str, bytes], tracks: list[Track], header_only: bool = False) -> Decoded:
     """The first stream's channels, in two bytes each whatever the track says, dealt to the tracks in turn."""
     signals = signal_files(found)
     if not signals:
-        return np.zeros((0, 0)), [], RATE
+        return Decoded(RATE, 0, [], np.zeros((0, 0)))
     values, total = np.frombuffer(found[signals[0]], "<i2"), sum(t.channels for t in tracks)
     samples = check_divisible(len(values), total)
     factors = np.repeat([t.factor for t in tracks], [t.channels for t in tracks])
-    return values.reshape(samples, total).T * factors[:, None], [d for t in tracks for d in t.describe()], tracks[0].rate
+    data = None if header_only else values.reshape(samples, total).T * factors[:, None]
+    return Decoded(tracks[0].rate, samples, [d for t in tracks for d in t.describe()], data)
 
 
-def many_streams(found: dict[str, bytes], tracks: list[Track]) -> tuple[np.ndarray, list[str], float]:
+def many_streams(found: dict[str, bytes], tracks: list[Track], header_only: bool = False) -> Decoded:
     """Four-byte streams, each with the first track that names it; all cut to the shortest and stacked."""
     by_path: dict[str, Track] = {}
     for t in tracks:
-        by_path.setdefault(t.path.rsplit("/", 1)[-1], t)
+        by_path.setdefault(t.path, t)
     matched = [(found[s], by_path[n]) for s in signal_files(found) if (n := s.rsplit("/", 1)[-1]) in by_path]
-    blocks = []
-    for raw, t in matched:
+    for _, t in matched:
         if t.channels < 1:
             raise ValueError(f"track {t.subtitle!r} has no channels")
-        values = np.frombuffer(raw, "<i4", len(raw) // 4)
-        whole = len(values) // t.channels
-        blocks.append(values[: whole * t.channels].reshape(whole, t.channels).T * t.factor)
-    if not blocks:
-        return np.zeros((0, 0)), [], RATE
-    shortest = min(b.shape[1] for b in blocks)
-    return np.vstack([b[:, :shortest] for b in blocks]), [d for _, t in matched for d in t.describe()], matched[0][1].rate or RATE
+    if not matched:
+        return Decoded(RATE, 0, [], np.zeros((0, 0)))
+    lengths = [len(raw) // 4 // t.channels for raw, t in matched]
+    if len({t.rate for _, t in matched}) > 1:
+        logger.warning("the tracks differ in sampling frequency; the first one's counts")
+    if len(set(lengths)) > 1:
+        logger.warning("the streams differ in length; all are cut to %s samples", min(lengths))
+    shortest, blocks = min(lengths), []
+    for raw, t in matched if not header_only else []:
+        values = np.frombuffer(raw, "<i4", shortest * t.channels)
+        blocks.append(values.reshape(shortest, t.channels).T * t.factor)
+    return Decoded(matched[0][1].rate or RATE, shortest, [d for _, t in matched for d in t.describe()], np.vstack(blocks) if blocks else None)
 
 
 def decode(content: bytes, header_only: bool = False) -> Decoded:
@@ -96,5 +105,4 @@ def decode(content: bytes, header_only: bool = False) -> Decoded:
     tracks = parse_tracks(found[TRACKS])
     if not tracks:
         raise ValueError(f"{TRACKS} describes no track")
-    data, descriptions, rate = (many_streams if tracks[0].device == MANY_STREAMS else one_stream)(found, tracks)
-    return Decoded(rate, data.shape[1], descriptions, None if header_only else data)
+    return (many_streams if tracks[0].device == MANY_STREAMS else one_stream)(found, tracks, header_only)

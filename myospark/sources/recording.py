@@ -18,3 +18,8 @@ class Decoded:
     time: np.ndarray | None = None
     single: bool = False
     time_aligned: bool = True
+    channels: int | None = None
+
+    @property
+    def n_channels(self) -> int:
+        return self.channels if self.channels is not None else len(self.data) if self.data is not None else len(self.descriptions or [])

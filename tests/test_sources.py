@@ -15,7 +15,7 @@ from myospark.operators.tracks import recording_rate, track_ranges
 from myospark.recording import Recording
 from myospark.sources import encode, mat, otb, otb4
 from myospark.sources.archives import members
-from myospark.sources.files import mat_path, read_recordings, type_of
+from myospark.sources.files import mat_path, read_recordings, type_of, write_mat_files
 from myospark.streaming.ingest import stream_recordings
 
 X = np.array([[1, 2, 3, 4], [-5, 6, 7, -8], [0, 1, 0, 1]])
@@ -31,6 +31,8 @@ def otb_bytes(kind="tar", bits=16, **header):
 def test_otb(kind, bits):
     d = otb.decode(otb_bytes(kind, bits))
     assert (d.rate, d.n_samples, d.descriptions) == (2048, 4, ["A-grid-bic", "A-grid", "B-aux"])
+    head = otb.decode(otb_bytes(kind, bits), header_only=True)
+    assert (head.data, head.n_samples, head.n_channels) == (None, 4, 3)
     gains = np.array([[10.0], [25.0], [1.0]])  # of the channel; the adapter's twice; none
     np.testing.assert_array_equal(d.data, X * 4.8 / 2.0**bits * 1000 / gains)
 
@@ -47,7 +49,17 @@ def test_otb_errors():
     with pytest.raises(RuntimeError):
         members(b"plain")
     assert [otb.channel_total(x) for x in (None, "x", "0", "-1", "7")] == [128, 128, 128, 128, 7]
-    assert otb.describe("a", None, "Not defined", " not defined ", " ", " b ") == "a-not defined-b"
+    assert otb.describe("a", None, "Not defined", " not defined ", " ", "\t b\n") == "a-not defined-b"
+    h = otb.parse_header(members(otb_bytes())["rec.xml"])
+    assert (h.adapter_ids, h.adapter_types) == (["A", "A", "B"], ["A", "A", "B"])
+
+
+def test_warnings(caplog):
+    otb.decode(otb_bytes())
+    streams = {"a.sig": encode.interleaved(X[:1], "<i4"), "b.sig": encode.interleaved(X[:1, :2], "<i4")}
+    otb4.decode(encode.encode_otb4([track(Device="Novecento+"), track(SignalStreamPath="b.sig", SamplingFrequency=9)], streams))
+    said = " ".join(r.getMessage() for r in caplog.records if r.levelname == "WARNING")
+    assert "left over" in said and "cut to 2 samples" in said and "differ in sampling frequency" in said
 
 
 def track(**more):
@@ -69,6 +81,10 @@ def test_otb4_stream_for_each_track():
     d = otb4.decode(encode.encode_otb4(tracks, streams))
     np.testing.assert_array_equal(d.data, X[:, :3] * (5 / 2.0**16 * 1000 / 2))
     assert d.rate == 2000 and len(d.descriptions) == 3
+    head = otb4.decode(encode.encode_otb4(tracks, streams), header_only=True)
+    assert (head.data, head.n_samples, head.n_channels, head.descriptions) == (None, 3, 3, d.descriptions)
+    # a track's path is matched as it stands
+    assert otb4.decode(encode.encode_otb4([track(Device="Novecento+", SignalStreamPath="sub/b.sig")], streams)).n_channels == 0
 
 
 def test_otb4_errors():
@@ -88,6 +104,9 @@ def test_mat_codec():
     assert back["Data"].dtype == np.int16 and back["Description"] == ["HD08MM0203", "é", ""]
     d = mat.decode(mat.write_mat(wide))
     assert (d.n_samples, len(d.data), d.single, d.rate) == (6, 2, True, 100)
+    head = mat.decode(mat.write_mat(wide), header_only=True)
+    assert (head.n_samples, head.n_channels, head.single, head.data) == (6, 2, True, None)
+    assert mat.read_mat(mat.write_mat(wide), "Data")["Data"] == (2, 6)
     plain = mat.decode(mat.write_mat({"Data": np.zeros((4, 2)), "Time": np.zeros(2)}))
     assert (plain.rate, plain.descriptions, plain.time_aligned) == (1.0, None, False)
     with pytest.raises(ValueError):
@@ -110,6 +129,11 @@ def test_recording_round_trip(spark, tmp_path):
     assert len(again) == 1 and again[0]["description"] == "A-grid"
     np.testing.assert_array_equal(again[0]["samples"], otb.decode(otb_bytes()).data[1])
     assert [c["description"] for c in read_recordings(spark, paths[0], header_only=True).orderBy("channel_idx").collect()] == ["A-grid-bic", "A-grid", "B-aux"]
+    assert r.save(str(tmp_path / "named.mat")) == [str(tmp_path / "named.mat")]
+    assert write_mat_files(r.signals, target=str(tmp_path / "other.dat")).first()["path"] == str(tmp_path / "other.mat")
+    assert not list(tmp_path.glob("**/*.part"))
+    with pytest.raises(ValueError):
+        r.save(str(tmp_path / "named.txt"))
     with pytest.raises(ValueError):
         r.save(str(tmp_path), ".csv")
     with pytest.raises(ValueError):
@@ -118,6 +142,53 @@ def test_recording_round_trip(spark, tmp_path):
     assert r.get_grid() is None
 
 
+def test_stored_time(spark, tmp_path, monkeypatch):
+    """An uneven time vector is read, exploded and written back; one as long as there are channels too."""
+    from myospark.sources import files
+
+    monkeypatch.setattr(files, "CHUNK", 3)
+    data, times = np.arange(16.0).reshape(8, 2), {"a": np.array([5, 5.5, 7, 9, 9.25, 11, 12, 20.0]), "b": np.arange(8) / 4, "c": np.array([3.0, 4])}
+    for name, time_ in times.items():
+        (tmp_path / f"{name}.mat").write_bytes(mat.write_mat({"Data": data, "Time": time_[:, None], "SamplingFrequency": np.array([[4.0]])}))
+    signals = read_recordings(spark, str(tmp_path / "*.mat"))
+    assert signals.count() == 3 * 2 * 3 and signals.where("time is not null").count() == 6 + 2
+    for r in layout.explode_samples(signals).collect():
+        name, i = r["file_id"][-5], r["sample_idx"]
+        assert (r["t"], r["value"]) == (times[name][i] if name == "a" else i / 4, data[i, r["channel_idx"]])
+    (tmp_path / "out").mkdir()
+    for r in write_mat_files(signals, str(tmp_path / "out")).collect():
+        back = mat.read_mat(open(r["path"], "rb").read())
+        np.testing.assert_array_equal(back["Time"].ravel(), times[r["path"][-5]])
+        np.testing.assert_array_equal(back["Data"], data)
+
+
+def test_empty_recordings(spark, tmp_path):
+    """Without samples, and without channels."""
+    (tmp_path / "a.mat").write_bytes(mat.write_mat({"Data": np.zeros((0, 0)), "Time": np.zeros((0, 1))}))
+    (tmp_path / "b.otb4").write_bytes(encode.encode_otb4([track()], {"a.sig": b""}))
+    (tmp_path / "c.otb4").write_bytes(encode.encode_otb4([track()], {}))
+    signals, header = (read_recordings(spark, str(tmp_path), header_only=h) for h in (False, True))
+    want = {"a.mat": None, "b.otb4": 0, "c.otb4": None}
+    for found in (signals, header):
+        assert {r["file_name"]: r["channel_idx"] for r in found.collect()} == want
+    assert all(r["samples"] == [] for r in signals.collect())
+    (tmp_path / "out").mkdir()
+    assert write_mat_files(signals, str(tmp_path / "out")).count() == 3
+    assert mat.decode((tmp_path / "out" / "b.mat").read_bytes()).n_samples in (0, 1)
+
+
+def test_clashing_targets(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.otb+").write_bytes(otb_bytes())
+    signals = read_recordings(spark, [str(tmp_path / "x"), str(tmp_path / "y")])
+    with pytest.raises(Exception, match="several recordings"):
+        write_mat_files(signals, str(tmp_path)).collect()
+    assert not (tmp_path / "a.mat").exists()
+    with pytest.raises(Exception, match="several recordings"):
+        Recording(signals).save(str(tmp_path / "one.mat"))
+
+
 def test_stream_of_recordings(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.otb+").write_bytes(otb_bytes())
@@ -126,7 +197,7 @@ def test_stream_of_recordings(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
-CHANNELS = [("f", i, d) for i, d in enumerate(["HD10MM0203 - header", "chan1", "Requested Path info", "performed path info", "ref_signal"])]
+CHANNELS = [("f", i, d) for i, d in enumerate(["left HD10MM0203", "force", "Requested Path (N)", "the performed path", "EMG sum"])]
 
 
 def test_grids(spark):
@@ -145,12 +216,12 @@ def test_grids(spark):
 
 def test_catalog_cache(tmp_path):
     path = tmp_path / "cache.json"
-    path.write_text(json.dumps([{"product": "X", "electrodes": 1}]))
-    fetch = lambda: [{"product": "HD10MM0203", "electrodes": 42}]
-    assert GridCatalog(str(path), fetch).entries()[0]["electrodes"] == 1
-    os.utime(path, (time.time() - 8 * 86400,) * 2)
-    assert GridCatalog(str(path), fetch).entries()[0]["electrodes"] == 42
-    assert json.loads(path.read_text())[0]["electrodes"] == 42
+    path.write_text(json.dumps([{"product": "HD05MM0707", "electrodes": 48}]))
+    fetch = lambda: [{"product": "HD08MM0404", "electrodes": 15}]
+    assert GridCatalog(str(path), fetch).entries()[0]["electrodes"] == 48
+    os.utime(path, (time.time() - 11 * 86400,) * 2)
+    assert GridCatalog(str(path), fetch).entries()[0]["electrodes"] == 15
+    assert json.loads(path.read_text())[0]["electrodes"] == 15
     assert GridCatalog(str(tmp_path / "no" / "x"), lambda: 1 / 0).entries() == []
 
 
