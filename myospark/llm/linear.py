@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from myospark.session import cut
 
-#: Labelled rows (and, for co-training, unlabelled rows) that a model is fitted on, at most.
+#: Labelled rows that a model is fitted on, at most.
 SAMPLE = 20_000
 #: Chosen features, at most; the least log-likelihood ratio of a chosen one; documents that must have it.
 FEATURES, LEAST_G2, LEAST_DOCS = 4096, 24.0, 3

@@ -6,8 +6,10 @@ categories' log-odds, which in training are out-of-fold predictions, so that lat
 Features are the words of the whole text, each once, and their leading characters. Models are fitted on at most SAMPLE
 labelled documents, chosen by hash of the id; every document is scored in one narrow pass.
 
-A null text is an empty one; an empty text gets the base rate. Repeated rows are scored alike. With no labels every
-probability is 0.5 and nothing is marked. Columns with the names of the results are replaced.
+A null text is an empty one; an empty text gets the base rate. Texts of any length are read whole. Repeated rows are scored
+alike; of labelled rows that share an id the least text is learned from. Ties in the choice of features are broken by name.
+With no labels every probability is 0.5 and nothing is marked. An empty table gives an empty table. Columns with the names of the
+results are replaced; others may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from myospark.llm import linear
+from myospark.llm.spread import fresh
 from myospark.session import ensure_workers
 
 FOLDS = 5
@@ -94,8 +97,8 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", threshold: float =
         for texts in it:
             yield pd.DataFrame(linear.sigmoid(chain.odds([vectors.of(t) for t in texts])), columns=names)
 
-    kept = [c for c in docs.columns if c not in (*names, "is_toxic")]
-    return docs.select(*kept, probabilities(text).alias("_p")).select(*kept, "_p.*").withColumn("is_toxic", F.col(names[0]) > threshold)
+    kept, found = [c for c in docs.columns if c not in (*names, "is_toxic")], fresh(docs, "found")
+    return docs.select(*kept, probabilities(text).alias(found)).select(*kept, f"{found}.*").withColumn("is_toxic", F.col(names[0]) > threshold)
 
 
 def label_categories(labels: DataFrame) -> DataFrame:
@@ -108,5 +111,9 @@ CATEGORIES = ["toxic", "toxic_junk", "toxic_prose"]
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_toxic, p_toxic_junk, p_toxic_prose, is_toxic, for every document."""
+    """doc_id, p_toxic, p_toxic_junk, p_toxic_prose, is_toxic, for every document.
+
+    `labels` holds one mark of toxicity. The later categories tell in which company it was found; where quality is known they
+    follow from the first.
+    """
     return score(docs.select("doc_id", "text"), train(docs, label_categories(labels), CATEGORIES)).drop("text")
