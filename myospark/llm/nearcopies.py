@@ -41,7 +41,8 @@ COUNT_DOCS, COUNTED = 8000, 1 << 18
 #: Texts whose shingles are sorted together: their numbers stand above KEY_BITS of hash.
 TOGETHER, KEY_BITS = 1024, 54
 
-SET = "class long, twin long, n int, fingerprint long, prefix array<long>"
+#: Classes that one task compares with a leader, about.
+MEMBERS = 512
 
 
 class Shingles:
@@ -113,28 +114,43 @@ def ranks(keys: np.ndarray, ranked: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return np.where(hashes[at] == keys, n[at], 0)
 
 
-def described(docs: DataFrame, words: int, ranked: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs (row, key, text) as (row, key, *SET): prefix is the part of a set that a similar set shares one of, rarest first."""
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """docs (row, key, text) as (row, key, class, twin, n, fingerprint): a set by two 64-bit sums, its size and its SimHash."""
     key_type = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for b in batches:
             for first, keys, sizes in shingles.batches(b.column(2)):
-                starts, hashes = np.cumsum(sizes) - sizes, mix(keys.astype(np.uint64))
-                some = sizes > 0
+                starts, hashes, some = np.cumsum(sizes) - sizes, mix(keys.astype(np.uint64)), sizes > 0
                 sums = np.zeros((2, len(sizes)), np.uint64)
-                for i, x in enumerate((hashes, mix(~hashes))):
-                    sums[i, some] = np.add.reduceat(x, starts[some]) if some.any() else 0
+                for i, x in enumerate((hashes, mix(~hashes)) if some.any() else ()):
+                    sums[i, some] = np.add.reduceat(x, starts[some])
                 prints = [majority(hashes[a : a + n]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                level, prefix = ranks(keys, ranked), []
-                length = np.where(some, sizes - -(-UP * sizes // DOWN) + 1, 0)
-                for a, n, m in zip(starts.tolist(), sizes.tolist(), length.tolist(), strict=True):
-                    prefix.append(keys[a : a + n][np.argsort(level[a : a + n], kind="stable")[:m]])
-                columns = [*(c.slice(first, len(sizes)) for c in b.columns[:2]), *(pa.array(mix(x + sizes.astype(np.uint64)).view(np.int64)) for x in sums), pa.array(sizes, pa.int32())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(prints, np.uint64).view(np.int64)), lists(np.concatenate([keys[:0], *prefix]), length)], ["row", "key", *(c.split()[0] for c in SET.split(", "))])
+                names = [pa.array(mix(x + sizes.astype(np.uint64)).view(np.int64)) for x in sums]
+                columns = [*(c.slice(first, len(sizes)) for c in b.columns[:2]), *names, pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "key", "class", "twin", "n", "fingerprint"])
 
-    return docs.select("row", "key", binary("text").alias("text")).mapInArrow(run, f"row long, key {key_type}, {SET}")
+    return docs.select("row", "key", binary("text").alias("text")).mapInArrow(run, f"row long, key {key_type}, class long, twin long, n int, fingerprint long")
+
+
+def prefixes(docs: DataFrame, words: int, ranked: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, id, at) of docs (row, text): the shingles of which a similar set shares one, the rarest first; at is size << 32 | position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for b in batches:
+            for first, keys, sizes in shingles.batches(b.column(1)):
+                level, chosen = ranks(keys, ranked), [keys[:0]]
+                length = np.where(sizes > 0, sizes - -(-UP * sizes // DOWN) + 1, 0)
+                for a, n, m in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), length.tolist(), strict=True):
+                    part = keys[a : a + n]
+                    chosen.append(part[np.argsort(level[a : a + n], kind="stable")[:m]] if level[a : a + n].any() else part[:m])
+                position = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+                id_ = b.column(0).slice(first, len(sizes)).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen)), pa.array(np.repeat(id_, length)), pa.array(np.repeat(sizes, length) << 32 | position)], ["key", "id", "at"])
+
+    return docs.select("row", binary("text").alias("text")).mapInArrow(run, "key long, id long, at long")
 
 
 def shared(posted: DataFrame) -> DataFrame:
@@ -175,43 +191,59 @@ def rooted(ids: DataFrame, links: DataFrame) -> DataFrame:
 
 
 class Classes:
-    """The sets of docs (row, key, text): `rows` (row, class, twin), and one row for each set in `own` (id, row, held, least)."""
+    """The sets of docs (row, key, text): `rows` has a row for each of docs, and `own` for each set; its id is its first row."""
 
     def __init__(self, docs: DataFrame, words: int):
         self.docs, self.words = docs, words
-        whole = written(described(docs, words, frequent(docs, words)))
-        self.rows = whole.select("row", "class", "twin")
+        self.rows = cut(described(docs, words))
         place = F.struct(F.col("key").isNull().alias("none"), "key", "row")
-        found = whole.groupBy("class", "twin").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("held"))
-        self.own = cut(found.withColumn("id", F.col("least.row")))  # a class's number is its first row's
-        copies = self.rows.join(self.own.select(F.col("id").alias("row")), "row", "left_anti").select("row")
-        self.first = without(whole, cut(copies), "row").withColumnRenamed("row", "id")
+        found = self.rows.groupBy("class", "twin").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("held"), F.first("fingerprint").alias("fingerprint"))
+        self.own = cut(found.withColumn("id", F.col("least.row")))
+
+    def first(self) -> DataFrame:
+        """One document of each set."""
+        copies = self.rows.select("row").join(self.own.select(F.col("id").alias("row")), "row", "left_anti")
+        return without(self.docs, cut(copies), "row")
 
     def similar(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose whole sets are similar."""
+        """Those of the distinct pairs (a, b) whose whole sets are similar. The texts of each `a` are sent to those of its `b`."""
         pairs = cut(pairs)
-        some = small(cut(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()))
-        texts = self.docs.join(some, "row", "left_semi").select(F.col("row").alias("id"), binary("text").alias("text"))
-        whole = whole_sets(texts, self.words)
-        both = pairs.join(whole.toDF("a", "keys_a"), "a").join(whole.toDF("b", "keys_b"), "b")
-        overlap = F.size(F.array_intersect("keys_a", "keys_b"))
-        return cut(both.where((UP + DOWN) * overlap >= UP * (F.size("keys_a") + F.size("keys_b"))).select("a", "b"))
+        counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+        parts = F.ceil(F.col("n") / MEMBERS).cast("int")
+        dealt = join_dealt(pairs, counts, ["b"], "n", F.col("a")).select(F.col("a").alias("row"), "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"), F.lit(True).alias("member"))
+        leaders = counts.select(F.col("b").alias("row"), "b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("member"))
+        sent = self.docs.select("row", binary("text").alias("text")).join(small(cut(dealt.union(leaders))), "row")
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingles, leader = Shingles(words), np.zeros(0, np.int64)
+            for b in batches:
+                row, of, member, found = b["row"].to_numpy(), b["b"].to_numpy(), b["member"].to_numpy(zero_copy_only=False), []
+                for first, keys, sizes in shingles.batches(b["text"]):
+                    for i, (z, n) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True), first):
+                        one = keys[z - n : z]
+                        if not member[i]:
+                            leader = one
+                        elif (UP + DOWN) * len(np.intersect1d(one, leader, assume_unique=True)) >= UP * (n + len(leader)):
+                            found.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(row[found]), pa.array(of[found])], ["a", "b"])
+
+        return cut(sent.repartition("b", "part").sortWithinPartitions("b", "part", "member").mapInArrow(run, "a long, b long"))
 
     def near_fingerprints(self) -> DataFrame:
         """(a, b): classes whose SimHash fingerprints are equal or that its covering tables link."""
-        prints = self.first.select("id", "fingerprint")
+        prints = self.own.select("id", "fingerprint")
         least = cut(prints.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
-        same = join_dealt(prints, least, ["fingerprint"], "n", F.col("id")).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+        same = join_dealt(prints, least, ["fingerprint"], "n", F.col("id")).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
         linked = near_links(least.select("fingerprint"), RADIUS)
         name = lambda c: least.select(F.col("fingerprint").alias(c), F.col("least").alias(f"{c}_id"))
-        return same.union(linked.join(name("a"), "a").join(name("b"), "b").select(*ordered(F.col("a_id"), F.col("b_id"))))
+        return same.union(linked.join(name("a"), "a").join(name("b"), "b").select("a_id", "b_id"))
 
     def links(self) -> DataFrame:
         """(a, b): similar classes; between any two that are similar there is a path."""
+        found = self.similar(self.near_fingerprints())
         with batch_rows(self.docs.sparkSession, 32_768):
-            posted = self.first.select(F.posexplode("prefix").alias("pos", "key"), "id", "n").select("key", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
-            posted = written(shared(posted))
-            found = self.similar(self.near_fingerprints())
+            posted = written(shared(prefixes(self.first(), self.words, frequent(self.docs, self.words))))
         n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND((1 << 32) - 1)
         posted = posted.select("key", "id", n.alias("n"), pos.alias("pos"), F.floor(F.log(n) / math.log(DOWN / UP)).alias("band"))
 
@@ -222,12 +254,12 @@ class Classes:
         met = met.select(F.struct(F.col("x").alias("id"), F.col("x_n").alias("n"), F.col("x_pos").alias("pos"), F.col("x_root").alias("root")).alias("x"), F.struct("id", "n", "pos", "root").alias("y"))
         met = met.where((F.col("x.root") != F.col("y.root")) & may_reach("x", "y")).groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("leader")).agg(F.count(F.lit(1)).alias("m"))
         rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("m"), "leader"))
-        led = cut(met.withColumn("rank", rank).where("rank = 1").select(*ordered(F.col("id"), F.col("leader"))).distinct())
+        led = cut(met.withColumn("rank", rank).where("rank = 1").select(F.col("id").alias("a"), F.col("leader").alias("b")))
         found = found.union(self.similar(led))
 
         left = self.apart(posted, found)
         met = left.alias("x").join(left.alias("y"), "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_reach("x", "y"))
-        rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(led, ["a", "b"], "left_anti")
+        rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(led.select(*ordered(F.col("a"), F.col("b"))), ["a", "b"], "left_anti")
         return found.union(self.similar(rest))
 
     def apart(self, posted: DataFrame, links: DataFrame) -> DataFrame:
