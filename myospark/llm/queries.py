@@ -30,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lm_score": crossentropy.ORACLE_SQL, "op4_line_dedup": linejoin.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL}
+    return {"op2_lm_score": crossentropy.ORACLE_SQL, "op4_line_dedup": linejoin.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL, "op10_secrets": secrets.ORACLE_SQL}

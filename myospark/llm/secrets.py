@@ -137,3 +137,31 @@ def secret_report(docs: DataFrame) -> DataFrame:
     """find_secrets with `spans` as text: kind:start:end, joined by commas."""
     named = F.transform("found", lambda s: F.concat_ws(":", F.element_at(F.lit(KINDS), s["kind"] + 1), s["start"], s["end"]))
     return find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(named, ",").alias("spans"), "n_live", "n_copied")
+
+
+#: Matches are placed by the lengths of what stands between them; then the same counts and thresholds.
+ORACLE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, coalesce(doc_id::VARCHAR, '') AS repository, coalesce(text, '') AS text FROM documents),
+patterns AS (SELECT * FROM (VALUES
+  (0, 'assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+  (1, 'access', '(AKIA[A-Z0-9]+)', 20), (2, 'hex', '([0-9a-f]+)', 24),
+  (3, 'service', '(gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})', 1)) AS p(kind, name, pattern, least)),
+matched AS (SELECT row, owner, repository, kind, name, least, string_split_regex(text, pattern) AS gaps, regexp_extract_all(text, pattern) AS hits, regexp_extract_all(text, pattern, 1) AS groups FROM docs, patterns),
+listed AS (SELECT row, owner, repository, kind, name, least, unnest(list_transform(gaps, lambda x: len(x))) AS gap, unnest(list_transform(hits, lambda x: len(x))) AS size, unnest(groups) AS value, generate_subscripts(gaps, 1) AS i FROM matched WHERE len(hits) > 0),
+placed AS (
+  SELECT row, owner, repository, kind, name, least, size, value, (sum(gap + coalesce(size, 0)) OVER (PARTITION BY row, kind ORDER BY i))::BIGINT AS stop FROM listed),
+spans AS (SELECT row, owner, repository, kind, name, stop - size AS start, stop, value FROM placed WHERE size IS NOT NULL AND len(value) >= least),
+candidates AS (SELECT DISTINCT row, owner, repository, stop - len(value) AS start, stop, value FROM spans),
+held AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories FROM candidates GROUP BY value),
+bits AS (
+  SELECT value, -sum(n / len(value) * log2(n / len(value))) AS bits FROM (SELECT value, c, count(*)::DOUBLE AS n FROM (SELECT value, unnest(string_split(value, '')) AS c FROM held) GROUP BY value, c) GROUP BY value),
+judged AS (SELECT row, start, stop, owners <= 1 AND repositories <= 3 AS few, owners <= 1 AND repositories <= 3 AND bits >= 2.5 AS live FROM candidates JOIN held USING (value) JOIN bits USING (value)),
+said AS (SELECT row, start, kind, stop, name FROM spans UNION ALL SELECT row, start, 4, stop, 'live' FROM judged WHERE live),
+joined AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans
+  FROM said GROUP BY row),
+counted AS (SELECT row, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT few) AS n_copied FROM judged GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM docs LEFT JOIN joined USING (row) LEFT JOIN counted USING (row)
+"""

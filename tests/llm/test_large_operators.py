@@ -189,6 +189,47 @@ def test_leaks_and_recall(spark):
     assert decontamination.contaminated(corpus(spark, ODD), benchmark.limit(0)).count() == 0
 
 
+def accepted(piece, words):
+    """What verification asks for, on these words."""
+    answer = piece[-decontamination.ANSWER :]
+    part = lcs(piece, words) / len(piece)
+    return part >= decontamination.LEAST_VERBATIM or part >= decontamination.LEAST_PARAPHRASE and lcs(answer, words) >= decontamination.LEAST_ANSWER * len(answer)
+
+
+def test_search_against_all_windows(spark):
+    """Items of any length, verbatim and with up to 45 in a hundred words replaced, against a search of every window."""
+    rng = random.Random(12)
+    items = [(i, prose(n, 3000 + i).split()) for i, n in enumerate([3, 4, 5, 6, 8, 10, 12, 16, 20, 30, 45, 60] * 3)]
+    texts, planted = [(5000 + i, prose(120, 7000 + i)) for i in range(40)], {}
+    for i, words in items:
+        for rate in (0, 0.15, 0.25, 0.35, 0.45):
+            new = [w if rng.random() >= rate or j >= len(words) - 6 and len(words) > 12 else f"z{rng.randrange(999)}" for j, w in enumerate(words)]
+            if rate and rng.random() < 0.3:
+                new.insert(rng.randrange(len(new)), "extra")
+            planted[len(texts)] = (i, rate)
+            texts.append((len(texts), f"{prose(rng.randint(0, 60), 8000 + len(texts))} {' '.join(new)} {prose(rng.randint(0, 60), 9000 + len(texts))}"))
+    want = set()
+    split = {d: t.split() for d, t in texts}
+    for d, words in split.items():
+        for i, piece in items:
+            span, common_words = len(piece) + (len(piece) + 1) // 2, set(piece)
+            if sum(w in common_words for w in words) < decontamination.least_common(len(piece)):
+                continue
+            for a in range(max(1, len(words) - span + 1)):
+                if sum(w in common_words for w in words[a : a + span]) >= decontamination.least_common(len(piece)) and accepted(piece, words[a : a + span]):
+                    want.add((d, i))
+                    break
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(corpus(spark, texts), benchmark).collect()}
+    assert all(accepted(dict(items)[i], split[d]) for d, i in got)
+    for low, high in ((3, 6), (8, 12), (16, 30), (45, 60)):
+        some = {(d, i) for d, i in want if low <= len(dict(items)[i]) <= high}
+        assert some and len(some & got) >= 0.9 * len(some), (low, high)
+    for rates in ((0,), (0.15, 0.25), (0.35, 0.45)):
+        some = {(d, i) for d, i in want if d in planted and planted[d][0] == i and planted[d][1] in rates}
+        assert some and len(some & got) >= 0.9 * len(some), rates
+
+
 def test_singular_vectors(spark, monkeypatch):
     """The projection's Gram matrix is that of the left singular vectors."""
     monkeypatch.setattr(decontamination, "DIMENSIONS", 8)
