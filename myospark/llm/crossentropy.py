@@ -8,7 +8,8 @@ Words: A-Z in lower case, runs of other than ASCII white space, known by 64 bits
 and the history of its first word. p(w) = (c(w) + 1) / (N + V), p(w | h) = (c(h w) + MU p(w)) / (c(h) + MU).
 
 No task holds all words or bigrams. Each task cuts its documents into blocks of bounded size, whatever their ids; each block's
-distinct words and bigrams are sent to the parts of the table of counts, added up there, and the sums sent back to the blocks.
+distinct words, and then its distinct bigrams, are sent to the parts of the table of counts, added up there, and the sums sent
+back to the blocks. A part knows its keys by 48 bits of hash. All numbers travel by byte planes, compressed.
 
 A null text is an empty one: no tokens, null losses. A null doc_id is never target. Repeated rows count as often as they
 occur. A text of any length is counted whole, in one block. No order of words matters, so there are no ties. An empty table
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +32,16 @@ from myospark.session import ensure_workers
 
 MU = 100.0
 #: Tokens of one block, about.
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_500_000
 #: Target ids are broadcast up to this number (8 bytes each); beyond it they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 #: The hash that stands for a document's end; multipliers of a bigram's hash.
 END, HISTORY, WORD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
-BLOCK = "tokens long, ends long, target_tokens long, target_ends long, words array<long>, low binary, high binary, doc_ids array<long>, targets array<boolean>, sizes array<int>"
+BLOCK = "tokens long, ends long, target_tokens long, target_ends long, words binary, numbers binary, doc_ids array<long>, targets array<boolean>, sizes array<int>"
+#: Bytes of a key, of a count and of a word's number.
+KEY, COUNT, NUMBER = 6, 8, 4
+SUMS = "block long, part int, pairs boolean, n binary, n_target binary, kinds long"
 RESULT = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
@@ -48,10 +53,23 @@ def mark_target(docs: DataFrame, target: DataFrame) -> DataFrame:
     return rows.join(ids, rows["doc_id"] == ids["_id"], "left").select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
 
 
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of unsigned numbers, all lowest first, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+
+
+def numbers_of(raw: bytes, width: int) -> np.ndarray:
+    """planes, back, as 64-bit integers."""
+    flat = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(width, -1)
+    out = np.zeros((flat.shape[1], 8), np.uint8)
+    out[:, :width] = flat.T
+    return out.view("<i8").ravel()
+
+
 def encode(marked: DataFrame) -> DataFrame:
     """Blocks of documents (block, *BLOCK): the words' hashes, most frequent first, and each token as a number of one of them.
 
-    Numbers are of 32 bits: `low` and `high` hold 16 each. Written, so that a block stays the same however often it is read.
+    Written, so that a block stays the same however often it is read.
     """
 
     def block(ids: list[pa.Array], targets: list[np.ndarray], sizes: list[np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
@@ -62,8 +80,7 @@ def encode(marked: DataFrame) -> DataFrame:
         number[order] = np.arange(len(order))
         numbers = number[at]
         one = lambda x, kind: pa.array([x], kind)
-        columns = [*(one(int(x), pa.int64()) for x in (n.sum(), (n > 0).sum(), n[own].sum(), (n[own] > 0).sum())), one(values[order].view(np.int64), pa.list_(pa.int64()))]
-        columns += [one((numbers & 0xFFFF).astype(np.uint16).tobytes(), pa.binary()), one((numbers >> 16).astype(np.uint16).tobytes(), pa.binary())]
+        columns = [*(one(int(x), pa.int64()) for x in (n.sum(), (n > 0).sum(), n[own].sum(), (n[own] > 0).sum())), one(planes(values[order], 8), pa.binary()), one(planes(numbers, NUMBER), pa.binary())]
         both = pa.concat_arrays(ids)
         whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         columns += [whole(both), whole(pa.array(own)), whole(pa.array(n.astype(np.int32)))]
@@ -88,44 +105,52 @@ def encode(marked: DataFrame) -> DataFrame:
     return written(marked.select("doc_id", "text", "target").mapInArrow(run, BLOCK).withColumn("block", F.monotonically_increasing_id()))
 
 
+class Keys:
+    """Distinct keys and their counts, in the order of (part, key)."""
+
+    def __init__(self, hashes: np.ndarray, n: np.ndarray, n_target: np.ndarray, parts: int):
+        part, key = ((hashes >> np.uint64(48)) % np.uint64(parts)).astype(np.int64), hashes & np.uint64((1 << 48) - 1)
+        self.order = np.lexsort([key, part])
+        self.part, self.first = np.unique(part[self.order], return_index=True)
+        self.key, self.n, self.n_target = key[self.order], n[self.order], n_target[self.order]
+
+    def requests(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """(part, keys, n, n_target)."""
+        edges = np.append(self.first, len(self.key)).tolist()
+        for part, a, b in zip(self.part.tolist(), edges, edges[1:], strict=False):
+            yield part, planes(self.key[a:b], KEY), planes(self.n[a:b], NUMBER), planes(self.n_target[a:b], NUMBER)
+
+
 class Counts:
-    """A block's distinct words and bigrams, by part of the table of counts, and what its tokens are of them."""
+    """A block's distinct words and bigrams, and what its tokens are of them."""
 
-    def __init__(self, words: np.ndarray, low: bytes, high: bytes, own: np.ndarray, sizes: np.ndarray, parts: int):
-        numbers = np.frombuffer(low, np.uint16).astype(np.int64) | np.frombuffer(high, np.uint16).astype(np.int64) << 16
+    def __init__(self, words: np.ndarray, numbers: np.ndarray, own: np.ndarray, sizes: np.ndarray, parts: int):
         end = len(words)
         self.sizes = np.where(sizes > 0, sizes + 1, 0).astype(np.int64)
-        last = np.cumsum(self.sizes)[sizes > 0] - 1
         token = np.full(int(self.sizes.sum()), end, np.int64)
         inside = np.ones(len(token), bool)
-        inside[last] = False
+        inside[np.cumsum(self.sizes)[sizes > 0] - 1] = False
         token[inside] = numbers
         before = np.append(end, token[:-1])[: len(token)]
         owned = np.repeat(own, self.sizes)
         grams, self.at = np.unique(before * (end + 1) + token, return_inverse=True)
         self.before, self.word = grams // (end + 1), grams % (end + 1)
-        hashes = np.append(words.view(np.uint64), END)
-        single = np.arange(end + 1) if len(token) else np.zeros(0, np.int64)
-        keys = np.concatenate([mix(hashes[single]), mix(hashes[self.before] * HISTORY + hashes[self.word] * WORD)])
+        hashes = np.append(words.view(np.uint64), END)[: end + 1 if len(token) else 0]
         count = lambda x, n, weights=None: np.bincount(x, weights, n).astype(np.int64)
-        n = np.concatenate([count(token, end + 1)[single], count(self.at, len(grams))])
-        n_target = np.concatenate([count(token, end + 1, owned)[single], count(self.at, len(grams), owned)])
-        part = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        self.order = np.argsort(part, kind="stable")
-        self.part, self.first = np.unique(part[self.order], return_index=True)
-        self.keys, self.n, self.n_target = (x[self.order] for x in (keys.view(np.int64), n, n_target))
-        self.singles = len(single)
+        k = len(hashes)
+        self.singles = Keys(mix(hashes), count(token, k), count(token, k, owned), parts)
+        pairs = mix(hashes[self.before] * HISTORY + hashes[self.word] * WORD)
+        self.pairs = Keys(pairs, count(self.at, len(grams)), count(self.at, len(grams), owned), parts)
 
     @classmethod
     def of(cls, table: pa.Table | pa.RecordBatch, row: int, parts: int) -> Counts:
         value = lambda c: table[c][row].values.to_numpy(zero_copy_only=False)
-        return cls(value("words"), table["low"][row].as_py(), table["high"][row].as_py(), value("targets").astype(bool), value("sizes"), parts)
+        return cls(numbers_of(table["words"][row].as_py(), 8), numbers_of(table["numbers"][row].as_py(), NUMBER), value("targets").astype(bool), value("sizes"), parts)
 
-    def losses(self, n: np.ndarray, total: float, kinds: int) -> np.ndarray:
-        """Each document's mean loss under the model with these counts; they are in the order of the keys."""
-        counts = np.empty(len(n))
-        counts[self.order] = n
-        single, pair = counts[: self.singles], counts[self.singles :]
+    def losses(self, singles: np.ndarray, pairs: np.ndarray, total: float, kinds: int) -> np.ndarray:
+        """Each document's mean loss under the model with these counts, which are in the order of the keys."""
+        single, pair = np.empty(len(singles)), np.empty(len(pairs))
+        single[self.singles.order], pair[self.pairs.order] = singles, pairs
         means = np.zeros(len(self.sizes))
         some = self.sizes > 0
         if some.any():
@@ -135,32 +160,37 @@ class Counts:
         return means
 
 
-def requests(blocks: DataFrame, parts: int) -> DataFrame:
-    """(part, block, keys, n, n_target): each block's distinct words and bigrams and counts, by part of the table."""
+def requests(blocks: DataFrame, parts: int, pairs: bool) -> DataFrame:
+    """(part, block, keys, n, n_target): each block's distinct words, or bigrams, and counts, by part of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                c = Counts.of(b, row, parts)
-                edges = pa.array(np.append(c.first, len(c.keys)), pa.int32())
-                lists = [pa.ListArray.from_arrays(edges, pa.array(x, kind)) for x, kind in ((c.keys, pa.int64()), (c.n, pa.int32()), (c.n_target, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(c.part, pa.int32()), pa.array([b["block"][row].as_py()] * len(c.part), pa.int64()), *lists], ["part", "block", "keys", "n", "n_target"])
+                counts = Counts.of(b, row, parts)
+                sent = list(zip(*(counts.pairs if pairs else counts.singles).requests(), strict=True)) or [()] * 4
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                part, *lists = (pa.array(x, kind) for x, kind in zip(sent, kinds, strict=True))
+                yield pa.RecordBatch.from_arrays([part, pa.array([b["block"][row].as_py()] * len(part), pa.int64()), *lists], ["part", "block", "keys", "n", "n_target"])
 
-    return blocks.select("block", "words", "low", "high", "targets", "sizes").mapInArrow(run, "part int, block long, keys array<long>, n array<int>, n_target array<int>")
+    return blocks.select("block", "words", "numbers", "targets", "sizes").mapInArrow(run, "part int, block long, keys binary, n binary, n_target binary")
 
 
-def add_up(asked: DataFrame) -> DataFrame:
-    """(block, part, n, n_target): the sums over all blocks, in the order of each request's keys."""
+def add_up(asked: DataFrame, pairs: bool) -> DataFrame:
+    """(SUMS): the sums over all blocks, in the order of each request's keys; kinds: distinct keys of the part."""
 
     def run(group: pa.Table) -> pa.Table:
-        flat = lambda c: group[c].combine_chunks().flatten().to_numpy()
-        keys = group["keys"].combine_chunks()
-        values, at = np.unique(flat("keys"), return_inverse=True)
-        edges = pa.array(np.append(0, np.cumsum(keys.value_lengths().to_numpy())), pa.int32())
-        sums = lambda c: pa.ListArray.from_arrays(edges, pa.array(np.bincount(at, flat(c), len(values)).astype(np.int64)[at]))
-        return pa.table({"block": group["block"], "part": group["part"], "n": sums("n"), "n_target": sums("n_target")})
+        keys = [numbers_of(x, KEY) for x in group["keys"].to_pylist()]
+        values, at = np.unique(np.concatenate(keys), return_inverse=True)
+        edges = np.append(0, np.cumsum([len(x) for x in keys])).tolist()
+
+        def sums(c: str) -> pa.Array:
+            found = np.bincount(at, np.concatenate([numbers_of(x, NUMBER) for x in group[c].to_pylist()]), len(values)).astype(np.int64)[at]
+            return pa.array([planes(found[a:b], COUNT) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
+
+        same = lambda x, kind: pa.array([x] * len(keys), kind)
+        return pa.table({"block": group["block"], "part": group["part"], "pairs": same(pairs, pa.bool_()), "n": sums("n"), "n_target": sums("n_target"), "kinds": same(len(values), pa.int64())})
 
-    return asked.groupBy("part").applyInArrow(run, "block long, part int, n array<long>, n_target array<long>")
+    return asked.groupBy("part").applyInArrow(run, SUMS)
 
 
 def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -169,18 +199,21 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     blocks = encode(mark_target(docs, target))
     sums = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "ends", "target_tokens", "target_ends")), F.count(F.lit(1))).first()
     totals, parts = (sums[0] + sums[1], sums[2] + sums[3]), max(1, sums[4], -(-(sums[0] + sums[1]) // BLOCK_TOKENS))
-    kinds = blocks.select(F.explode("words").alias("word")).distinct().count() + 1
+    singles = written(add_up(requests(blocks, parts, False), False))
+    kinds = singles.groupBy("part").agg(F.max("kinds").alias("kinds")).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    answers = singles.union(add_up(requests(blocks, parts, True), True))
 
     def run(_key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
         c = Counts.of(group, 0, parts)
-        found = found.sort_by("part")
-        flat = lambda x: found[x].combine_chunks().flatten().to_numpy() if found.num_rows else np.zeros(0)
-        background, own = c.losses(flat("n"), totals[0], kinds), c.losses(flat("n_target"), totals[1], kinds)
+        found = sorted(zip(*(found[x].to_pylist() for x in ("pairs", "part", "n", "n_target")), strict=True))
+        none = np.zeros(0, np.int64)
+        counts = lambda pairs, i: np.concatenate([none, *(numbers_of(r[i], COUNT) for r in found if r[0] == pairs)])
+        background, own = (c.losses(counts(False, 2 + k), counts(True, 2 + k), totals[k], kinds) for k in (0, 1))
         column = lambda x: pa.array(x, pa.float64(), mask=c.sizes == 0)
         return pa.table({"doc_id": group["doc_ids"].combine_chunks().flatten(), "n_tokens": pa.array(c.sizes), "loss_target": column(own), "loss_background": column(background), "score": column(background - own)})
 
-    sent = blocks.select("block", "words", "low", "high", "targets", "sizes", "doc_ids")
-    return sent.groupBy("block").cogroup(add_up(requests(blocks, parts)).groupBy("block")).applyInArrow(run, RESULT)
+    sent = blocks.select("block", "words", "numbers", "targets", "sizes", "doc_ids")
+    return sent.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, RESULT)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
