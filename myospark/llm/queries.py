@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from myospark.llm import cotraining, crossentropy, decontamination, linejoin, packing, secrets, sharding, simhash, toxicity, winnowing
+from myospark.llm import chat, cotraining, crossentropy, decontamination, importance, infill, linejoin, packing, secrets, sharding, simhash, toxicity, winnowing
 from myospark.session import read
 
 
@@ -26,8 +26,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": over_documents(winnowing.compare_edits),
         "op9_packing": over_documents(packing.packing_report),
         "op10_secrets": over_documents(secrets.secret_report),
+        "op11_importance": lambda spark, sf_dir: importance.importance_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
+        "op12_infill": over_documents(infill.infill_report),
+        "op13_chat": lambda spark, sf_dir: chat.chat_report(read(spark, sf_dir, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lm_score": crossentropy.ORACLE_SQL, "op4_line_dedup": linejoin.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL, "op10_secrets": secrets.ORACLE_SQL}
+    modules = {"op2_lm_score": crossentropy, "op4_line_dedup": linejoin, "op6_sharding": sharding, "op10_secrets": secrets, "op11_importance": importance, "op12_infill": infill, "op13_chat": chat}
+    return {name: module.ORACLE_SQL for name, module in modules.items()}
