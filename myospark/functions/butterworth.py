@@ -69,18 +69,24 @@ def paired(poles: np.ndarray) -> list[tuple[float, float]]:
     return [(-(p + q), p * q) for p, q in zip(real[::2], real[1::2], strict=True)] + out
 
 
-def step_through(x: np.ndarray, sections: np.ndarray, states: np.ndarray) -> np.ndarray:
-    """Filter the columns of x (samples by series). states: sections by 2 by series."""
-    y = x.copy()
-    for (b0, b1, b2, a1, a2), (s1, s2) in zip(sections, states.copy(), strict=True):
-        s1, s2 = s1.copy(), s2.copy()
+def advance(x: np.ndarray, sections: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filter the columns of x (samples by series), and the states after it. states: sections by 2 by series."""
+    y, after = x.copy(), states.copy()
+    for i, (b0, b1, b2, a1, a2) in enumerate(sections):
+        s1, s2 = after[i, 0].copy(), after[i, 1].copy()
         for t in range(len(y)):
             value = y[t].copy()
             out = b0 * value + s1
             s1 = b1 * value - a1 * out + s2
             s2 = b2 * value - a2 * out
             y[t] = out
-    return y
+        after[i] = s1, s2
+    return y, after
+
+
+def step_through(x: np.ndarray, sections: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Filter the columns of x (samples by series). states: sections by 2 by series."""
+    return advance(x, sections, states)[0]
 
 
 def one_way(series: list[np.ndarray], f: Bandpass) -> list[np.ndarray]:

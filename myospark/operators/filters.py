@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from myospark.functions.butterworth import design, zero_phase
+from myospark.operators.long_series import filter_blocks
 from myospark.session import ensure_workers
 
 
@@ -30,7 +31,10 @@ def bandpass_arrays(samples: Column, order: int, low: float, high: float, rate:
 
 
 def bandpass(df: DataFrame, keys: list[str], order_by: list[str], value: str, order: int, low: float, high: float, rate: float) -> DataFrame:
-    """(keys, order_by, value, filtered) of series in long form: a series is the rows of a key. One shuffle by the keys."""
+    """(keys, order_by, value, filtered) of series in long form: a series is the rows of a key. One shuffle by the keys.
+
+    A task holds a whole series; `long_series.bandpass_long` gives the same for series of any length.
+    """
     ensure_workers(df.sparkSession)
     item = F.struct(*[F.col(c) for c in order_by], F.col(value).cast("double").alias(value))
     series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
@@ -39,18 +43,8 @@ def bandpass(df: DataFrame, keys: list[str], order_by: list[str], value: str, or
 
 
 def bandpass_signals(signals: DataFrame, order: int, low: float, high: float, rate: float) -> DataFrame:
-    """Filtered chunked signals: a channel's chunks are joined, filtered, and cut again. One shuffle by (file, channel)."""
-    ensure_workers(signals.sparkSession)
-    f, schema = design(order, low, high, rate), signals.schema
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk_idx").reset_index(drop=True)
-        y = zero_phase([np.concatenate(group["samples"].to_list())], f)[0]
-        edges = np.cumsum([len(s) for s in group["samples"]])[:-1]
-        group["samples"] = np.split(y, edges)
-        return group
-
-    return signals.groupBy("file_id", "channel_idx").applyInPandas(run, schema)
+    """Filtered chunked signals. A channel's chunks may lie in any tasks, however many they are: only filter states are gathered."""
+    return filter_blocks(signals, ["file_id", "channel_idx"], "chunk_idx", "samples", design(order, low, high, rate))
 
 
 def differential_raw(df: DataFrame, matrix: str, channel: str, sample: str, value: str) -> DataFrame:

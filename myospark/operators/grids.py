@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from collections.abc import Callable
@@ -11,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from myospark.sources.stores import system_of
+
 #: Fixed value: product names in descriptions: distance in mm, rows, columns.
 TOKEN = r"HD(\d{2})MM(\d{2})(\d{2})"
 CATALOG = "ord int, product string, electrodes int"
 WEEK = 7 * 24 * 3600
-NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
 def parse_token(text: Column) -> dict[str, Column]:
@@ -73,6 +73,7 @@ def get_grid(grids: DataFrame, grid_key: str | None = None, grid_uid: str | None
 class GridCatalog:
     """The catalogue of grid products: from memory, from a cache file younger than a week, or from `fetch`.
 
+    cache: a path or URI that Arrow's file systems know; it may be shared, as it is replaced whole.
     fetch: a function without arguments that returns a list of {product, electrodes}, such as a web request. What fails
     counts as an empty catalogue, which is remembered too.
     """
@@ -87,17 +88,28 @@ class GridCatalog:
             try:
                 self.known = self.fetch() if self.fetch else []
                 if self.cache and self.fetch:
-                    with open(self.cache, "w") as f:
-                        json.dump(self.known, f)
+                    self._replace()
             except Exception:
                 self.known = []
         return self.known
 
+    def _replace(self) -> None:
+        """Write the cache under another name and move it into place, so that whoever reads it finds a whole file."""
+        system, at = system_of(self.cache)
+        part = f"{at}.{uuid.uuid4()}"
+        with system.open_output_stream(part) as f:
+            f.write(json.dumps(self.known).encode())
+        system.move(part, at)
+
     def _cached(self) -> list[dict] | None:
+        if not self.cache:
+            return None
         try:
-            if self.cache and self.clock() - os.path.getmtime(self.cache) < WEEK:
-                with open(self.cache) as f:
-                    return json.load(f)
+            system, at = system_of(self.cache)
+            written = system.get_file_info(at).mtime
+            if written is not None and self.clock() - written.timestamp() < WEEK:
+                with system.open_input_stream(at) as f:
+                    return json.loads(f.read())
         except (OSError, ValueError):
             return None
         return None

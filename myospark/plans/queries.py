@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from myospark.functions import columns as C
 from myospark.functions.butterworth import Bandpass, design
-from myospark.operators import filters, grids, layout, tracks
+from myospark.operators import filters, grids, layout, long_series, tracks
 from myospark.session import ensure_workers, read
 from myospark.sources import encode, mat
 from myospark.sources.files import decode_files
@@ -243,6 +243,13 @@ def bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("user_id", F.posexplode("y").alias("sample_idx", "filtered")).select("user_id", long("sample_idx"), F.round("filtered", 6).alias("filtered"))
 
 
+@query(f"""SELECT user_id, event_id, round(filtered, 6) AS filtered FROM ({filter_sql(f'SELECT user_id AS key, sample_idx AS i, value AS x FROM ({SERIES_SQL})', design(*EVENTS_FILTER))}) f
+JOIN (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) e ON e.user_id = f.key AND e.i = f.i""")
+def bandpass_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = long_series.bandpass_long(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", *EVENTS_FILTER)
+    return done.select("user_id", "event_id", F.round("filtered", 6).alias("filtered"))
+
+
 @query(f"SELECT key // 1000000 AS label, key % 1000000 AS diff_idx, i AS sample_idx, round(filtered, 6) AS filtered FROM ({filter_sql(f'SELECT label * 1000000 + diff_idx AS key, sample_idx AS i, raw AS x FROM ({DIFFERENCE_SQL})', design(*MATRIX_FILTER))})")
 def differential_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_workers(spark)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from myospark.operators.grids import GridCatalog, extract_grids, get_grid
 from myospark.session import cut
-from myospark.sources import files
+from myospark.sources import files, mat_sink
 
 
 @dataclass
@@ -38,6 +38,11 @@ class Recording:
     def recordings(self) -> DataFrame:
         return files.recordings(self.described)
 
+    @property
+    def warnings(self) -> DataFrame:
+        """(file_id, warning): what is odd about the files, as their readers found."""
+        return files.warnings(self.described)
+
     @property
     def grids(self) -> DataFrame:
         """The grids; their uids are the same each time."""
@@ -58,7 +63,7 @@ class Recording:
         ending = suffix if suffix is not None else PurePosixPath(target).suffix
         if ending not in ("", ".mat"):
             raise ValueError(f"no writer for files that end in {ending!r}")
-        found = files.write_mat_files(self.signals, target=target) if named else files.write_mat_files(self.signals, target)
+        found = mat_sink.write_mat_files(self.signals, target=target) if named else mat_sink.write_mat_files(self.signals, target)
         return [r["path"] for r in found.collect()]
 
     def copy(self) -> Recording:

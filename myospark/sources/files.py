@@ -1,38 +1,38 @@
 """Readers and writer of recordings as DataFrames.
 
-Files are listed and read by Spark's binary file source, so any file system that Spark knows will do; a task decodes the
-files it is given, one at a time, in memory. Rows are chunks of at most CHUNK samples of one channel; a recording without
+Files are listed by Spark, without their content. A file is read in parts of about SPLIT_BYTES: each task opens it, reads its header by seeking,
+and then only the samples of its part. Stores that Arrow's file systems don't know are read through Spark's binary file source instead,
+each file whole by one task (2 GB at most, Spark's limit). Rows are chunks of at most CHUNK samples of one channel; a recording without
 samples has a chunk of none for each channel, and one without channels a row without a channel.
 """
 
 from __future__ import annotations
 
-import logging
-import os
-import uuid
+import io
 from collections.abc import Iterator
 from pathlib import PurePosixPath
+from typing import BinaryIO
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from myospark.functions.columns import FILE_TYPES
 from myospark.session import ensure_workers
-from myospark.sources import mat, otb, otb4
+from myospark.sources import mat, otb, otb4, stores
+from myospark.sources.recording import logger_of
+from myospark.sources.stores import open_file
 
-logger = logging.getLogger(__name__)
-logger.addHandler(logging.NullHandler())
-
-#: Samples of a chunk; values that go to the JVM in one batch, about.
-CHUNK, BATCH_VALUES = 1 << 16, 1 << 20
+#: Samples of a chunk; values that go to the JVM in one batch, about; bytes of a file that one task reads, about; tasks, at most.
+CHUNK, BATCH_VALUES, SPLIT_BYTES, MOST_TASKS = 1 << 16, 1 << 20, 1 << 27, 100_000
 DECODERS = {"mat": mat.decode, "otb": otb.decode, "otb4": otb4.decode}
-HEAD = "file_id string, file_name string, file_type string, file_size long, sampling_frequency double, n_samples long, channel_count int, single boolean, time_aligned boolean, channel_idx int, description string"
+#: warnings: what is odd about the recording, in words.
+HEAD = "file_id string, file_name string, file_type string, file_size long, sampling_frequency double, n_samples long, channel_count int, single boolean, time_aligned boolean, warnings array<string>, channel_idx int, description string"
 #: time: as the file stores it, null where it is the axis of the sampling frequency. One that isn't aligned with the samples
 #: (time_aligned) stands whole in the first chunk.
 SIGNALS = HEAD + ", chunk_idx int, start_sample long, samples array<double>, time array<double>"
+PARTS = "path string, length long, part int, parts int"
 
 
 def type_of(path: str) -> str:
@@ -43,62 +43,107 @@ def type_of(path: str) -> str:
     return FILE_TYPES[suffix]
 
 
-def read_recordings(spark: SparkSession, path: str | list[str], file_type: str | None = None, header_only: bool = False, channels: list[int] | None = None, recursive: bool = False) -> DataFrame:
+def read_recordings(spark: SparkSession, path: str | list[str], file_type: str | None = None, header_only: bool = False, channels: list[int] | None = None, recursive: bool = False, seconds: tuple[float, float] | None = None) -> DataFrame:
     """A row for each chunk of each channel (SIGNALS), or with header_only for each channel (HEAD).
 
-    path: a file, folder or pattern, or several. channels: only these. Column pruning can't reach into a file, but
-    header_only leaves samples undecoded, and `channels` keeps the others from leaving the reader.
+    path: a file, folder or pattern, or several. channels: only these. seconds: only chunks with samples from the first time to before
+    the second. With header_only, and outside of these seconds, samples aren't read from files whose ranges can be read.
     """
     reader = ensure_workers(spark).read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return decode_files(reader.load(path), file_type, header_only, channels)
+    found = reader.load(path)
+    listed = found.select("path", "length")
+    size, schemes = listed.agg(F.sum("length"), F.collect_set(F.regexp_extract("path", "^([^:/]*):", 1))).first()
+    if not set(schemes) <= stores.SCHEMES.keys():
+        return decode_files(found, file_type, header_only, channels, seconds)
+    if header_only:
+        return decode_parts(listed.withColumns({"part": F.lit(0), "parts": F.lit(1)}), file_type, True, channels, seconds)
+    parts = F.ceil(F.greatest(F.col("length"), F.lit(1)) / SPLIT_BYTES).cast("int")
+    rows = listed.withColumn("parts", parts).select("path", "length", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+    tasks = min(MOST_TASKS, -(-(size or 0) // SPLIT_BYTES))
+    return decode_parts(rows.repartition(tasks) if tasks > 1 else rows, file_type, False, channels, seconds)
+
+
+def decode_parts(parts: DataFrame, file_type: str | None = None, header_only: bool = False, channels: list[int] | None = None, seconds: tuple[float, float] | None = None) -> DataFrame:
+    """The rows of parts of files (PARTS). A part's task opens the file itself."""
+    schema = HEAD if header_only else SIGNALS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, size, part, of in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with open_file(path) as file:
+                    yield from as_batches(decoded_rows(path, size, file, file_type, header_only, channels, part, of, seconds), schema)
 
+    return parts.select("path", "length", "part", "parts").mapInArrow(run, schema)
 
-def decode_files(files: DataFrame, file_type: str | None = None, header_only: bool = False, channels: list[int] | None = None) -> DataFrame:
-    """The same for rows of Spark's binary file source, also of a stream of them."""
+
+def decode_files(files: DataFrame, file_type: str | None = None, header_only: bool = False, channels: list[int] | None = None, seconds: tuple[float, float] | None = None) -> DataFrame:
+    """The same for rows of Spark's binary file source (path, length, content), also of a stream of them."""
     schema = HEAD if header_only else SIGNALS
-    types = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
             for path, size, content in zip(*(files.column(c) for c in ("path", "length", "content")), strict=True):
-                rows, held = [], 0
-                for row in decoded_rows(path.as_py(), size.as_py(), content.as_py(), file_type, header_only, channels):
-                    rows.append(row)
-                    held += 1 if header_only else 1 + len(row[-2])
-                    if held >= BATCH_VALUES:
-                        yield as_batch(rows, types)
-                        rows, held = [], 0
-                yield as_batch(rows, types)
+                file = io.BytesIO(content.as_py())
+                yield from as_batches(decoded_rows(path.as_py(), size.as_py(), file, file_type, header_only, channels, 0, 1, seconds), schema)
 
     return files.select("path", "length", "content").mapInArrow(run, schema)
 
 
 def arrow_schema(schema: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
 
+def as_batches(rows: Iterator[list], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about BATCH_VALUES values."""
+    types, some, held = arrow_schema(schema), [], 0
+    for row in rows:
+        some.append(row)
+        held += 1 if schema is HEAD else 1 + len(row[-2])
+        if held >= BATCH_VALUES:
+            yield as_batch(some, types)
+            some, held = [], 0
+    yield as_batch(some, types)
+
+
 def as_batch(rows: list[list], types: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(types)], schema=types)
 
 
-def decoded_rows(path: str, size: int, content: bytes, file_type: str | None, header_only: bool, channels: list[int] | None) -> Iterator[list]:
-    """The rows of one file."""
+def chunks_of(n_samples: int, part: int, parts: int, rate: float, seconds: tuple[float, float] | None) -> range:
+    """The chunks that a part of a recording consists of, without those that lie outside of the seconds asked for."""
+    total = -(-max(n_samples, 1) // CHUNK)
+    low, high = part * total // parts, (part + 1) * total // parts
+    if seconds is not None:
+        first, last = (int(np.ceil(s * rate)) for s in seconds)
+        low, high = max(low, first // CHUNK), min(high, -(-last // CHUNK))
+    return range(low, high)
+
+
+def decoded_rows(path: str, size: int, file: BinaryIO, file_type: str | None, header_only: bool, channels: list[int] | None, part: int = 0, parts: int = 1, seconds: tuple[float, float] | None = None) -> Iterator[list]:
+    """The rows of a part of one file. Where ranges can't be read by themselves, the first part has all rows and the others none."""
     kind = file_type or type_of(path)
-    d = DECODERS[kind](content, header_only)
-    logger.debug("%s: %s samples of %s channels at %s", path, d.n_samples, d.n_channels, d.rate)
-    head = [path, path.rsplit("/", 1)[-1], kind, size, d.rate, d.n_samples, d.n_channels, d.single, d.time_aligned]
+    if kind == "mat" and part:
+        return
+    d = DECODERS[kind](file, header_only)
+    if not d.ranged:
+        if part:
+            return
+        parts = 1
+    logger_of(__name__).debug("%s: %s samples of %s channels at %s", path, d.n_samples, d.n_channels, d.rate)
+    head = [path, path.rsplit("/", 1)[-1], kind, size, d.rate, d.n_samples, d.n_channels, d.single, d.time_aligned, d.warnings]
     stored = None if d.time is None or d.time_aligned and np.array_equal(d.time, np.arange(d.n_samples) / d.rate) else d.time
     listed = range(d.n_channels) if channels is None else [c for c in channels if 0 <= c < d.n_channels]
-    for c in listed if d.n_channels else [None]:
-        row = [*head, c, d.descriptions[c] if c is not None and d.descriptions and c < len(d.descriptions) else None]
-        if header_only:
-            yield row
-            continue
-        for k, s in enumerate(range(0, max(d.n_samples, 1), CHUNK)):
-            samples = d.data[c, s : s + CHUNK] if c is not None else np.zeros(0)
-            time = None if stored is None else stored[s : s + CHUNK] if d.time_aligned else stored if k == 0 else None
-            yield [*row, k, s, samples, time]
+    described = lambda c: d.descriptions[c] if c is not None and d.descriptions and c < len(d.descriptions) else None
+    if header_only:
+        yield from ([*head, c, described(c)] for c in (listed if d.n_channels else [None]))
+        return
+    for k in chunks_of(d.n_samples, part, parts, d.rate, seconds):
+        s = k * CHUNK
+        data = d.read(s, max(0, min(CHUNK, d.n_samples - s))) if d.n_channels else None
+        time = None if stored is None else stored[s : s + CHUNK] if d.time_aligned else stored if k == 0 else None
+        for c in listed if d.n_channels else [None]:
+            yield [*head, c, described(c), k, s, np.zeros(0) if data is None else data[c], time]
 
 
 def mat_path(path: str) -> str:
@@ -106,49 +151,6 @@ def mat_path(path: str) -> str:
     return str(PurePosixPath(path).with_suffix(".mat")) if "://" not in path else path.rsplit(".", 1)[0] + ".mat" if "." in path.rsplit("/", 1)[-1] else path + ".mat"
 
 
-def write_mat_files(signals: DataFrame, path: str | None = None, target: str | None = None) -> DataFrame:
-    """Write each recording to a file of its own; a lazy DataFrame (file_id, path, bytes) that writes when it runs.
-
-    path: the folder; the files keep their names, with the suffix .mat. target: the file itself, for a single recording;
-    another suffix than .mat is replaced. Recordings that would be written to one file are an error before it is written.
-    Files go through pyarrow's file systems, so the folder may be any URI that they know; it must be shared by the
-    executors. A recording is written by one task, under another name until it is whole.
-    """
-    import pyarrow.fs
-
-    ensure_workers(signals.sparkSession)
-
-    stem = F.regexp_replace("file_name", r"^(.+)\.[^.]+$", "$1")
-    named = F.lit(target if target.lower().endswith(".mat") else mat_path(target)) if target is not None else F.concat(F.lit(f"{path}/"), stem, F.lit(".mat"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        if group["file_id"].nunique() > 1:
-            raise ValueError(f"several recordings would be written to {group['target'].iloc[0]}: {', '.join(sorted(group['file_id'].unique())[:3])}")
-        group = group.sort_values(["channel_idx", "chunk_idx"])
-        first = group.iloc[0]
-        joined = lambda g, c: np.concatenate([np.zeros(0), *(x for x in g[c] if x is not None)])
-        channels = [g for _, g in group.groupby("channel_idx")]
-        data = np.stack([joined(g, "samples") for g in channels], axis=1) if channels else np.zeros((0, 0))
-        if first["single"]:
-            data = data.astype(np.float32)
-        stored = (channels[0] if channels else group)["time"]
-        time = joined({"time": stored}, "time") if stored.notna().any() else np.arange(len(data)) / first["sampling_frequency"]
-        described = group.drop_duplicates("channel_idx")["description"]
-        variables = {"Data": data, "Time": time[:, None], "SamplingFrequency": np.array([[first["sampling_frequency"]]])}
-        if described.notna().all():
-            variables["Description"] = described.tolist()
-        content, to = mat.write_mat(variables), first["target"]
-        system, at = pyarrow.fs.FileSystem.from_uri(to if "://" in to or to.startswith("file:") else os.path.abspath(to))
-        part = f"{at}.{uuid.uuid4()}.part"
-        with system.open_output_stream(part) as out:
-            out.write(content)
-        system.move(part, at)
-        logger.info("saved %s", to)
-        return pd.DataFrame({"file_id": [first["file_id"]], "path": [to], "bytes": [len(content)]})
-
-    return signals.withColumn("target", named).groupBy("target").applyInPandas(run, "file_id string, path string, bytes long")
-
-
 def recordings(signals: DataFrame) -> DataFrame:
     """One row for each file."""
     keys = ["file_id", "file_name", "file_type", "file_size", "sampling_frequency", "n_samples", "channel_count"]
@@ -159,3 +161,6 @@ def channels(signals: DataFrame) -> DataFrame:
     return signals.where("channel_idx is not null").select("file_id", "channel_idx", "description").distinct()
 
 
+def warnings(signals: DataFrame) -> DataFrame:
+    """(file_id, warning): what readers found odd about files."""
+    return signals.select("file_id", F.explode("warnings").alias("warning")).distinct()

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import logging
+import io
 from dataclasses import dataclass, field
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import numpy as np
 
 from myospark.functions.columns import BITS, CHANNELS, DEVICE, RATE, SUPPLY_VOLTS
-from myospark.sources.archives import members, signal_files
-from myospark.sources.recording import Decoded
-
-logger = logging.getLogger(__name__)
-logger.addHandler(logging.NullHandler())
+from myospark.sources.archives import Archive
+from myospark.sources.recording import Decoded, logger_of
 
 
 @dataclass
@@ -62,13 +60,14 @@ def parse_header(xml: bytes) -> Header:
     return h
 
 
+def width(bits: int) -> int:
+    """Bytes of a stored number: two for 16 bits, four for all others."""
+    return 2 if bits == 16 else 4
+
+
 def counts(raw: bytes, channels: int, bits: int) -> np.ndarray:
-    """Channels by samples; a partial last sample is left out. 16 bits are stored in two bytes, all others in four."""
-    values = np.frombuffer(raw, "<i2" if bits == 16 else "<i4", len(raw) // (2 if bits == 16 else 4))
-    whole = len(values) // channels
-    if whole * channels != len(values):
-        logger.warning("%s values are left over of %s for %s channels", len(values) - whole * channels, len(values), channels)
-    return values[: whole * channels].reshape(whole, channels).T
+    """Channels by samples."""
+    return np.frombuffer(raw, f"<i{width(bits)}").reshape(-1, channels).T
 
 
 def millivolts(x: np.ndarray, gains: list[float], bits: int) -> np.ndarray:
@@ -76,16 +75,24 @@ def millivolts(x: np.ndarray, gains: list[float], bits: int) -> np.ndarray:
     return x.astype(float) * SUPPLY_VOLTS / 2.0**bits * 1000.0 / by
 
 
-def decode(content: bytes, header_only: bool = False) -> Decoded:
-    found = members(content)
-    signals = signal_files(found)
-    if not signals:
+def decode(content: bytes | BinaryIO, header_only: bool = False) -> Decoded:
+    """A partial last sample is left out. Only the header is read before samples are asked for."""
+    archive = Archive(io.BytesIO(content) if isinstance(content, bytes) else content)
+    if not archive.signals:
         raise FileNotFoundError("the archive has no .sig file")
-    header_file = signals[0][: -len(".sig")] + ".xml"
-    if header_file not in found:
+    signal = archive.signals[0]
+    header_file = signal[: -len(".sig")] + ".xml"
+    if header_file not in archive:
         raise FileNotFoundError(f"the archive has no {header_file}")
-    h = parse_header(found[header_file])
+    h = parse_header(archive.read(header_file))
     if None in h.descriptions:
         raise ValueError(f"channel {h.descriptions.index(None)} has no description")
-    raw = counts(found[signals[0]], h.channels, h.bits)
-    return Decoded(h.rate, raw.shape[1], h.descriptions, None if header_only else millivolts(raw, h.gains, h.bits))
+    values, step = archive.size(signal) // width(h.bits), h.channels * width(h.bits)
+
+    def read(start: int, n: int) -> np.ndarray:
+        return millivolts(counts(archive.read(signal, start * step, n * step), h.channels, h.bits), h.gains, h.bits)
+
+    d = Decoded(h.rate, values // h.channels, h.descriptions, None if header_only else read, ranged=archive.stored(signal))
+    if values % h.channels:
+        d.warn(logger_of(__name__), f"{values % h.channels} values are left over of {values} for {h.channels} channels")
+    return d

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import logging
+import io
 from dataclasses import dataclass
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import numpy as np
 
 from myospark.operators.layout import check_divisible
-from myospark.sources.archives import members, signal_files
-from myospark.sources.recording import Decoded
+from myospark.sources.archives import Archive
+from myospark.sources.recording import Decoded, logger_of, nothing
 
 #: Fixed values of the format: the list of tracks, the device with a stream for each track, and the default rate.
 TRACKS, MANY_STREAMS, RATE = "Tracks_000.xml", "Novecento+", 2000.0
 
-logger = logging.getLogger(__name__)
-logger.addHandler(logging.NullHandler())
-
 
 @dataclass
 class Track:
@@ -63,46 +61,59 @@ def parse_tracks(xml: bytes) -> list[Track]:
     return [track(e) for e in ElementTree.fromstring(xml).iterfind("TrackInfo")]
 
 
-def one_stream(found: dict[str, bytes], tracks: list[Track], header_only: bool = False) -> Decoded:
+def one_stream(archive: Archive, tracks: list[Track]) -> Decoded:
     """The first stream's channels, in two bytes each whatever the track says, dealt to the tracks in turn."""
-    signals = signal_files(found)
-    if not signals:
-        return Decoded(RATE, 0, [], np.zeros((0, 0)))
-    values, total = np.frombuffer(found[signals[0]], "<i2"), sum(t.channels for t in tracks)
-    samples = check_divisible(len(values), total)
+    if not archive.signals:
+        return Decoded(RATE, 0, [], nothing)
+    signal, total = archive.signals[0], sum(t.channels for t in tracks)
+    if archive.size(signal) % 2:
+        raise ValueError(f"{signal} ends inside a value")
+    samples = check_divisible(archive.size(signal) // 2, total)
     factors = np.repeat([t.factor for t in tracks], [t.channels for t in tracks])
-    data = None if header_only else values.reshape(samples, total).T * factors[:, None]
-    return Decoded(tracks[0].rate, samples, [d for t in tracks for d in t.describe()], data)
+
+    def read(start: int, n: int) -> np.ndarray:
+        return np.frombuffer(archive.read(signal, start * 2 * total, n * 2 * total), "<i2").reshape(n, total).T * factors[:, None]
+
+    return Decoded(tracks[0].rate, samples, [d for t in tracks for d in t.describe()], read, ranged=archive.stored(signal))
 
 
-def many_streams(found: dict[str, bytes], tracks: list[Track], header_only: bool = False) -> Decoded:
+def many_streams(archive: Archive, tracks: list[Track]) -> Decoded:
     """Four-byte streams, each with the first track that names it; all cut to the shortest and stacked."""
     by_path: dict[str, Track] = {}
     for t in tracks:
         by_path.setdefault(t.path, t)
-    matched = [(found[s], by_path[n]) for s in signal_files(found) if (n := s.rsplit("/", 1)[-1]) in by_path]
+    matched = [(s, by_path[n]) for s in archive.signals if (n := s.rsplit("/", 1)[-1]) in by_path]
     for _, t in matched:
         if t.channels < 1:
             raise ValueError(f"track {t.subtitle!r} has no channels")
+        if t.gain == 0:
+            raise ValueError(f"the gain of track {t.subtitle!r} is 0")
     if not matched:
-        return Decoded(RATE, 0, [], np.zeros((0, 0)))
-    lengths = [len(raw) // 4 // t.channels for raw, t in matched]
+        return Decoded(RATE, 0, [], nothing)
+    lengths = [archive.size(s) // 4 // t.channels for s, t in matched]
+
+    def read(start: int, n: int) -> np.ndarray:
+        some = [(archive.read(s, start * 4 * t.channels, n * 4 * t.channels), t) for s, t in matched]
+        return np.vstack([np.frombuffer(raw, "<i4").reshape(n, t.channels).T * t.factor for raw, t in some])
+
+    descriptions = [d for _, t in matched for d in t.describe()]
+    d = Decoded(matched[0][1].rate or RATE, min(lengths), descriptions, read, ranged=all(archive.stored(s) for s, _ in matched))
     if len({t.rate for _, t in matched}) > 1:
-        logger.warning("the tracks differ in sampling frequency; the first one's counts")
+        d.warn(logger_of(__name__), "the tracks differ in sampling frequency; the first one's counts")
     if len(set(lengths)) > 1:
-        logger.warning("the streams differ in length; all are cut to %s samples", min(lengths))
-    shortest, blocks = min(lengths), []
-    for raw, t in matched if not header_only else []:
-        values = np.frombuffer(raw, "<i4", shortest * t.channels)
-        blocks.append(values.reshape(shortest, t.channels).T * t.factor)
-    return Decoded(matched[0][1].rate or RATE, shortest, [d for _, t in matched for d in t.describe()], np.vstack(blocks) if blocks else None)
+        d.warn(logger_of(__name__), f"the streams differ in length; all are cut to {min(lengths)} samples")
+    return d
 
 
-def decode(content: bytes, header_only: bool = False) -> Decoded:
-    found = members(content)
-    if TRACKS not in found:
+def decode(content: bytes | BinaryIO, header_only: bool = False) -> Decoded:
+    """Only the list of tracks is read before samples are asked for."""
+    archive = Archive(io.BytesIO(content) if isinstance(content, bytes) else content)
+    if TRACKS not in archive:
         raise FileNotFoundError(f"the archive has no {TRACKS}")
-    tracks = parse_tracks(found[TRACKS])
+    tracks = parse_tracks(archive.read(TRACKS))
     if not tracks:
         raise ValueError(f"{TRACKS} describes no track")
-    return (many_streams if tracks[0].device == MANY_STREAMS else one_stream)(found, tracks, header_only)
+    d = (many_streams if tracks[0].device == MANY_STREAMS else one_stream)(archive, tracks)
+    if header_only:
+        d.read = None
+    return d

@@ -8,7 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from myospark.functions import butterworth
-from myospark.functions.butterworth import design, zero_phase
+from myospark.functions.butterworth import advance, design, zero_phase
+from myospark.functions.recurrence import STEP, Recurrence, starts
+from myospark.operators import long_series
 from myospark.operators.filters import bandpass, bandpass_signals, to_differential
 
 
@@ -25,13 +27,14 @@ def test_gain_at_the_edges_after_both_passes(args, low, high):
     assert gain(f, args[2], args[3]) == pytest.approx(high, abs=1e-4)
 
 
-def test_three_tones():
-    t = np.arange(1000) / 1000
-    x = sum(np.sin(2 * np.pi * f * t) for f in (10, 50, 200))
-    y = zero_phase([x], design(4, 40, 100, 1000))[0]
-    before, after = np.abs(np.fft.rfft(x)), np.abs(np.fft.rfft(y))
-    assert y.shape == x.shape
-    assert after[10] < 0.1 * before[10] and after[200] < 0.1 * before[200] and after[50] > 0.5 * before[50]
+def test_tones_in_and_out_of_the_band():
+    """Five seconds at 2,500 Hz: what lies an octave or more outside of 70 to 300 Hz goes, what lies in the middle stays."""
+    rate, inside, outside = 2500, [110, 190], [7, 23, 640, 1100]
+    t = np.arange(5 * rate) / rate
+    x = sum(k * np.cos(2 * np.pi * f * t + f) for k, f in enumerate(inside + outside, 1))
+    y = zero_phase([x], design(6, 70, 300, rate))[0]
+    share = np.abs(np.fft.rfft(y)) / np.abs(np.fft.rfft(x))
+    assert all(share[5 * f] > 0.9 for f in inside) and all(share[5 * f] < 0.05 for f in outside)
 
 
 def direct(x, f):
@@ -98,6 +101,56 @@ def test_bandpass_in_long_form_and_in_chunks(spark):
     np.testing.assert_allclose(np.concatenate([r["samples"] for r in out]), want["b"], atol=1e-12)
 
 
+NARROW, WIDE = (4, 0.2, 3, 2000), (6, 20, 450, 2000)  # the first forgets its states only after some 10^5 samples
+
+
+@pytest.mark.parametrize("args", [NARROW, WIDE])
+def test_recurrence_cut_anywhere(args):
+    x, r = np.random.default_rng(4).standard_normal(5 * STEP + 77), Recurrence(design(*args))
+    whole, after = advance(x[:, None], r.f.sections, r.f.initial[:, :, None])
+    y, end = r.run(x, r.initial)
+    np.testing.assert_allclose(y, whole[:, 0], atol=1e-10)
+    np.testing.assert_allclose(end, after.ravel(), atol=1e-9)
+    cuts = np.split(x, [0, 1, 2, STEP, STEP + 1, 900])
+    found, last = starts(r, [len(b) for b in cuts], [r.left_by(b) for b in cuts], r.initial)
+    np.testing.assert_allclose(np.concatenate([r.run(b, s)[0] for b, s in zip(cuts, found, strict=True)]), y, atol=1e-9)
+    np.testing.assert_allclose(last, end, atol=1e-9)
+
+
+@pytest.mark.parametrize("args", [NARROW, WIDE])
+def test_long_series_over_many_tasks(spark, args):
+    """Blocks of unequal lengths, of one sample and of none, dealt over tasks; a null key is a series like others."""
+    rng = np.random.default_rng(5)
+    series = {"a": rng.standard_normal(9000), None: rng.standard_normal(400), "b": rng.standard_normal(22)}
+    cuts = {"a": [0, 3, 3, 7, 2500, 6100, 8999], None: [1, 390], "b": [20]}
+    rows = [(k, j, [float(v) for v in b], f"{k} {j}") for k, x in series.items() for j, b in enumerate(np.split(x, cuts[k]))]
+    blocks = spark.createDataFrame(rows, "k string, j int, x array<double>, kept string").repartition(7)
+    got = sorted(long_series.filter_blocks(blocks, ["k"], "j", "x", design(*args)).collect(), key=lambda r: r["j"])
+    assert all(r["kept"] == f"{r['k']} {r['j']}" and r.asDict().keys() == {"k", "j", "x", "kept"} for r in got)
+    for k, x in series.items():
+        y = np.concatenate([r["x"] for r in got if r["k"] == k])
+        np.testing.assert_allclose(y, zero_phase([x], design(*args))[0], atol=1e-9)
+
+
+def test_long_form_of_one_series_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(long_series, "BLOCK_BITS", 7)
+    x = np.random.default_rng(6).standard_normal(5000)
+    rows = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k int, i int, v double").repartition(3)
+    out = long_series.bandpass_long(rows, ["k"], ["i"], "v", *WIDE)
+    got = sorted(out.collect(), key=lambda r: r["i"])
+    assert out.columns == ["k", "i", "v", "filtered"] and [r["v"] for r in got] == x.tolist()
+    np.testing.assert_allclose([r["filtered"] for r in got], zero_phase([x], design(*WIDE))[0], atol=1e-9)
+
+
+def test_errors_and_emptiness_of_long_series(spark):
+    blocks = lambda rows: spark.createDataFrame(rows, "k int, j int, x array<double>")
+    with pytest.raises(Exception, match="too short"):
+        long_series.filter_blocks(blocks([(1, 0, [1.0] * 10), (1, 1, [1.0] * 11)]), ["k"], "j", "x", design(*WIDE)).collect()
+    with pytest.raises(Exception, match="have the same j"):
+        long_series.filter_blocks(blocks([(1, 0, [1.0] * 40), (1, 0, [1.0] * 40)]), ["k"], "j", "x", design(*WIDE)).collect()
+    assert long_series.filter_blocks(blocks([]), ["k"], "j", "x", design(*WIDE)).collect() == []
+
+
 def matrices(spark, *shapes):
     rows = [(m, c, [float(v) for v in x]) for m, s in enumerate(shapes) for c, x in enumerate(np.random.default_rng(m).standard_normal(s))]
     return spark.createDataFrame(rows, "m int, c int, x array<double>")
