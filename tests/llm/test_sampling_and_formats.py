@@ -1,0 +1,225 @@
+"""Importance resampling, fill-in-the-middle and chat formatting against plain versions and exact round trips."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from myospark.llm import chat, importance, infill
+from tests.llm.test_small_operators import ODD, corpus, prose
+
+sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+
+# importance resampling
+
+
+def plain_grams(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    return len(w), Counter(zlib.crc32(" ".join(w[i : i + n]).encode()) % 10_000 for n in (1, 2, 3) for i in range(len(w) - n + 1))
+
+
+def plain_scores(rows, target):
+    """(doc_id, n_features, weight, score, words) of each row."""
+    counts = [plain_grams(t) for _, t in rows]
+    s, t = sum((c for _, c in counts), Counter()), sum((plain_grams(x)[1] for x in target), Counter())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s.total() + 10_000) / ((s[b] + 1) * (t.total() + 10_000)))) for b in range(10_000)]
+    out = []
+    for (i, _), (n, c) in zip(rows, counts, strict=True):
+        h = int(sha(f"42:{'' if i is None else i}")[:8], 16)
+        weight = sum(gain[b] * k for b, k in c.items())
+        out.append((i, c.total(), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.lists(st.sampled_from(["a", "B", "é", "x" * 60, " ", "-", "漢", "w" * 47]), max_size=30).map("".join)), max_size=8))
+def test_features(texts):
+    found = [Counter() for _ in texts]
+    for rows, buckets in importance.features(pa.array(texts, pa.string())):
+        for r, b in zip(rows.tolist(), buckets.tolist(), strict=True):
+            found[r][b] += 1
+    assert found == [plain_grams(t)[1] for t in texts]
+
+
+def test_features_of_long_texts_in_windows(monkeypatch):
+    monkeypatch.setattr(importance, "WINDOW", 50)
+    text = prose(3000, 8) + " " + "y" * 9000 + " " + prose(300, 9)
+    found = Counter()
+    for _, buckets in importance.features(pa.array([text])):
+        found.update(buckets.tolist())
+    assert found == plain_grams(text)[1]
+
+
+def sample_rows():
+    rng = random.Random(3)
+    rows = [*ODD, *((100 + i, prose(rng.randint(15, 60), i)) for i in range(400)), *((9000, prose(40, 1)) for _ in range(200))]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_importance_report(spark):
+    rows, target = sample_rows(), [prose(50, 1000 + i) for i in range(5)] + [None, ""]
+    benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "item_id long, text string")
+    got = importance.importance_report(corpus(spark, rows).repartition(3), benchmark).collect()
+    want = plain_scores(rows, target)
+    assert Counter(tuple(r)[:4] for r in got) == Counter(w[:4] for w in want)
+    able = sorted((-w[3], w[0] is None, w[0] or 0) for w in want if w[4] >= 20)
+    drawn = sorted((r["rank"], -r["score"], r["doc_id"] is None, r["doc_id"] or 0) for r in got if r["rank"] is not None)
+    assert [d[0] for d in drawn] == list(range(1, 5 * len(able) // 100 + 1))
+    assert [d[1:] for d in drawn] == able[: len(drawn)]
+
+
+def test_resample_keeps_columns_and_leans_to_the_target(spark):
+    words = lambda names, n, seed: " ".join(random.Random(seed).choices(names, k=n))
+    near, far = [f"near{i}" for i in range(20)], [f"far{i}" for i in range(20)]
+    rows = [(i, words(near if i % 10 == 0 else far, 30, i)) for i in range(500)]
+    target = spark.createDataFrame([(words(near, 200, 1),)], "text string")
+    docs = corpus(spark, rows).withColumn("rank", F.lit("own"))
+    out = importance.resample(docs, target, percent=8)
+    assert out.columns == [*docs.columns, "rank_"] and out.count() == 40
+    assert all(r["doc_id"] % 10 == 0 and r["rank"] == "own" for r in out.collect())
+    assert importance.resample(docs, target.limit(0), percent=100).count() == 500
+
+
+def test_importance_without_rows_or_target(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    docs = corpus(spark, [(i, prose(30, i)) for i in range(3)])
+    assert importance.importance_report(docs.limit(0), none).count() == 0
+    assert all(r["rank"] is None and r["n_features"] == 87 for r in importance.importance_report(docs, none).collect())
+    assert importance.importance_report(corpus(spark, [(None, None), (1, "")]), docs).select("weight", "n_features", "rank").distinct().collect() == [(0, 0, None)]
+
+
+def test_rank_over_many_equal_scores(spark):
+    scored = spark.range(5000).selectExpr("id as row", "cast(null as long) as doc_id", "60L as n_features", "0L as weight", "7L as score").repartition(4)
+    got = importance.rank_rows(scored)
+    assert sorted(r["rank"] for r in got.collect() if r["rank"]) == list(range(1, 251)) and got.count() == 5000
+
+
+# fill in the middle
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=700), max_size=5))
+def test_rank_and_select(texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    marks = infill.Boundaries(data)
+    begins = [i for i, b in enumerate(data.tolist()) if b & 0xC0 != 0x80]
+    assert marks.total == len("".join(texts))
+    assert marks.rank(np.arange(len(data) + 1)).tolist() == [sum(b < i for b in begins) for i in range(len(data) + 1)]
+    assert marks.select(np.arange(len(begins) + 1)).tolist() == [*begins, len(data)]
+
+
+def plain_infill(i, text):
+    text = text or ""
+    n, h = len(text), sha(f"1:{'' if i is None else i}")
+    h1, h2, h3, h4 = (int(h[k : k + 8], 16) for k in (0, 8, 16, 24))
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    p, m, s = text[:a], text[a:b], text[b:]
+    return (n, "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}") if h4 % 100 < 20 else (n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}")
+
+
+def infill_rows():
+    rng = random.Random(4)
+    alphabet = ["a", "é", "漢", "😀", "<", "P", ">", "S", "M", "\n", "|", "\0"]
+    rows = [*ODD, (11, "has <S> inside"), (12, "<P"), (13, "x" * 200_000 + "é" * 100_000)]
+    return rows + [(100 + i, "".join(rng.choices(alphabet, k=rng.randint(1, 90)))) for i in range(400)]
+
+
+def test_fill_in_middle(spark):
+    rows = infill_rows()
+    docs = corpus(spark, rows).withColumn("form", F.lit("own"))
+    out = infill.fill_in_middle(docs)
+    assert out.columns == [*docs.columns, "n", "form_", "prefix_chars", "middle_chars", "output"]
+    got = out.select("doc_id", "text", "n", "form_", "prefix_chars", "middle_chars", "output", infill.restored(F.col("output"), F.col("form_")).alias("back"), "form", "row").collect()
+    assert Counter(tuple(r)[:7] for r in got) == Counter((i, t, *plain_infill(i, t)) for i, t in rows)
+    assert all(r["back"] == (r["text"] or "") and r["form"] == "own" and r["row"] == "x" for r in got)
+    assert {r["form_"] for r in got} == {"plain", "psm", "spm"}
+    assert infill.fill_in_middle(docs.limit(0)).count() == 0
+
+
+def test_infill_report(spark):
+    rows = infill_rows()
+    got = Counter(tuple(r) for r in infill.infill_report(corpus(spark, rows)).collect())
+    assert got == Counter((i, *(p := plain_infill(i, t))[:4], sha(p[4]), sha(t or "")) for i, t in rows)
+
+
+def test_rates(spark):
+    docs = corpus(spark, [(i, "some words") for i in range(300)])
+    assert {r["form"] for r in infill.fill_in_middle(docs, rate=0).collect()} == {"plain"}
+    assert {r["form"] for r in infill.fill_in_middle(docs, rate=100, spm_rate=100).collect()} == {"spm"}
+
+
+# chat
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*chat.CONTROLS, chat.ESCAPE, "<", "|", ">", "s", "a", "\n", "é", chat.TURN, chat.END, "<|image|>"]), max_size=12).map("".join))
+def test_escape(text):
+    escaped = chat.escape(text)
+    assert chat.unescape(escaped) == text and not any(c in escaped for c in chat.CONTROLS)
+    formatted, mask, *_ = chat.format_turn("assistant", [{"kind": None, "text": text}])
+    assert chat.read_turn(formatted) == ("assistant", [text])
+    assert "".join(chat.unescape(formatted[m["start"] : m["end"]]) for m in mask) == text
+
+
+PARTS = [
+    {"kind": "text", "text": "see <|image|> and"}, {"kind": "image", "ref": "a.png", "width": 57, "height": 28}, {"kind": "audio", "ref": "b.wav", "seconds": 1.01},
+    {"kind": "text", "text": None}, {"kind": "document", "ref": None, "pages": 2}, None, {"kind": "hologram", "ref": "c"}, {"kind": None, "text": "end </s>"},
+]
+
+
+def test_typed_parts(spark):
+    blank = dict.fromkeys(("kind", "text", "ref", "width", "height", "seconds", "pages"))
+    content = [p and blank | p for p in PARTS]
+    turns = spark.createDataFrame([(1, 0, "user", content), (1, 1, "assistant", content), (1, 2, None, None)], f"conv_id long, turn long, role string, content array<{chat.PART}>")
+    user, assistant, empty = chat.format_turns(turns).orderBy("turn").collect()
+    for r in (user, assistant):
+        text = r["formatted"]
+        assert [(a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("image", "a.png", 3), ("audio", "b.wav", 26), ("document", None, 2048), ("file", "c", 1)]
+        assert all(text[a["at"] :].startswith(f"<|{a['kind']}|>") for a in r["attachments"])
+        assert r["tokens"] == r["text_tokens"] + 3 + 26 + 2048 + 1
+        assert chat.read_turn(text) == (r["role"], ["see <|image|> and", "", "", "", "end </s>"])
+    assert user["mask"] == [] and [chat.unescape(assistant["formatted"][m["start"] : m["end"]]) for m in assistant["mask"]] == ["see <|image|> and", "end </s>"]
+    assert (empty["formatted"], empty["tokens"]) == (chat.TURN + chat.SAYS + chat.END, 0)
+
+
+def test_parts_are_built_from_columns(spark):
+    rows = spark.createDataFrame([(1, "look", "x.png")], "conv_id long, said string, image string")
+    content = F.array(chat.typed("text", text=F.col("said")), chat.typed("image", ref=F.col("image"), width=F.lit(28), height=F.lit(56)))
+    r = chat.format_turns(rows.select("conv_id", F.lit(0).alias("turn"), F.lit("user").alias("role"), content.alias("content"))).first()
+    assert r["formatted"] == "<|turn|>user<|says|>look<|image|><|end|>\n" and r["attachments"][0]["tokens"] == 2
+
+
+def test_chat_report(spark):
+    rng = random.Random(6)
+    pieces = ["</s>", "[INST]", "x", " ", "\n", chat.ESCAPE, "<|end|>", "é", "<s", ">", "|>"]
+    say = lambda: "".join(rng.choices(pieces, k=rng.randint(0, 8)))
+    rows = [(i, t, rng.choice(["user", "assistant", "system", "odd\nrole<|", None]), rng.choice([say(), None, ""])) for i in [*range(40), None] for t in range(rng.randint(1, 6))]
+    rows += [(7, None, "assistant", "no turn"), (7, 0, "assistant", "tie"), (7, 0, "assistant", "tie"), (8, 3, "user", prose(20_000, 1)), *((77, k, "assistant", f"turn {k}") for k in range(1500))]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).withColumns({c: F.lit("x") for c in ("content", "mask", "formatted", "tokens")})
+    got = {r["conv_id"]: r for r in chat.chat_report(table).collect()}
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    assert len(got) == len({r[0] for r in rows})
+    for i, r in got.items():
+        turns = sorted(((t is not None, t or 0, role or "", chat.escape(text or ""), text or "") for c, t, role, text in rows if c == i))
+        loss = "".join(x[4] for x in turns if x[2] == "assistant")
+        assert r["n_turns"] == len(turns) and r["turns_sha256"] == sha("".join(f"{x[2]}\n{x[4]}\n" for x in turns))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
+        assert r["formatted_chars"] == sum(24 + len(chat.escape(x[2])) + len(x[3]) for x in turns)
+    alone = chat.chat_report(table.limit(0)).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in alone] == [(-1, 2)]
