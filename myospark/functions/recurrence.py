@@ -7,14 +7,15 @@ from zero states need only the response to the states before them added.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 
 from myospark.functions.butterworth import Bandpass, advance
 
-#: Samples of a column: the columns of a block are stepped through together.
-STEP = 256
+#: Samples of a column; samples that are stepped through together, about.
+STEP, MOST = 256, 1 << 22
 
 
 class Recurrence:
@@ -23,6 +24,7 @@ class Recurrence:
     def __init__(self, f: Bandpass):
         self.f, self.size = f, 2 * len(f.sections)
         self.initial = f.initial.ravel()
+        self.known: dict[int, np.ndarray] = {}
 
     def _zero_input(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Output (n by states) and states after n zeros, from each unit state."""
@@ -39,37 +41,62 @@ class Recurrence:
 
     def transition(self, n: int) -> np.ndarray:
         """T of a block of n samples."""
-        return np.linalg.matrix_power(self.single, n)
-
-    def run(self, x: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Output and states after x, from these states."""
-        columns = len(x) // STEP
-        y, now = np.empty(len(x)), np.asarray(states, float)
-        if columns:
-            whole = x[: columns * STEP].reshape(columns, STEP).T
-            out, left = advance(whole, self.f.sections, np.zeros((len(self.f.sections), 2, columns)))
-            left, (response, step) = left.reshape(self.size, columns), self.response
-            before = np.empty((self.size, columns))
-            for k in range(columns):
-                before[:, k] = now
-                now = step @ now + left[:, k]
-            y[: columns * STEP] = (out + response @ before).T.ravel()
-        if columns * STEP < len(x):
-            rest, after = advance(x[columns * STEP :, None], self.f.sections, now.reshape(-1, 2, 1))
-            y[columns * STEP :], now = rest[:, 0], after.ravel()
-        return y, now
-
-    def left_by(self, x: np.ndarray) -> np.ndarray:
-        """e of a block: the states after it, from zero states."""
-        return self.run(x, np.zeros(self.size))[1]
+        if n not in self.known:
+            self.known[n] = np.linalg.matrix_power(self.single, n)
+        return self.known[n]
+
+    def run(self, series: list[np.ndarray], states: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Outputs and the states after them, of series that start from these states.
+
+        All series are cut into columns of STEP samples, which are stepped through together from zero states. A series' first column is
+        short: zeros stand before it, which leave zero states as they are.
+        """
+        outputs: list[np.ndarray] = []
+        after: list[np.ndarray] = []
+        for some in together(series):
+            rows = min(STEP, max((len(series[i]) for i in some), default=0)) or 1
+            edges = np.cumsum([0, *(-(-len(series[i]) // rows) for i in some)])
+            whole = np.zeros((rows, edges[-1]))
+            for i, a, b in zip(some, edges, edges[1:], strict=False):
+                flat = np.zeros((b - a) * rows)
+                flat[len(flat) - len(series[i]) :] = series[i]
+                whole[:, a:b] = flat.reshape(b - a, rows).T
+            out, left = advance(whole, self.f.sections, np.zeros((len(self.f.sections), 2, edges[-1])))
+            left, (response, step) = left.reshape(self.size, edges[-1]), self.response  # several columns have STEP rows
+            for i, a, b in zip(some, edges, edges[1:], strict=False):
+                n, now, before = len(series[i]), np.asarray(states[i], float), np.zeros((self.size, b - a))
+                short = n - (b - a - 1) * rows
+                for k in range(a, b):
+                    before[:, k - a] = now
+                    now = (self.transition(short) if k == a else step) @ now + left[:, k]
+                y = out[:, a:b]
+                if b > a:
+                    y[rows - short :, 0] += response[:short] @ before[:, 0]
+                if b > a + 1:
+                    y[:, 1:] += response @ before[:, 1:]
+                outputs.append(y.T.ravel()[(b - a) * rows - n :])
+                after.append(now)
+        return outputs, after
+
+    def left_by(self, series: list[np.ndarray]) -> list[np.ndarray]:
+        """e of each: the states after it, from zero states."""
+        return self.run(series, [np.zeros(self.size)] * len(series))[1]
+
+
+def together(series: list[np.ndarray]) -> Iterator[range]:
+    """Runs of series of about MOST samples."""
+    first, held = 0, 0
+    for i, x in enumerate(series):
+        held += len(x)
+        if held >= MOST or i == len(series) - 1:
+            yield range(first, i + 1)
+            first, held = i + 1, 0
 
 
 def starts(r: Recurrence, sizes: list[int], left: list[np.ndarray], first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The states before each of the blocks, and after the last."""
-    out, now, known = [], first, {}
+    out, now = [], first
     for n, e in zip(sizes, left, strict=True):
         out.append(now)
-        if n not in known:
-            known[n] = r.transition(n)
-        now = known[n] @ now + e
+        now = r.transition(n) @ now + e
     return out, now

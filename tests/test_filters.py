@@ -108,12 +108,12 @@ NARROW, WIDE = (4, 0.2, 3, 2000), (6, 20, 450, 2000)  # the first forgets its st
 def test_recurrence_cut_anywhere(args):
     x, r = np.random.default_rng(4).standard_normal(5 * STEP + 77), Recurrence(design(*args))
     whole, after = advance(x[:, None], r.f.sections, r.f.initial[:, :, None])
-    y, end = r.run(x, r.initial)
+    (y,), (end,) = r.run([x], [r.initial])
     np.testing.assert_allclose(y, whole[:, 0], atol=1e-10)
     np.testing.assert_allclose(end, after.ravel(), atol=1e-9)
     cuts = np.split(x, [0, 1, 2, STEP, STEP + 1, 900])
-    found, last = starts(r, [len(b) for b in cuts], [r.left_by(b) for b in cuts], r.initial)
-    np.testing.assert_allclose(np.concatenate([r.run(b, s)[0] for b, s in zip(cuts, found, strict=True)]), y, atol=1e-9)
+    found, last = starts(r, [len(b) for b in cuts], r.left_by(cuts), r.initial)
+    np.testing.assert_allclose(np.concatenate(r.run(cuts, found)[0]), y, atol=1e-9)
     np.testing.assert_allclose(last, end, atol=1e-9)
 
 
