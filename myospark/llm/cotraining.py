@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from myospark.llm import linear
 from myospark.llm.spread import fresh, small, written
 from myospark.llm.words import mix
-from myospark.session import ensure_workers
+from myospark.session import cut, ensure_workers
 
 ROUNDS, SHARE, SURE = 4, 0.1, 0.9
 #: Of the labelled rows, one in so many is held out to calibrate.
 HELD_OUT = 4
-METADATA = ("source", "lang", "n_chars")
+#: Nothing here follows from the text: its length, say, is the content view's.
+METADATA = ("source", "lang")
 
 
 def content_tokens(token: str) -> list[str]:
@@ -113,54 +114,55 @@ def calibrated(model: tuple, rows: list[list[int]], marks: np.ndarray, features:
 
 
 class Pool:
-    """The unlabelled documents' features: a table (row, content, page) that each round reads again."""
+    """The unlabelled documents' features: a table (row, content, page) that each round reads once."""
 
     def __init__(self, table: DataFrame):
         self.table, self.taken = table, [np.zeros(0, np.int64)] * 2
 
-    def surest(self, models: list[tuple], view: int, rate: float, most: int) -> tuple[list[list[int]], np.ndarray]:
-        """The rows that `view` is surest of and that the other view hasn't got, as that view's features, and their marks.
+    def surest(self, models: list[tuple], rate: float, most: int) -> list[tuple[list[list[int]], np.ndarray]]:
+        """For each view the rows that it is surest of and that the other view hasn't got, as that view's features, and their marks.
 
-        Each task sends its own best; the best of all are the same.
+        Each task sends its own best of both views and both classes, which are written; the best of all are among them.
         """
-        other, (weights, _, bias), taken = 1 - view, models[view], np.sort(self.taken[1 - view])
-        names = ("content", "page")
+        taken = [np.sort(self.taken[1 - v]) for v in (0, 1)]
+        kinds = [(v, up, max(1, round(most * (rate if up else 1 - rate)))) for v in (0, 1) for up in (True, False)]
 
-        def run(batches: Iterator[pa.RecordBatch], up: bool, k: int) -> Iterator[pa.RecordBatch]:
-            best: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[list[tuple]] = [[] for _ in kinds]
             for b in batches:
-                row, lists = b.column(0).to_numpy(), b.column(1 + view)
-                n = lists.value_lengths().to_numpy()
-                z = np.full(len(row), bias)
-                if n.any():
-                    z[n > 0] += np.add.reduceat(weights[lists.flatten().to_numpy()], (np.cumsum(n) - n)[n > 0])
-                if len(taken):
-                    found = taken[np.minimum(np.searchsorted(taken, row), len(taken) - 1)] == row
-                else:
-                    found = np.zeros(len(row), bool)
-                p = linear.sigmoid(z)
-                sure = np.flatnonzero(~found & (p >= SURE if up else p <= 1 - SURE))
+                row = b.column(0).to_numpy()
                 tie = (mix(row.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-                best.append((row[sure], z[sure], tie[sure], b.column(1 + other).take(pa.array(sure))))
-                if sum(len(x[0]) for x in best) > 4 * k:
-                    best = [top(best, up, k)]
-            if best:
-                row, z, tie, features = top(best, up, k)
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(z), pa.array(tie), features], ["row", "z", "tie", "has"])
+                for v in (0, 1):
+                    lists, (weights, _, bias) = b.column(1 + v), models[v]
+                    n = lists.value_lengths().to_numpy()
+                    z = np.full(len(row), bias)
+                    if n.any():
+                        z[n > 0] += np.add.reduceat(weights[lists.flatten().to_numpy()], (np.cumsum(n) - n)[n > 0])
+                    p, found = linear.sigmoid(z), np.isin(row, taken[v])
+                    for own, (view, up, k) in zip(best, kinds, strict=True):
+                        if view == v:
+                            sure = np.flatnonzero(~found & (p >= SURE if up else p <= 1 - SURE))
+                            own.append((row[sure], z[sure], tie[sure], b.column(2 - v).take(pa.array(sure))))
+                            if sum(len(x[0]) for x in own) > 4 * k:
+                                own[:] = [top(own, up, k)]
+            for own, (view, up, k) in zip(best, kinds, strict=True):
+                if own:
+                    row, z, tie, features = top(own, up, k)
+                    same = lambda x, kind: pa.array([x] * len(row), kind)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(view, pa.int32()), same(up, pa.bool_()), pa.array(row), pa.array(z), pa.array(tie), features], ["view", "up", "row", "z", "tie", "has"])
 
         def top(best: list, up: bool, k: int) -> tuple:
             row, z, tie = (np.concatenate([x[i] for x in best]) for i in range(3))
             order = np.lexsort([tie, -z if up else z])[:k]
             return row[order], z[order], tie[order], pa.concat_arrays([x[3] for x in best]).take(pa.array(order))
 
-        rows, marks = [], []
-        for up, k in ((True, max(1, round(most * rate))), (False, max(1, round(most * (1 - rate))))):
-            found = self.table.select("row", *names).mapInArrow(lambda batches, up=up, k=k: run(batches, up, k), "row long, z double, tie long, has array<int>")
-            few = found.orderBy(F.desc("z") if up else F.asc("z"), "tie").limit(k).collect()
-            rows += [r["has"] for r in few]
-            marks += [float(up)] * len(few)
-            self.taken[other] = np.append(self.taken[other], np.array([r["row"] for r in few], np.int64))
-        return rows, np.array(marks)
+        sent = cut(self.table.select("row", "content", "page").mapInArrow(run, "view int, up boolean, row long, z double, tie long, has array<int>"))
+        out: list[tuple[list, np.ndarray]] = [([], np.zeros(0))] * 2
+        for view, up, k in kinds:
+            few = sent.where((F.col("view") == view) & (F.col("up") == up)).orderBy(F.desc("z") if up else F.asc("z"), "tie").limit(k).collect()
+            out[view] = out[view][0] + [r["has"] for r in few], np.append(out[view][1], [float(up)] * len(few))
+            self.taken[1 - view] = np.append(self.taken[1 - view], np.array([r["row"] for r in few], np.int64))
+        return out
 
 
 def co_train(labelled: list[list[list[int]]], y: np.ndarray, pool: Pool, features: list[list[str]], most: int, rounds: int = ROUNDS) -> list[View]:
@@ -172,7 +174,7 @@ def co_train(labelled: list[list[list[int]]], y: np.ndarray, pool: Pool, feature
     marks = [y[taught].astype(float)] * 2
     models = [fit_view(own[v], marks[v], features[v]) for v in (0, 1)]
     for _ in range(rounds if 0 < rate < 1 else 0):
-        new = [pool.surest(models, v, rate, most) for v in (0, 1)]
+        new = pool.surest(models, rate, most)
         for v, to in ((0, 1), (1, 0)):
             own[to] = own[to] + new[v][0]
             marks[to] = np.concatenate([marks[to], new[v][1]])
@@ -235,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     table = written(vectors.select("row", "key", "v.*"))
     found = table.join(F.broadcast(few), "key").groupBy("key").agg(F.min(F.struct("mark", "content", "page")).alias("x")).orderBy("key").select("x.*").collect()
     labelled = [[r["content"] for r in found], [r["page"] for r in found]]
-    free = table.join(small(marks.select("key")), "key", "left_anti").select("row", "content", "page")
+    free = written(table.join(small(marks.select("key")), "key", "left_anti").select("row", "content", "page"))
     views = co_train(labelled, np.array([r["mark"] for r in found]), Pool(free), features, max(2, round(SHARE * rows)))
     return Trained(views, metadata, table)
 

@@ -105,11 +105,16 @@ def encode(marked: DataFrame) -> DataFrame:
     return written(marked.select("doc_id", "text", "target").mapInArrow(run, BLOCK).withColumn("block", F.monotonically_increasing_id()))
 
 
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash, by its leading 32 bits: up to 2^32 parts of like sizes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 class Keys:
     """Distinct keys and their counts, in the order of (part, key)."""
 
     def __init__(self, hashes: np.ndarray, n: np.ndarray, n_target: np.ndarray, parts: int):
-        part, key = ((hashes >> np.uint64(48)) % np.uint64(parts)).astype(np.int64), hashes & np.uint64((1 << 48) - 1)
+        part, key = part_of(hashes, parts), hashes & np.uint64((1 << 48) - 1)
         self.order = np.lexsort([key, part])
         self.part, self.first = np.unique(part[self.order], return_index=True)
         self.key, self.n, self.n_target = key[self.order], n[self.order], n_target[self.order]

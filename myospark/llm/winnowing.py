@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from myospark.llm.spread import fresh
 from myospark.llm.words import mix, powers
 from myospark.session import ensure_workers
 
@@ -103,7 +104,8 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = K, w: int = W) ->
         rows = [winnow(code_points(t or ""), k, w) for t in texts]
         return pd.DataFrame({"hashes": [r[0].view(np.int64) for r in rows], "positions": [r[1] for r in rows]})
 
-    return docs.withColumn("_kept", kept(text)).select(*[c for c in docs.columns if c not in ("hashes", "positions")], "_kept.*")
+    found = fresh(docs, "_kept")
+    return docs.withColumn(found, kept(text)).select(*[c for c in docs.columns if c not in ("hashes", "positions")], f"{found}.*")
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from tests.llm.test_large_operators import TOKENIZER, plain_lines
 from tests.llm.test_small_operators import plain_components, plain_sets, plain_simhash, prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["_id", "_p", "_s", "_key", "_lost", "row", "lost", "key", "found", "class", "id", "fingerprint", "shard", "part", "n", "target", "block", "words"]
+CLASH = ["_kept", "_part", "_parts", "_id", "_p", "_s", "_key", "_lost", "row", "lost", "key", "found", "class", "id", "fingerprint", "shard", "part", "n", "target", "block", "words"]
 ITEM = prose(30, 4242)
 
 
@@ -254,6 +254,25 @@ def test_a_fingerprint_of_half_of_the_rows(spark, monkeypatch):
 # classifiers
 
 
+def test_parts_of_the_table_of_counts():
+    """Any number of parts is used, evenly, and a key is told apart inside its part."""
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 1_000_000, dtype=np.uint64)
+    for parts in (1, 3, 1000, 200_000, 3_000_000_000 // 2):
+        found = crossentropy.part_of(hashes, parts)
+        kinds, sizes = np.unique(found, return_counts=True)
+        assert found.min() >= 0 and found.max() < parts and len(kinds) > min(parts, len(hashes)) * 0.6
+        if parts <= 1000:
+            assert len(kinds) == parts and sizes.max() < 1.3 * len(hashes) / parts
+    keys = crossentropy.Keys(hashes, np.ones(len(hashes), int), np.zeros(len(hashes), int), 200_000)
+    assert len(set(zip(np.repeat(keys.part, np.diff(np.append(keys.first, len(keys.key)))).tolist(), keys.key.tolist(), strict=True))) == len(hashes)
+
+
+def test_fingerprints_keep_other_columns(spark):
+    docs = frame(spark, odd_rows())
+    out = winnowing.fingerprints(docs)
+    assert out.columns == [*docs.columns, "hashes", "positions"] and {r["_kept"] for r in out.collect()} == {"x"}
+
+
 def test_co_training_against_a_plain_version(spark):
     """The views label the surest of all unlabelled rows for each other, as a loop over the whole table does."""
     rng, rows, labels = random.Random(3), [], []
@@ -293,10 +312,27 @@ def test_co_training_against_a_plain_version(spark):
             own[1 - v] = own[1 - v] + [h for h, _ in new[v]]
             own_marks[1 - v] = np.append(own_marks[1 - v], [m for _, m in new[v]])
         models = [cotraining.fit_view(own[v], own_marks[v], features[v]) for v in (0, 1)]
-    assert len(taken[0]) > 50 and len(taken[1]) > 50
+    assert len(taken[0]) >= 40 and len(taken[1]) >= 40
     for v in (0, 1):
         np.testing.assert_allclose(trained.views[v].model[0], models[v][0], atol=1e-6)
+    held = [i for i in range(len(y)) if i % cotraining.HELD_OUT == 0]
+    t = np.where(y[held] > 0, (y[held].sum() + 1) / (y[held].sum() + 2), 1 / (len(held) - y[held].sum() + 2))
+    odds = []
+    for v, column in ((0, "content"), (1, "page")):
+        view = trained.views[v]
+        z = np.array([models[v][0][have[v][i]].sum() + models[v][2] for i in held])
+        a, b = view.scale
+        p = 1 / (1 + np.exp(-(a * z + b)))
+        assert abs(((p - t) * z).sum() + 1e-3 * (a - 1)) < 1e-3 and abs((p - t).sum()) < 1e-3  # the least loss against Platt's targets
+        rate_held = y[held].mean()
+        lost = lambda q: -np.mean(y[held] * np.log(q) + (1 - y[held]) * np.log(1 - q))
+        assert view.weight == pytest.approx(min(1.0, max(0.01, 1 - lost(np.clip(p, 1e-6, 1 - 1e-6)) / lost(np.full(len(held), rate_held)))), abs=1e-6)
+        odds.append(np.array([np.clip(a * (models[v][0][list(r[column])].sum() + models[v][2]) + b, -20, 20) for r in table]))
     assert {v.weight > 0.05 for v in trained.views} == {True}
+    weights = [v.weight for v in trained.views]
+    plain = 1 / (1 + np.exp(-(odds[0] * weights[0] + odds[1] * weights[1]) / sum(weights)))
+    told = {r["doc_id"]: r["score"] for r in cotraining.score(docs, trained).collect()}
+    np.testing.assert_allclose([told[r["key"]] for r in table], plain, atol=1e-5)
     scored = {r["doc_id"]: r["score"] for r in cotraining.score(docs, trained).collect()}
     report = {r["doc_id"]: r["score"] for r in cotraining.quality_report(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
     assert len(scored) == len(report) == 500
@@ -310,6 +346,20 @@ def test_views_share_nothing():
     assert page[:7] == ["0:web", "1:", "2#11", "3@a.org", "3/x", "3/y", "3/1"] and "0:web 3@a.org" in page
 
 
+def test_page_features_do_not_follow_from_the_text(spark):
+    """Whatever the text is, rows of equal metadata have equal page features; the length of the text is no metadata."""
+    assert not {"text", "n_chars"} & set(cotraining.METADATA)
+    rows = [(i, prose(3 + i, i), "en" if i % 2 else "de", f"s{i % 3}", len(prose(3 + i, i))) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    table = cotraining.train(docs, labels).table.collect()
+    pages = {}
+    for r in table:
+        _, _, lang, source, _ = rows[r["key"]]
+        pages.setdefault((lang, source), set()).add(tuple(r["page"]))
+    assert len(pages) == 6 and all(len(p) == 1 for p in pages.values()) and len(set.union(*pages.values())) == 6
+
+
 def test_chain_of_independent_categories(spark):
     """Later models see the earlier categories' out-of-fold log-odds: against a plain loop, and on documents held out."""
     rng, rows, labels = random.Random(8), [], []
