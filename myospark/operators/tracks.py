@@ -22,6 +22,22 @@ def track_channels(tracks: DataFrame, keys: list[str], order: str = "track_idx",
     return listed.withColumn("local_idx", F.col("channel_idx") - F.col("low")).drop("low", "high")
 
 
+def interval_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, low: str = "low", high: str = "high") -> DataFrame:
+    """Rows of points with each of the ranges of their keys that holds them: low <= at < high. Both have other names but for the keys.
+
+    Ranges may overlap and leave gaps. A range of up to 2^k lies in one or two bins of 2^k, and is copied to these; a point is copied for each k that
+    some range has (at most 64), and looks into its own bin. So the join is one on equal keys, which adaptive execution splits where they are uneven,
+    and neither long nor short ranges make many copies. Empty ranges and nulls match nothing.
+    """
+    some = ranges.where(F.col(low) < F.col(high)).withColumn("_level", F.ceil(F.log2((F.col(high) - F.col(low)).cast("double"))).cast("int"))
+    levels = sorted(r["_level"] for r in some.select("_level").distinct().collect())
+    bin_of = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    binned = some.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(low)), bin_of(F.col(high) - 1))))
+    looked = points.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_bin", bin_of(F.col(at)))
+    met = looked.join(binned, [*keys, "_level", "_bin"])
+    return met.where((F.col(low) <= F.col(at)) & (F.col(at) < F.col(high))).drop("_level", "_bin")
+
+
 def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[str], how: str = "inner") -> DataFrame:
     """Join each row of left with the first row of right, in this order, that has its key."""
     first = right.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(*order))).where("_n = 1").drop("_n")

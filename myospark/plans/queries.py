@@ -16,7 +16,7 @@ from myospark.functions import columns as C
 from myospark.functions.butterworth import Bandpass, design
 from myospark.operators import filters, grids, layout, long_series, tracks
 from myospark.session import ensure_workers, read
-from myospark.sources import encode, mat
+from myospark.sources import encode, headers, mat
 from myospark.sources.files import decode_files
 
 RATE = 2048.0
@@ -258,6 +258,55 @@ def differential_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(long("label"), long("diff_idx"), F.posexplode("y").alias("sample_idx", "filtered")).select("label", "diff_idx", long("sample_idx"), F.round("filtered", 6).alias("filtered"))
 
 
+SPANS_SQL = "SELECT s_suppkey AS track, s_suppkey % 7 AS file_id, (s_suppkey * 37) % 500 AS low, (s_suppkey * 37) % 500 + CASE WHEN s_suppkey % 5 = 0 THEN 200 ELSE s_suppkey % 13 END AS high FROM supplier"
+
+
+@query(f"""SELECT p_partkey, track, p - low AS local_idx FROM (SELECT p_partkey, p_partkey % 7 AS file_id, (p_partkey * 11) % 700 AS p FROM part) p
+JOIN ({SPANS_SQL}) s ON p.file_id = s.file_id AND p.p >= s.low AND p.p < s.high""")
+def track_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as channels, suppliers as tracks that overlap and leave gaps."""
+    k, t = F.col("p_partkey"), F.col("s_suppkey")
+    channels = read(spark, sf_dir, "part").select("p_partkey", (k % 7).alias("file_id"), (k * 11 % 700).alias("p"))
+    spans = read(spark, sf_dir, "supplier").select(t.alias("track"), (t % 7).alias("file_id"), (t * 37 % 500).alias("low"))
+    spans = spans.withColumn("high", F.col("low") + F.when(F.col("track") % 5 == 0, 200).otherwise(F.col("track") % 13))
+    return tracks.interval_join(channels, spans, ["file_id"], "p").select("p_partkey", "track", (F.col("p") - F.col("low")).alias("local_idx"))
+
+
+@query(f"""SELECT p_partkey // 40 AS file_id, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1 AS channel_idx, p_brand AS adapter_id,
+  (1 + p_partkey % 5)::DOUBLE * CASE WHEN p_partkey % 3 <> 0 THEN p_size::DOUBLE ELSE (1 + p_partkey % 5)::DOUBLE END AS gain,
+  array_to_string(list_transform(list_filter([{', '.join(PARTS_OF)}], lambda x: x IS NOT NULL AND x <> '' AND lower(x) <> 'not defined' AND trim(x) <> ''), lambda x: trim(x)), '-') AS description FROM part""")
+def xml_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of 40 parts as XML texts, each part an adapter with one channel, read by Spark's XML functions."""
+    parts = read(spark, sf_dir, "part").withColumns({f"x{i}": F.expr(x) for i, x in enumerate(PARTS_OF)}).withColumn("file_id", F.floor(F.col("p_partkey") / 40).cast("long"))
+    n = F.row_number().over(Window.partitionBy("file_id").orderBy("p_partkey")) - 1
+    said = lambda name, value: F.coalesce(F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"')), F.lit(""))
+    own = F.when(F.col("p_partkey") % 3 != 0, F.col("p_size"))
+    adapter = F.concat(
+        F.lit("<Adapter"), said("ID", F.col("x0")), said("Description", F.col("x1")), said("Gain", 1 + F.col("p_partkey") % 5), said("ChannelStartIndex", F.col("n")), F.lit(">"),
+        F.lit('<Channel Index="0"'), said("ID", F.col("x2")), said("Muscle", F.col("x3")), said("Gain", own), F.lit("/></Adapter>"),
+    )
+    xml = F.concat(F.lit('<Device Name="Q" SampleFrequency="2048"><Channels>'), F.array_join(F.sort_array(F.collect_list(F.concat(F.lpad(F.col("n").cast("string"), 9, "0"), adapter))), ""), F.lit("</Channels></Device>"))
+    files = parts.withColumn("n", n).groupBy("file_id").agg(F.regexp_replace(xml, r"[0-9]{9}<Adapter", "<Adapter").alias("xml"))
+    found = headers.otb_channels(files, "file_id", "xml")
+    return found.select("file_id", long("channel_idx"), F.trim("adapter_id").alias("adapter_id"), "gain", "description")
+
+
+@query("""SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY p_partkey, c) - 1 AS channel_idx, printf('%s-%s-%s-ch%d', p_brand, p_type, p_name, c) AS description,
+  5::DOUBLE / 65536::DOUBLE * 1000::DOUBLE / (1 + p_partkey % 3)::DOUBLE AS factor
+FROM (SELECT p_partkey // 40 AS file_id, p_partkey, p_brand, p_type, p_name, unnest(range(p_partkey % 4)) AS c FROM part)""")
+def xml_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of 40 tracks as XML texts, a part each, read by Spark's XML functions."""
+    parts = read(spark, sf_dir, "part").withColumn("file_id", F.floor(F.col("p_partkey") / 40).cast("long"))
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value.cast("string"), F.lit(f"</{name}>"))
+    info = F.concat(
+        F.lit("<TrackInfo>"), tag("Device", F.concat(F.lit(" "), "p_brand", F.lit(" "))), tag("SignalStreamPath", F.col("p_type")), tag("SubTitle", F.col("p_name")),
+        tag("NumberOfChannels", F.col("p_partkey") % 4), tag("Gain", 1 + F.col("p_partkey") % 3), F.lit("</TrackInfo>"),
+    )
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", info.alias("x")))), lambda r: r["x"])
+    files = parts.groupBy("file_id").agg(F.concat(F.lit("<ArrayOfTrackInfo>"), F.array_join(listed, ""), F.lit("</ArrayOfTrackInfo>")).alias("xml"))
+    return headers.otb4_channels(files, "file_id", "xml").select("file_id", long("channel_idx"), "description", "factor")
+
+
 @query("SELECT user_id, count(DISTINCT event_type) AS channel_count FROM events GROUP BY user_id")
 def channel_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.channel_count(read(spark, sf_dir, "events"), ["user_id"], "event_type")

@@ -99,7 +99,7 @@ def as_batches(rows: Iterator[list], schema: str) -> Iterator[pa.RecordBatch]:
     types, some, held = arrow_schema(schema), [], 0
     for row in rows:
         some.append(row)
-        held += 1 if schema is HEAD else 1 + len(row[-2])
+        held += 1 if schema == HEAD else 1 + len(row[-2])
         if held >= BATCH_VALUES:
             yield as_batch(some, types)
             some, held = [], 0
@@ -110,17 +110,28 @@ def as_batch(rows: list[list], types: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(types)], schema=types)
 
 
-def chunks_of(n_samples: int, part: int, parts: int, rate: float, seconds: tuple[float, float] | None) -> range:
-    """The chunks that a part of a recording consists of, without those that lie outside of the seconds asked for."""
+def parts_of(size: int) -> int:
+    """Parts of a file of so many bytes."""
+    return max(1, -(-size // SPLIT_BYTES))
+
+
+def chunk_at(sample: int) -> int:
+    return sample // CHUNK
+
+
+def chunks_of(n_samples: int, part: int, parts: int, rate: float, seconds: tuple[float, float] | None, bounds: tuple[int, int] | None = None) -> range:
+    """The chunks that a part of a recording consists of, without those outside of the seconds or of the numbers asked for."""
     total = -(-max(n_samples, 1) // CHUNK)
     low, high = part * total // parts, (part + 1) * total // parts
     if seconds is not None:
         first, last = (int(np.ceil(s * rate)) for s in seconds)
         low, high = max(low, first // CHUNK), min(high, -(-last // CHUNK))
+    if bounds is not None:
+        low, high = max(low, bounds[0]), min(high, bounds[1])
     return range(low, high)
 
 
-def decoded_rows(path: str, size: int, file: BinaryIO, file_type: str | None, header_only: bool, channels: list[int] | None, part: int = 0, parts: int = 1, seconds: tuple[float, float] | None = None) -> Iterator[list]:
+def decoded_rows(path: str, size: int, file: BinaryIO, file_type: str | None, header_only: bool, channels: list[int] | None, part: int = 0, parts: int = 1, seconds: tuple[float, float] | None = None, bounds: tuple[int, int] | None = None) -> Iterator[list]:
     """The rows of a part of one file. Where ranges can't be read by themselves, the first part has all rows and the others none."""
     kind = file_type or type_of(path)
     if kind == "mat" and part:
@@ -138,7 +149,7 @@ def decoded_rows(path: str, size: int, file: BinaryIO, file_type: str | None, he
     if header_only:
         yield from ([*head, c, described(c)] for c in (listed if d.n_channels else [None]))
         return
-    for k in chunks_of(d.n_samples, part, parts, d.rate, seconds):
+    for k in chunks_of(d.n_samples, part, parts, d.rate, seconds, bounds):
         s = k * CHUNK
         data = d.read(s, max(0, min(CHUNK, d.n_samples - s))) if d.n_channels else None
         time = None if stored is None else stored[s : s + CHUNK] if d.time_aligned else stored if k == 0 else None
