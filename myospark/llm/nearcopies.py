@@ -4,7 +4,8 @@ SimHash finds most of them: fingerprints of the sets are linked by covering tabl
 whole sets. But sets at 0.8 differ in about ten of 64 bits, and tables for that radius would be too many. So what SimHash
 leaves apart goes through an exact set-similarity join with prefix and positional filters: all sets are ordered alike, rare
 shingles first; a pair at UP / DOWN or above shares a shingle among the first n - ceil(UP n / DOWN) + 1 of each, and from its
-first common shingle on there is room for the overlap. What is frequent is learned from a sample; any order finds the same.
+first common shingle on there is room for the overlap. What is frequent is learned from a sample, and then from the prefixes of all
+documents: a phrase that many of them hold, and nothing else, leaves their prefixes, so that it makes no pairs. Any order finds the same.
 
 Documents of one shingle set are one class. Classes that share a prefix shingle are first compared with a leader, one for
 each shingle and band of sizes, picked by hash. Pairs that this leaves in different components are then all compared, so
@@ -38,6 +39,8 @@ from myospark.session import batch_rows, cut, ensure_workers
 UP, DOWN, RADIUS = 4, 5, 3
 #: Documents whose shingles are counted, and the most frequent ones that every task knows.
 COUNT_DOCS, COUNTED = 8000, 1 << 18
+#: A shingle in the prefixes of more components than CROWD is as frequent as those of the sample: prefixes are taken again without it, at most RANKINGS times.
+CROWD, RANKINGS = 64, 4
 #: Texts whose shingles are sorted together: their numbers stand above KEY_BITS of hash.
 TOGETHER, KEY_BITS = 1024, 54
 
@@ -190,6 +193,24 @@ def rooted(ids: DataFrame, links: DataFrame) -> DataFrame:
     return ids.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
+def crowds(left: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of left (key, root, ...), sorted, that classes of more than CROWD components hold, and how many; the COUNTED most held, which bounds them."""
+    counts = left.groupBy("key", "root").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    found = counts.orderBy(F.desc("n"), "key").limit(COUNTED).toArrow()
+    hashes, n = found["key"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def merged(ranked: tuple[np.ndarray, np.ndarray], crowded: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both, with the greater count of keys that are in both."""
+    keys, n = (np.concatenate(x) for x in zip(ranked, crowded, strict=True))
+    order = np.lexsort([-n, keys])
+    keys, n = keys[order], n[order]
+    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    return keys[first], n[first]
+
+
 class Classes:
     """The sets of docs (row, key, text): `rows` has a row for each of docs, and `own` for each set; its id is its first row."""
 
@@ -242,11 +263,8 @@ class Classes:
     def links(self) -> DataFrame:
         """(a, b): similar classes; between any two that are similar there is a path."""
         found = self.similar(self.near_fingerprints())
-        with batch_rows(self.docs.sparkSession, 32_768):
-            posted = written(shared(prefixes(self.first(), self.words, frequent(self.docs, self.words))))
-        n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND((1 << 32) - 1)
-        posted = posted.select("key", "id", n.alias("n"), pos.alias("pos"), F.floor(F.log(n) / math.log(DOWN / UP)).alias("band"))
-
+        ranked = frequent(self.docs, self.words)
+        posted = self.posted(ranked)
         left = self.apart(posted, found)
         leader = F.min_by(F.struct("id", "n", "pos", "root"), F.xxhash64("key", "id")).alias("l")
         leaders = left.groupBy("key", "band").agg(leader, F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "band", "l.*", "m")
@@ -258,10 +276,23 @@ class Classes:
         found = found.union(self.similar(led))
 
         left = self.apart(posted, found)
+        for _ in range(RANKINGS):
+            crowded = crowds(left)
+            if not len(crowded[0]):
+                break
+            ranked = merged(ranked, crowded)
+            left = self.apart(self.posted(ranked), found)
         met = left.alias("x").join(left.alias("y"), "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_reach("x", "y"))
         rest = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(led.select(*ordered(F.col("a"), F.col("b"))), ["a", "b"], "left_anti")
         return found.union(self.similar(rest))
 
+    def posted(self, ranked: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        """(key, id, n, pos, band): the prefixes of all classes, without keys that only one of them holds."""
+        with batch_rows(self.docs.sparkSession, 32_768):
+            found = written(shared(prefixes(self.first(), self.words, ranked)))
+        n, pos = F.shiftright("at", 32), F.col("at").bitwiseAND((1 << 32) - 1)
+        return found.select("key", "id", n.alias("n"), pos.alias("pos"), F.floor(F.log(n) / math.log(DOWN / UP)).alias("band"))
+
     def apart(self, posted: DataFrame, links: DataFrame) -> DataFrame:
         """posted with roots, without the keys whose classes are all in one component."""
         known = rooted(posted, links)
