@@ -5,6 +5,7 @@ Series are users' events, matrices are embeddings by label, descriptions and raw
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from myospark.functions import columns as C
 from myospark.functions.butterworth import Bandpass, design
 from myospark.operators import filters, grids, layout, long_series, tracks
-from myospark.session import ensure_workers, read
-from myospark.sources import encode, headers, mat
+from myospark.session import ensure_checkpoints, ensure_workers, read
+from myospark.sources import encode, headers, mat, source
 from myospark.sources.files import decode_files
 
 RATE = 2048.0
@@ -323,12 +324,12 @@ def cache_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", C.fresh(F.col("ts").cast("timestamp"), now).alias("fresh"))
 
 
-def _encoded(parts: DataFrame, run: Callable[[pd.DataFrame], bytes], suffix: str) -> DataFrame:
+def _encoded(parts: DataFrame, run: Callable[[object], bytes], suffix: str, of: Callable[[pd.DataFrame], object] = lambda group: group) -> DataFrame:
     """Recordings of 40 parts as files: (path, length, content)."""
     ensure_workers(parts.sparkSession)
 
     def files(group: pd.DataFrame) -> pd.DataFrame:
-        content = run(group.sort_values("p_partkey"))
+        content = run(of(group.sort_values("p_partkey")))
         return pd.DataFrame({"path": [f"/{group['file_id'].iloc[0]}{suffix}"], "length": [len(content)], "content": [content]})
 
     keyed = parts.select(F.floor(F.col("p_partkey") / 40).cast("long").alias("file_id"), "p_partkey", "p_size", "p_retailprice")
@@ -336,7 +337,11 @@ def _encoded(parts: DataFrame, run: Callable[[pd.DataFrame], bytes], suffix: str
 
 
 def _samples(files: DataFrame) -> DataFrame:
-    rows = layout.explode_samples(decode_files(files)).withColumn("file_id", F.regexp_extract("file_id", r"/(\d+)\.", 1).cast("long"))
+    return _renamed(layout.explode_samples(decode_files(files)))
+
+
+def _renamed(samples: DataFrame) -> DataFrame:
+    rows = samples.withColumn("file_id", F.regexp_extract("file_id", r"/(\d+)\.", 1).cast("long"))
     return rows.select("file_id", long("channel_idx"), long("sample_idx"), "description", "value", "t")
 
 
@@ -351,12 +356,13 @@ def pairs(group: pd.DataFrame) -> np.ndarray:
 
 @query(f"SELECT file_id, channel_idx, sample_idx, CASE channel_idx WHEN 0 THEN 'A1-mat-c0-left' ELSE 'A1-mat-c1' END AS description, v * 4.8::DOUBLE / 65536::DOUBLE * 1000::DOUBLE / CASE channel_idx WHEN 0 THEN 10::DOUBLE ELSE 25::DOUBLE END AS value FROM ({PAIRS_SQL})")
 def otb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(group: pd.DataFrame) -> bytes:
-        channels = [{"Index": 0, "Gain": 2, "ID": "c0", "Side": " left "}, {"Index": 1, "ID": "c1", "Side": "Not defined"}]
-        adapter = {"Gain": 5, "ChannelStartIndex": 0, "ID": "A1", "Description": "mat"}
-        return encode.encode_otb({"Name": "Q", "SampleFrequency": 2048, "ad_bits": 16, "DeviceTotalChannels": 2}, [(adapter, channels)], pairs(group), tail=b"\x01\x00")
+    return _samples(_encoded(read(spark, sf_dir, "part"), otb_file, ".otb+")).drop("t")
 
-    return _samples(_encoded(read(spark, sf_dir, "part"), run, ".otb+")).drop("t")
+
+def otb_file(group: pd.DataFrame) -> bytes:
+    channels = [{"Index": 0, "Gain": 2, "ID": "c0", "Side": " left "}, {"Index": 1, "ID": "c1", "Side": "Not defined"}]
+    adapter = {"Gain": 5, "ChannelStartIndex": 0, "ID": "A1", "Description": "mat"}
+    return encode.encode_otb({"Name": "Q", "SampleFrequency": 2048, "ad_bits": 16, "DeviceTotalChannels": 2}, [(adapter, channels)], pairs(group), tail=b"\x01\x00")
 
 
 @query(f"SELECT file_id, channel_idx, sample_idx, CASE channel_idx WHEN 0 THEN 'S-a.sig-one-ch0' ELSE 'S-a.sig-two-ch0' END AS description, v * (5::DOUBLE / 65536::DOUBLE * 1000::DOUBLE / CASE channel_idx WHEN 0 THEN 4::DOUBLE ELSE 8::DOUBLE END) AS value FROM ({PAIRS_SQL})")
@@ -387,13 +393,30 @@ FROM (SELECT p_partkey // 40 AS file_id, row_number() OVER (PARTITION BY p_partk
 WHERE n < m - m % 2""")
 def mat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With uneven times. One sample of two channels is read as two samples of one, whose time vector then isn't aligned."""
+    return _samples(_encoded(read(spark, sf_dir, "part"), mat.write_mat, ".mat", variables))
+
+
+def variables(group: pd.DataFrame) -> dict[str, object]:
+    x = pairs(group) / 8.0
+    at = np.arange(x.shape[1])
+    return {"Data": x, "Time": (0.5 + at * at / RATE)[:, None], "Description": ["é", "two"], "SamplingFrequency": np.array([[RATE]])}
+
+
+@query(ORACLE["mat_roundtrip"])
+def mat4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in files of level 4."""
+    return _samples(_encoded(read(spark, sf_dir, "part"), mat.write_mat4, ".mat", variables))
 
-    def run(group: pd.DataFrame) -> bytes:
-        x = pairs(group) / 8.0
-        at = np.arange(x.shape[1])
-        return mat.write_mat({"Data": x, "Time": (0.5 + at * at / RATE)[:, None], "Description": ["é", "two"], "SamplingFrequency": np.array([[RATE]])})
 
-    return _samples(_encoded(read(spark, sf_dir, "part"), run, ".mat"))
+@query(ORACLE["otb_roundtrip"].replace("SELECT file_id", "SELECT * FROM (SELECT file_id", 1) + ") WHERE channel_idx = 1")
+def source_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of parts as files in the shared folder, read by the data source, which takes the filter on channels."""
+    ensure_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/recordings-{uuid.uuid4()}"
+    encode.write_files(_encoded(read(spark, sf_dir, "part"), otb_file, ".otb+"), folder)
+    source.register(spark)
+    found = spark.read.format("recording").load(folder).where("channel_idx = 1")
+    return _renamed(layout.explode_samples(found)).drop("t")
 
 
 @query("SELECT p_partkey, concat('é', p_name) AS text FROM part")

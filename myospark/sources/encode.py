@@ -4,10 +4,33 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from myospark.sources.stores import system_of
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write rows (path, content) to files of these names in a folder that all executors share; a repeated task writes the same again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                system, at = system_of(f"{folder}/{path.lstrip('/')}")
+                system.create_dir(at.rsplit("/", 1)[0])
+                part = f"{at}.{uuid.uuid4()}"
+                with system.open_output_stream(part) as out:
+                    out.write(content)
+                system.move(part, at)
+            yield b.select(["path"])
+
+    files.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
 
 
 def archive(found: dict[str, bytes], kind: str = "tar") -> bytes:
