@@ -4,7 +4,7 @@ A line is the set of its words (A-Z in lower case, runs of other than ASCII whit
 their rarity. Words are ordered by rarity over all lines: by the counts of their hash buckets, which all tasks know, and
 words that are nowhere else are in no list. Two sets with a Jaccard similarity of 4/5 or more share a word among the first
 n - ceil(4n/5) + 1 of each; so lines meet in the lists of those words, where length and positional filters and a bound on
-the symmetric difference (a parity sketch) leave few pairs. What they connect is verified exactly, group by group.
+the symmetric difference (a parity sketch) leave few pairs. What they connect is verified exactly, group by group; very large groups, which may be long chains, list by list.
 
 Lines of one set of words (told by two 64-bit sums) are one class, and only classes are joined, however often their lines
 are repeated. Long lists are cut by lengths, and then into parts that are joined in pairs; so are large groups.
@@ -36,6 +36,8 @@ UP, DOWN = 4, 5
 BUCKET_BITS, BLOCK_BITS, KEY_BITS, POSITION_BITS = 24, 12, 48, 9
 #: Words a task counts before it sends counts on; postings looked at together; classes compared in one task.
 COUNTED, BUFFER, GROUP = 4_000_000, 200_000, 1024
+#: Classes of a component that are all compared with each other.
+LARGE = 8192
 #: Words of a level above LIST_LEVEL may have long lists; these are cut into parts of LIST classes.
 LIST_LEVEL, LIST = 13, 8192
 #: Similar lines are in the same or in neighbouring bands of lengths (a little wider than the threshold asks).
@@ -282,20 +284,24 @@ def candidates(classes: DataFrame) -> DataFrame:
     return posted.repartition(F.shiftright("key", POSITION_BITS)).sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def compare(keys: list[np.ndarray], n: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Whether the Jaccard similarity of rows and columns is at the threshold or above."""
+def compare(keys: list[np.ndarray], n: np.ndarray, rows: np.ndarray, columns: np.ndarray, first: int | None = None) -> np.ndarray:
+    """Whether the Jaccard similarity of rows and columns is at the threshold or above, and `first`, if given, their first common word."""
     size = np.array([len(k) for k in keys])
-    _, word = np.unique(np.concatenate(keys), return_inverse=True)
+    words, word = np.unique(np.concatenate(keys), return_inverse=True)
     owner = np.repeat(np.arange(len(keys)), size)
-    both = np.zeros((len(rows), len(columns)), np.float32)
+    both, before = (np.zeros((len(rows), len(columns)), np.float32) for _ in range(2))
+    below = 0 if first is None else int(np.searchsorted(words, first))  # words before the first common one
     order = np.argsort(word, kind="stable")
     word, owner = word[order], owner[order]
-    for first in range(0, int(word[-1]) + 1, 4096):
-        span = slice(*np.searchsorted(word, [first, first + 4096]))
+    for low in range(0, int(word[-1]) + 1, 4096):
+        span = slice(*np.searchsorted(word, [low, low + 4096]))
         m = np.zeros((len(keys), 4096), np.float32)
-        m[owner[span], word[span] - first] = 1
+        m[owner[span], word[span] - low] = 1
         both += m[rows] @ m[columns].T
-    return (UP + DOWN) * both >= UP * (n[rows][:, None] + n[columns][None, :])
+        if low < below:
+            some = m[:, : below - low]
+            before += some[rows] @ some[columns].T
+    return ((UP + DOWN) * both >= UP * (n[rows][:, None] + n[columns][None, :])) & (before == 0)
 
 
 def in_units(members: DataFrame) -> DataFrame:
@@ -319,12 +325,29 @@ def in_units(members: DataFrame) -> DataFrame:
     return met.select("root", "id", "unit", F.least("unit", "other").alias("x"), F.greatest("unit", "other").alias("y"))
 
 
+def by_lists(members: DataFrame) -> DataFrame:
+    """members once for each word of its prefix that others may have, which becomes its `root`: two similar sets share their first common word's list."""
+    prefix = F.slice("keys", 1, F.col("n") - F.ceil(F.lit(UP) * F.col("n") / DOWN).cast("int") + 1)
+    known = F.filter(prefix, lambda k: F.shiftright(k, KEY_BITS) > 1)
+    return members.where("n >= 4").withColumn("root", F.explode(known)).select(*members.columns)
+
+
 def verify(members: DataFrame) -> DataFrame:
     """(id, links, first): how many classes are similar to each, and where the first of them stands.
 
-    members: (root, id, n, keys, doc_id, row, line_no).
+    members: (root, id, n, keys, doc_id, row, line_no). Components of up to LARGE classes are compared whole. Larger ones may be chains in
+    which few are similar: only classes that share a prefix word are compared, and a pair counts where that word is its first common one.
     """
-    pairs = in_units(members).withColumnRenamed("unit", "part").join(members.drop("root"), "id")
+    large = cut(members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LARGE).select("root"))
+    found = compared(members, False)
+    if large.count():
+        found = compared(members.join(large, "root", "left_anti"), False).union(compared(by_lists(members.join(large, "root", "left_semi")), True))
+    return found.groupBy("id").agg(F.sum("links").alias("links"), F.min(F.struct("doc_id", "row", "line_no")).alias("first"))
+
+
+def compared(members: DataFrame, lists: bool) -> DataFrame:
+    """(id, links, doc_id, row, line_no): similar classes of each in a pair of units, and where the first of them stands. lists: roots are words."""
+    pairs = in_units(members).withColumnRenamed("unit", "part").join(members, ["root", "id"]) if lists else in_units(members).withColumnRenamed("unit", "part").join(members.drop("root"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, []
@@ -339,7 +362,7 @@ def verify(members: DataFrame) -> DataFrame:
             rows, columns = np.flatnonzero(part == x), np.flatnonzero(part == y)
             alike = np.zeros((len(n), len(n)), bool)
             if len(rows) and len(columns):
-                found = compare(keys, n, rows, columns)
+                found = compare(keys, n, rows, columns, t["root"][0].as_py() if lists else None)
                 alike[np.ix_(rows, columns)] = found
                 alike |= alike.T
             np.fill_diagonal(alike, False)
@@ -370,8 +393,7 @@ def verify(members: DataFrame) -> DataFrame:
             yield done(t)
 
     columns = ["root", "x", "y", "part", "id", "n", "keys", "doc_id", "row", "line_no"]
-    found = pairs.select(*columns).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "doc_id", "row", "line_no").mapInArrow(run, "id long, links long, doc_id long, row long, line_no int")
-    return found.groupBy("id").agg(F.sum("links").alias("links"), F.min(F.struct("doc_id", "row", "line_no")).alias("first"))
+    return pairs.select(*columns).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "doc_id", "row", "line_no").mapInArrow(run, "id long, links long, doc_id long, row long, line_no int")
 
 
 def class_sets(docs: DataFrame, levels: np.ndarray, members: DataFrame) -> DataFrame:

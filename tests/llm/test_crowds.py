@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from myospark.llm import nearcopies
+from myospark.llm import linejoin, nearcopies
 from tests.llm.test_small_operators import corpus, plain_sets, prose
 
 
@@ -66,3 +66,45 @@ def test_nested_passages_are_ranked_in_turns(spark, compared, monkeypatch):
             texts.append(texts[-1] + " tail")
     kept = nearcopies.keep_one(corpus(spark, list(enumerate(texts)))).count()
     assert kept == components([plain_sets(t, 5) for t in texts])
+
+
+@pytest.mark.parametrize("large", [8192, 20])
+def test_links_of_chains_and_crowds(spark, monkeypatch, large):
+    """Chains in which each line is like the next one only, and groups in which all are alike, whole or list by list, against all pairs."""
+    monkeypatch.setattr(linejoin, "LARGE", large)
+    monkeypatch.setattr(linejoin, "GROUP", 16)
+    rng, lines = random.Random(7), []
+    chain = prose(140, 77).split()
+    lines += [" ".join(chain[i : i + 22]) for i in range(0, 116, 2)]  # 20 of 24 words in common with the next
+    base = prose(25, 78).split()
+    lines += [" ".join([*base[:k], f"other{rng.randrange(40)}", *base[k + 1 :]]) for k in range(25) for _ in range(2)]
+    lines += [prose(12, 900 + i) for i in range(30)]
+    rng.shuffle(lines)
+    sets = [frozenset(x.encode().lower().split()) for x in lines]
+    kinds = set(sets)
+    want = {s: sum(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in kinds) - 1 for s in kinds}
+    got = linejoin.similar_lines(corpus(spark, [(i, "\n".join(lines[i : i + 4])) for i in range(0, len(lines), 4)])).collect()
+    assert len(got) == len(lines) and sum(want.values()) > 300
+    for r in got:
+        i = r["doc_id"] + r["line_no"]
+        assert r["n_links"] == want[sets[i]], lines[i]
+        assert r["removed"] == any(9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) for j in range(i))
+
+
+def test_a_chain_is_not_compared_with_itself(spark, monkeypatch):
+    """A component of 5,000 classes, each like a few neighbours: pairs of classes that meet in a task grow with its length, not with the square."""
+    met = []
+    in_units = linejoin.in_units
+
+    def spy(members):
+        out = in_units(members)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(linejoin, "in_units", spy)
+    monkeypatch.setattr(linejoin, "LARGE", 1000)
+    words = [f"{w}{i}" for i, w in enumerate(prose(10_100, 5).split())]
+    lines = [" ".join(words[i : i + 22]) for i in range(0, 10_000, 2)]
+    got = linejoin.similar_lines(corpus(spark, [(i, "\n".join(lines[i : i + 50])) for i in range(0, 5000, 50)])).groupBy("n_links").count().collect()
+    assert {r["n_links"]: r["count"] for r in got} == {1: 2, 2: 4998}
+    assert met[-1] <= 5000 * 6  # a row for each class and prefix word
