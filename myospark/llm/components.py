@@ -11,7 +11,8 @@ from myospark.session import cut
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link neighbours to the least of a vertex's neighbourhood: the larger ones, or the smaller ones and itself.
 
-    A hub's neighbours share a key of the join, which nothing but another shuffle follows, so adaptive execution splits it.
+    A hub's neighbours share a key of the join, which nothing but another shuffle follows, so adaptive execution splits it: an edge is
+    16 bytes, so a hub of a million neighbours is 16 MB, and partitions above the session's skew threshold are cut.
     """
     both = edges.union(edges.select("b", "a")) if large else edges
     both = both.toDF("u", "v")

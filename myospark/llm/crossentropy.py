@@ -9,7 +9,7 @@ and the history of its first word. p(w) = (c(w) + 1) / (N + V), p(w | h) = (c(h
 
 No task holds all words or bigrams. Each task cuts its documents into blocks of bounded size, whatever their ids; each block's
 distinct words, and then its distinct bigrams, are sent to the parts of the table of counts, added up there, and the sums sent
-back to the blocks. A part knows its keys by 48 bits of hash. All numbers travel by byte planes, compressed.
+back to the blocks; beyond ROUTED parts in two steps, by groups of blocks and of parts. A part knows its keys by 48 bits of hash. All numbers travel by byte planes, compressed.
 
 A null text is an empty one: no tokens, null losses. A null doc_id is never target. Repeated rows count as often as they
 occur. A text of any length is counted whole, in one block. No order of words matters, so there are no ties. An empty table
@@ -18,6 +18,7 @@ gives an empty table. Columns other than doc_id and text may have any names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from myospark.session import ensure_workers
 MU = 100.0
 #: Tokens of one block, about.
 BLOCK_TOKENS = 1_500_000
+#: Parts that each block asks directly, at most.
+ROUTED = 4096
 #: Target ids are broadcast up to this number (8 bytes each); beyond it they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 #: The hash that stands for a document's end; multipliers of a bigram's hash.
@@ -41,6 +44,7 @@ END, HISTORY, WORD = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93
 BLOCK = "tokens long, ends long, target_tokens long, target_ends long, words binary, numbers binary, doc_ids array<long>, targets array<boolean>, sizes array<int>"
 #: Bytes of a key, of a count and of a word's number.
 KEY, COUNT, NUMBER = 6, 8, 4
+ASKED = "part int, block long, keys binary, n binary, n_target binary, sizes array<int>"
 SUMS = "block long, part int, pairs boolean, n binary, n_target binary, kinds long"
 RESULT = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
@@ -119,11 +123,14 @@ class Keys:
         self.part, self.first = np.unique(part[self.order], return_index=True)
         self.key, self.n, self.n_target = key[self.order], n[self.order], n_target[self.order]
 
-    def requests(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """(part, keys, n, n_target)."""
-        edges = np.append(self.first, len(self.key)).tolist()
-        for part, a, b in zip(self.part.tolist(), edges, edges[1:], strict=False):
-            yield part, planes(self.key[a:b], KEY), planes(self.n[a:b], NUMBER), planes(self.n_target[a:b], NUMBER)
+    def requests(self, width: int = 1) -> Iterator[tuple[int, bytes, bytes, bytes, list[int]]]:
+        """(part // width, keys, n, n_target, keys of each of the `width` parts) of the parts that there are keys for."""
+        edges = np.append(self.first, len(self.key))
+        coarse, at = np.unique(self.part // width, return_index=True)
+        for part, low, high in zip(coarse.tolist(), at.tolist(), [*at[1:].tolist(), len(self.part)], strict=True):
+            a, b, sizes = edges[low], edges[high], np.zeros(width, np.int64)
+            sizes[self.part[low:high] % width] = np.diff(edges[low : high + 1])
+            yield part, planes(self.key[a:b], KEY), planes(self.n[a:b], NUMBER), planes(self.n_target[a:b], NUMBER), sizes.tolist()
 
 
 class Counts:
@@ -165,19 +172,83 @@ class Counts:
         return means
 
 
-def requests(blocks: DataFrame, parts: int, pairs: bool) -> DataFrame:
-    """(part, block, keys, n, n_target): each block's distinct words, or bigrams, and counts, by part of the table."""
+def requests(blocks: DataFrame, parts: int, pairs: bool, width: int = 1) -> DataFrame:
+    """(ASKED): each block's distinct words, or bigrams, and counts, by part of the table, or by `width` neighbouring parts together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
                 counts = Counts.of(b, row, parts)
-                sent = list(zip(*(counts.pairs if pairs else counts.singles).requests(), strict=True)) or [()] * 4
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                sent = list(zip(*(counts.pairs if pairs else counts.singles).requests(width), strict=True)) or [()] * 5
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
                 part, *lists = (pa.array(x, kind) for x, kind in zip(sent, kinds, strict=True))
-                yield pa.RecordBatch.from_arrays([part, pa.array([b["block"][row].as_py()] * len(part), pa.int64()), *lists], ["part", "block", "keys", "n", "n_target"])
+                yield pa.RecordBatch.from_arrays([part, pa.array([b["block"][row].as_py()] * len(part), pa.int64()), *lists], [c.split()[0] for c in ASKED.split(", ")])
 
-    return blocks.select("block", "words", "numbers", "targets", "sizes").mapInArrow(run, "part int, block long, keys binary, n binary, n_target binary")
+    found = blocks.select("block", "words", "numbers", "targets", "sizes").mapInArrow(run, ASKED)
+    return found if width > 1 else found.drop("sizes")
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    return table.sort_by("block")
+
+
+def gathered(asked: DataFrame, width: int) -> DataFrame:
+    """(part, block, keys, n, n_target): what a group of blocks asks of each part, in one row; `block` is the group.
+
+    asked: rows for `width` parts together, with their `group`.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows, out = in_order(rows), []
+        ends = np.cumsum(np.array(rows["sizes"].to_pylist(), np.int64).reshape(-1, width), axis=1)
+        columns = [[numbers_of(x, size) for x in rows[c].to_pylist()] for c, size in (("keys", KEY), ("n", NUMBER), ("n_target", NUMBER))]
+        for w in range(width):
+            spans = [(e[w - 1] if w else 0, e[w]) for e in ends.tolist()]
+            if any(a < b for a, b in spans):
+                own = [np.concatenate([x[a:b] for x, (a, b) in zip(c, spans, strict=True)]) for c in columns]
+                out.append((key[1].as_py() * width + w, key[0].as_py(), *(planes(x, size) for x, size in zip(own, (KEY, NUMBER, NUMBER), strict=True))))
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["part", "block", "keys", "n", "n_target"])
+
+    return asked.groupBy("group", "part").applyInArrow(run, "part int, block long, keys binary, n binary, n_target binary")
+
+
+def dealt_back(asked: DataFrame, answers: DataFrame, width: int, pairs: bool) -> DataFrame:
+    """(SUMS) of each block, from those of groups of blocks: the inverse of `gathered`."""
+
+    def run(_key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
+        rows = in_order(rows)
+        sizes = np.array(rows["sizes"].to_pylist(), np.int64).reshape(-1, width)
+        out = {}
+        for c in ("n", "n_target"):
+            cells: list[list[np.ndarray]] = [[] for _ in range(len(sizes))]
+            for part, raw in sorted(zip(found["part"].to_pylist(), found[c].to_pylist(), strict=True)):
+                edges = np.append(0, np.cumsum(sizes[:, part % width])).tolist()
+                sums = numbers_of(raw, COUNT)
+                for cell, a, b in zip(cells, edges, edges[1:], strict=False):
+                    cell.append(sums[a:b])
+            out[c] = pa.array([planes(np.concatenate(x), COUNT) for x in cells], pa.binary())
+        same = lambda x, kind: pa.array([x] * len(sizes), kind)
+        return pa.table({"block": rows["block"], "part": rows["part"], "pairs": same(pairs, pa.bool_()), "n": out["n"], "n_target": out["n_target"], "kinds": same(0, pa.int64())})
+
+    sent = asked.select("group", "part", "block", "sizes").groupBy("group", "part")
+    return sent.cogroup(answers.withColumn("of", F.floor(F.col("part") / width).cast("int")).groupBy("block", "of")).applyInArrow(run, SUMS)
+
+
+def answered(blocks: DataFrame, n_blocks: int, parts: int, pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """(SUMS) of each block, and the sums by part with their `kinds`.
+
+    Up to ROUTED parts, each block asks each part. Beyond, blocks ask `width` parts at once, and groups of blocks ask each part, so that for B
+    blocks and parts there are about 2 B^1.5 rows instead of B^2.
+    """
+    if parts <= ROUTED:
+        sums = add_up(requests(blocks, parts, pairs), pairs)
+        sums = sums if pairs else written(sums)  # words are read twice: for their kinds, and by the blocks
+        return sums, sums
+    width, groups = max(2, math.isqrt(parts)), max(1, math.isqrt(n_blocks))
+    asked = requests(blocks, parts, pairs, width).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("long"))
+    sums = written(add_up(gathered(asked, width), pairs))
+    return dealt_back(asked, sums, width, pairs), sums
 
 
 def add_up(asked: DataFrame, pairs: bool) -> DataFrame:
@@ -204,9 +275,9 @@ def score_documents(docs: DataFrame, target: DataFrame) -> DataFrame:
     blocks = encode(mark_target(docs, target))
     sums = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "ends", "target_tokens", "target_ends")), F.count(F.lit(1))).first()
     totals, parts = (sums[0] + sums[1], sums[2] + sums[3]), max(1, sums[4], -(-(sums[0] + sums[1]) // BLOCK_TOKENS))
-    singles = written(add_up(requests(blocks, parts, False), False))
-    kinds = singles.groupBy("part").agg(F.max("kinds").alias("kinds")).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
-    answers = singles.union(add_up(requests(blocks, parts, True), True))
+    singles, by_part = answered(blocks, sums[4], parts, False)
+    kinds = by_part.groupBy("part").agg(F.max("kinds").alias("kinds")).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    answers = singles.union(answered(blocks, sums[4], parts, True)[0])
 
     def run(_key: tuple, group: pa.Table, found: pa.Table) -> pa.Table:
         c = Counts.of(group, 0, parts)

@@ -3,8 +3,10 @@
 A stable key and the number of shards alone decide a row's shard; no ring table is kept. When shards are
 appended, a row either stays or moves into a new shard.
 
-Nulls: a null key counts as 0; a null text as an empty one. Rows that agree in all columns share a shard and get
-slots of their own. An empty table gives an empty table. Columns with the names of the results are replaced.
+Nulls: a null key counts as 0; a null text as an empty one. Rows that share a key share a shard; they get slots by checksum and size, and
+rows that agree in all of these get slots of their own, in any order. Of a text only its length and checksum are taken, by Spark, so that
+texts of any length are never held in Python. An empty table gives an empty table. Columns with the names of the results are replaced;
+others are carried along, or ignored by the report.
 """
 
 from __future__ import annotations

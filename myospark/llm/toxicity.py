@@ -1,7 +1,8 @@
 """Toxicity by classifier chains (Read et al., 2009).
 
 Categories are predicted one after another: the linear model of each sees the text's features and the earlier
-categories' log-odds, which in training are out-of-fold predictions, so that later models learn from errors they will meet.
+categories' log-odds, which in training are out-of-fold predictions, so that later models learn from errors they will meet. Log-odds say
+what probabilities say, on the scale on which a linear model adds up evidence; probabilities near 0 and 1 would hardly differ there.
 
 Features are the words of the whole text, each once, and their leading characters. Models are fitted on at most SAMPLE
 labelled documents, chosen by hash of the id; every document is scored in one narrow pass.

@@ -267,6 +267,33 @@ def test_parts_of_the_table_of_counts():
     assert len(set(zip(np.repeat(keys.part, np.diff(np.append(keys.first, len(keys.key)))).tolist(), keys.key.tolist(), strict=True))) == len(hashes)
 
 
+def test_many_parts_are_asked_in_two_steps(spark, monkeypatch):
+    """The same scores, with fewer rows than one for each block and part."""
+    monkeypatch.setattr(crossentropy, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr(crossentropy, "pieces", lambda texts, of=crossentropy.pieces: of(texts, 500))
+    rows = [*odd_rows()[:12], *((100 + i, prose(20 + i % 50, i)) for i in range(120)), (500, prose(3000, 3))]
+    docs, target = frame(spark, rows), spark.createDataFrame([(i,) for i in range(100, 150)], "doc_id long")
+    want = crossentropy.score_documents(docs, target).collect()
+    asked, requests = [], crossentropy.requests
+
+    def spy(blocks, parts, pairs, width=1):
+        out = requests(blocks, parts, pairs, width)
+        asked.append((blocks.count(), parts, out.count()))
+        return out
+
+    gathered, met = crossentropy.gathered, []
+    monkeypatch.setattr(crossentropy, "gathered", lambda a, width: met.append(gathered(a, width).count()) or gathered(a, width))
+    monkeypatch.setattr(crossentropy, "requests", spy)
+    monkeypatch.setattr(crossentropy, "ROUTED", 2)
+    got = crossentropy.score_documents(docs, target).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"] is None, r["score"] or 0.0)
+    assert len(got) == len(want) == len(rows)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-12)
+    for (blocks, parts, n), two in zip(asked, met, strict=True):
+        assert blocks > 30 and parts > 60 and n <= blocks * (parts**0.5 + 2) and two <= parts * (blocks**0.5 + 1) and n + two < blocks * parts / 1.5
+
+
 def test_fingerprints_keep_other_columns(spark):
     docs = frame(spark, odd_rows())
     out = winnowing.fingerprints(docs)
