@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from myospark.session import ensure_workers
@@ -151,6 +151,19 @@ def in_order(formatted: DataFrame) -> DataFrame:
     return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
 
 
+def place_turns(formatted: DataFrame) -> DataFrame:
+    """formatted turns with `start`, where each begins in the string of its whole conversation, and with masks and attachments placed there too.
+
+    Strings of whole conversations are never built; whoever wants one joins a conversation's turns in order. The running sum streams.
+    """
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "formatted").rowsBetween(Window.unboundedPreceding, -1)
+    rows = formatted.withColumn("start", F.coalesce(F.sum(F.length("formatted").cast("long")).over(before), F.lit(0)))
+    at = F.col("start")
+    mask = F.transform("mask", lambda m: F.struct((m["start"] + at).alias("start"), (m["end"] + at).alias("end")))
+    attachments = F.transform("attachments", lambda a: F.struct(a["kind"].alias("kind"), a["ref"].alias("ref"), (a["at"] + at).alias("at"), a["tokens"].alias("tokens")))
+    return rows.withColumns({"mask": mask, "attachments": attachments})
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """(READ) of each conversation, taken from the formatted turns and their masks alone."""
 

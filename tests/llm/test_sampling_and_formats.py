@@ -204,6 +204,23 @@ def test_parts_are_built_from_columns(spark):
     assert r["formatted"] == "<|turn|>user<|says|>look<|image|><|end|>\n" and r["attachments"][0]["tokens"] == 2
 
 
+def test_turns_are_placed_in_their_conversation(spark):
+    blank = dict.fromkeys(("kind", "text", "ref", "width", "height", "seconds", "pages"))
+    content = [blank | {"kind": "text", "text": "é 😀 </s>"}, blank | {"kind": "image", "ref": "a"}, blank | {"text": "after"}]
+    rows = [(c, t, role, content) for c in (1, 2, None) for t, role in ((2, "assistant"), (0, "system"), (None, "user"), (1, "assistant"))]
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{chat.PART}>").repartition(3)
+    placed = chat.place_turns(chat.format_turns(turns)).collect()
+    for c in (1, 2, None):
+        own = sorted((r for r in placed if r["conv_id"] == c), key=lambda r: (r["turn"] is not None, r["turn"] or 0))
+        whole = "".join(r["formatted"] for r in own)
+        assert [r["role"] for r in own] == ["user", "system", "assistant", "assistant"]
+        for r in own:
+            assert whole[r["start"] :].startswith(r["formatted"])
+            assert all(whole[a["at"] :].startswith("<|image|>") for a in r["attachments"]) and len(r["attachments"]) == 1
+            said = [chat.unescape(whole[m["start"] : m["end"]]) for m in r["mask"]]
+            assert said == (["é 😀 </s>", "after"] if r["role"] == "assistant" else [])
+
+
 def test_chat_report(spark):
     rng = random.Random(6)
     pieces = ["</s>", "[INST]", "x", " ", "\n", chat.ESCAPE, "<|end|>", "é", "<s", ">", "|>"]
