@@ -23,7 +23,7 @@ def track_channels(tracks: DataFrame, keys: list[str], order: str = "track_idx",
 
 
 def interval_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, low: str = "low", high: str = "high") -> DataFrame:
-    """Rows of points with each of the ranges of their keys that holds them: low <= at < high. Both have other names but for the keys.
+    """Rows of points with each of the ranges of their keys that holds them: low <= at < high, whole numbers. Both have other names but for the keys.
 
     Ranges may overlap and leave gaps. A range of up to 2^k lies in one or two bins of 2^k, and is copied to these; a point is copied for each k that
     some range has (at most 64), and looks into its own bin. So the join is one on equal keys, which adaptive execution splits where they are uneven,
