@@ -36,6 +36,8 @@ UP, DOWN = 4, 5
 BUCKET_BITS, BLOCK_BITS, KEY_BITS, POSITION_BITS = 24, 12, 48, 9
 #: Words a task counts before it sends counts on; postings looked at together; classes compared in one task.
 COUNTED, BUFFER, GROUP = 4_000_000, 200_000, 1024
+#: Rows of groups of classes that are taken from Arrow together, about.
+COMPARED = 4096
 #: Classes of a component that are all compared with each other.
 LARGE = 8192
 #: Words of a level above LIST_LEVEL may have long lists; these are cut into parts of LIST classes.
@@ -295,7 +297,7 @@ def compare(keys: list[np.ndarray], n: np.ndarray, rows: np.ndarray, columns: np
     word, owner = word[order], owner[order]
     for low in range(0, int(word[-1]) + 1, 4096):
         span = slice(*np.searchsorted(word, [low, low + 4096]))
-        m = np.zeros((len(keys), 4096), np.float32)
+        m = np.zeros((len(keys), min(4096, len(words) - low)), np.float32)
         m[owner[span], word[span] - low] = 1
         both += m[rows] @ m[columns].T
         if low < below:
@@ -350,47 +352,48 @@ def compared(members: DataFrame, lists: bool) -> DataFrame:
     pairs = in_units(members).withColumnRenamed("unit", "part").join(members, ["root", "id"]) if lists else in_units(members).withColumnRenamed("unit", "part").join(members.drop("root"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, []
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            part, n = t["part"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-            x, y = t["x"][0].as_py(), t["y"][0].as_py()
-            flat = t["keys"].combine_chunks()
-            edges = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy())])
-            values = flat.flatten().to_numpy()
-            keys = [values[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-            rows, columns = np.flatnonzero(part == x), np.flatnonzero(part == y)
-            alike = np.zeros((len(n), len(n)), bool)
-            if len(rows) and len(columns):
-                found = compare(keys, n, rows, columns, t["root"][0].as_py() if lists else None)
-                alike[np.ix_(rows, columns)] = found
+        kept: list[pa.RecordBatch] = []
+
+        def groups(t: pa.Table) -> list[int]:
+            """Where the groups of a table begin."""
+            ids = np.stack([t[c].to_numpy() for c in ("root", "x", "y")])
+            return [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()]
+
+        def done(t: pa.Table, begins: list[int]) -> pa.RecordBatch:
+            root, x, y, part, n = (t[c].to_numpy() for c in ("root", "x", "y", "part", "n"))
+            n, flat = n.astype(np.int64), t["keys"].combine_chunks()
+            edges = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy())]).tolist()
+            values, linked, links, firsts = flat.flatten().to_numpy(), [], [], []
+            for low, high in zip(begins, [*begins[1:], t.num_rows], strict=True):
+                own = part[low:high]
+                rows, columns = np.flatnonzero(own == x[low]), np.flatnonzero(own == y[low])
+                if not len(rows) or not len(columns):
+                    continue
+                keys = [values[a:b] for a, b in zip(edges[low:high], edges[low + 1 : high + 1], strict=True)]
+                alike = np.zeros((high - low, high - low), bool)
+                alike[np.ix_(rows, columns)] = compare(keys, n[low:high], rows, columns, int(root[low]) if lists else None)
                 alike |= alike.T
-            np.fill_diagonal(alike, False)
-            links = alike.sum(axis=1)
-            first = np.where(links > 0, alike.argmax(axis=1), 0)  # rows stand in the order of (doc_id, row, line_no)
-            some = pa.array(np.flatnonzero(links))
-            where = pa.array(first).take(some)
-            of = lambda c, at: t[c].combine_chunks().take(at)
-            return pa.RecordBatch.from_arrays([of("id", some), pa.array(links).take(some), *(of(c, where) for c in ("doc_id", "row", "line_no"))], ["id", "links", "doc_id", "row", "line_no"])
-
-        def groups() -> Iterator[pa.Table]:
-            nonlocal last, kept
-            for b in batches:
-                ids = np.stack([b.column(i).to_numpy() for i in range(3)])
-                changes = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-                for a, c in zip(changes, changes[1:], strict=False):
-                    if a == c:
-                        continue
-                    if last is not None and tuple(ids[:, a]) != last:
-                        yield pa.Table.from_batches(kept)
-                        kept = []
-                    last = tuple(ids[:, a])
-                    kept.append(b.slice(a, c - a))
-            if kept:
-                yield pa.Table.from_batches(kept)
-
-        for t in groups():
-            yield done(t)
+                np.fill_diagonal(alike, False)
+                held = alike.sum(axis=1)
+                some = np.flatnonzero(held)
+                linked.append(low + some)
+                links.append(held[some])
+                firsts.append(low + alike[some].argmax(axis=1))  # rows stand in the order of (doc_id, row, line_no)
+            some, links, firsts = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (linked, links, firsts))
+            of = lambda c, at: t[c].combine_chunks().take(pa.array(at))
+            return pa.RecordBatch.from_arrays([of("id", some), pa.array(links), *(of(c, firsts) for c in ("doc_id", "row", "line_no"))], ["id", "links", "doc_id", "row", "line_no"])
+
+        for b in batches:
+            kept.append(b)
+            if sum(k.num_rows for k in kept) >= COMPARED:
+                t = pa.Table.from_batches(kept)
+                *begins, last = groups(t)  # the last group may go on
+                if begins:
+                    yield done(t.slice(0, last), begins)
+                    kept = t.slice(last).to_batches()
+        if sum(k.num_rows for k in kept):
+            t = pa.Table.from_batches(kept)
+            yield done(t, groups(t))
 
     columns = ["root", "x", "y", "part", "id", "n", "keys", "doc_id", "row", "line_no"]
     return pairs.select(*columns).repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "doc_id", "row", "line_no").mapInArrow(run, "id long, links long, doc_id long, row long, line_no int")
