@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from myospark.operators import tracks
 from myospark.operators.tracks import interval_join
 from myospark.sources import encode, files, headers, otb, otb4, source
 from myospark.sources.archives import Archive
@@ -144,6 +146,20 @@ def test_interval_join(spark):
     assert interval_join(left, right.limit(0), ["k"], "at").count() == 0 and interval_join(left.limit(0), right, ["k"], "at").count() == 0
 
 
+def test_pairs_of_one_key_are_dealt_over_tasks(spark, monkeypatch):
+    """Few keys, many pairs: all of them, and none in tasks far beyond their share."""
+    monkeypatch.setattr(tracks, "SIDE", 16, raising=False)
+    monkeypatch.setattr(tracks, "TASK_PAIRS", 1000, raising=False)
+    points, ranges = [("hot" if i % 50 else "b", i % 90, i) for i in range(1500)], [("hot" if j % 20 else "b", j % 30, j % 30 + 50 + j % 13, j) for j in range(240)]
+    left = spark.createDataFrame(points, "k string, at long, i int").withColumn("m", F.create_map(F.lit("x"), "i"))
+    out = interval_join(left, spark.createDataFrame(ranges, "k string, low long, high long, j int"), ["k"], "at")
+    want = sorted((i, j) for k, at, i in points for q, low, high, j in ranges if k == q and low <= at < high)
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["i"], r["j"]) for r in got) == want and len(want) > 100_000
+    assert all(r["m"] == {"x": r["i"]} for r in got) and set(out.columns) == {"k", "at", "i", "m", "low", "high", "j"}
+    assert max(Counter(r["task"] for r in got).values()) < 5_000
+
+
 def test_a_long_range_is_not_copied_into_many_bins(spark):
     right = spark.createDataFrame([(0, 0, 10**9, 1), (0, 5, 6, 2)], "k int, low long, high long, j int")
     left = spark.createDataFrame([(0, x) for x in (0, 5, 10**9 - 1, 10**9)], "k int, at long")
