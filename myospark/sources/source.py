@@ -21,23 +21,50 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from myospark.functions.columns import FILE_TYPES
 from myospark.session import ensure_workers
-from myospark.sources.files import HEAD, SIGNALS, as_batches, chunk_at, decoded_rows, parts_of, type_of
+from myospark.sources.files import HEAD, SIGNALS, SPLIT_BYTES, as_batches, chunk_at, decoded_rows, parts_of, type_of
 from myospark.sources.otb import Header, counts, millivolts, parse_header, width
 from myospark.sources.stores import open_file, scheme_of, system_of
 
 #: Columns whose filters choose files, channels and chunks.
 EXACT, ORDERED = ("file_name", "file_type", "channel_idx"), ("chunk_idx", "start_sample")
+#: What opening a file costs, in bytes that could be read meanwhile, about; tasks that a read is shared out to, if it has so many files.
+OPEN_BYTES, LEAST_TASKS = 1 << 20, 64
 #: Chunks of a growing recording that one task gives, at most.
 TOGETHER = 64
 GROWING = "file_id string, channel_idx int, description string, chunk_idx long, start_sample long, sampling_frequency double, samples array<double>"
 
 
 @dataclass
-class Part(InputPartition):
-    path: str
-    size: int
-    part: int
-    parts: int
+class Parts(InputPartition):
+    """What one task reads, in turn: (path, size, part, parts) of parts of files."""
+
+    parts: list[tuple[str, int, int, int]]
+
+    @property
+    def path(self) -> str:
+        """The first file."""
+        return self.parts[0][0] if self.parts else ""
+
+    @property
+    def size(self) -> int:
+        """Bytes of the files, as often as parts of them are read."""
+        return sum(p[1] for p in self.parts)
+
+
+def shared_out(parts: list[tuple[str, int, int, int]], header_only: bool) -> list[Parts]:
+    """Parts of large files by themselves, small files together: a task for each SPLIT_BYTES, where opening a file counts as OPEN_BYTES.
+
+    Where that makes less than LEAST_TASKS tasks, there are about as many, or one for each part.
+    """
+    costs = [OPEN_BYTES + (0 if header_only else size // of) for _, size, _, of in parts]
+    most, out, held = min(SPLIT_BYTES, sum(costs) // LEAST_TASKS), [], 0
+    for part, cost in zip(parts, costs, strict=True):
+        if not out or held + cost > most:
+            out.append(Parts([]))
+            held = 0
+        out[-1].parts.append(part)
+        held += cost
+    return out
 
 
 def listed(path: str, recursive: bool) -> list[tuple[str, int]]:
@@ -97,24 +124,26 @@ class RecordingReader(DataSourceReader):
     def wanted(self, column: str, value: object) -> bool:
         return column not in self.exact or value in self.exact[column]
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Parts]:
         out = []
         for path, size in listed(self.path, self.recursive):
             if self.wanted("file_name", path.rsplit("/", 1)[-1]) and self.wanted("file_type", type_of(path)) and self.bounds[0] < self.bounds[1]:
                 parts = 1 if self.header_only else parts_of(size)
-                out += [Part(path, size, k, parts) for k in range(parts)]
-        return out or [Part("", 0, 0, 1)]
+                out += [(path, size, k, parts) for k in range(parts)]
+        return shared_out(out, self.header_only) or [Parts([])]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
         schema = HEAD if self.header_only else SIGNALS
-        if not partition.path:
-            yield from as_batches(iter(()), schema)
-            return
         channels = sorted(c for c in self.exact["channel_idx"] if c is not None) if "channel_idx" in self.exact else None
-        with open_file(partition.path) as file:
-            rows = decoded_rows(partition.path, partition.size, file, None, self.header_only, channels, partition.part, partition.parts, None, self.bounds)
-            at = [c.split()[0] for c in schema.split(", ")].index("channel_idx")
-            yield from as_batches((r for r in rows if r[at] is not None or channels is None and not self.some_channel), schema)
+        at = [c.split()[0] for c in schema.split(", ")].index("channel_idx")
+
+        def rows() -> Iterator[list]:
+            for path, size, part, of in partition.parts:
+                with open_file(path) as file:
+                    found = decoded_rows(path, size, file, None, self.header_only, channels, part, of, None, self.bounds)
+                    yield from (r for r in found if r[at] is not None or channels is None and not self.some_channel)
+
+        yield from as_batches(rows(), schema)
 
 
 @dataclass

@@ -146,6 +146,25 @@ def test_interval_join(spark):
     assert interval_join(left, right.limit(0), ["k"], "at").count() == 0 and interval_join(left.limit(0), right, ["k"], "at").count() == 0
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    """Tasks grow with bytes, and for small files far slower than their number; all files are read once."""
+    content = encode.encode_otb4([track()], {"a.sig": encode.interleaved(np.arange(4)[None, :], "<i2")})
+    for i in range(700):
+        (tmp_path / f"{i}.otb4").write_bytes(content)
+    for header_only in (False, True):
+        found = spark.read.format("recording").option("header_only", header_only).load(str(tmp_path))
+        assert found.rdd.getNumPartitions() < 100
+        assert sorted(r["file_name"] for r in found.select("file_name").collect()) == sorted(f"{i}.otb4" for i in range(700))
+
+
+def test_tasks_by_bytes_and_files():
+    small, large = [(f"s{i}", 100, 0, 1) for i in range(20_000)], [("l", 8 * files.SPLIT_BYTES, k, 8) for k in range(8)]
+    out = source.shared_out(large + small, False)
+    assert [p for task in out for p in task.parts] == large + small and all(len(task.parts) == 1 for task in out[:8])
+    assert 100 < len(out) < 200
+    assert len(source.shared_out(small[:10], False)) == 10 and source.shared_out([], True) == []
+
+
 def test_pairs_of_one_key_are_dealt_over_tasks(spark, monkeypatch):
     """Few keys, many pairs: all of them, and none in tasks far beyond their share."""
     monkeypatch.setattr(tracks, "SIDE", 16, raising=False)
