@@ -16,7 +16,9 @@ gives an empty table.
 
 from __future__ import annotations
 
+import codecs
 import os
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from myospark.llm.words import Splitter, mix, pieces, powers
+from myospark.llm.words import Splitter, hashed, looked_up, mix, pieces, powers
 from myospark.session import cut, ensure_workers
 
 WINDOW, END = 4096, 2
@@ -38,17 +40,31 @@ K1, B, DENSE = 1.2, 0.75, 16
 SHINGLE = 8
 #: Ranges that are split are broadcast up to this number.
 BROADCAST_RANGES = 100_000
-#: Words whose ids a worker remembers (30 bytes each); bytes of texts encoded together, about.
-REMEMBERED, ENCODED = 3_000_000, 1 << 21
+#: Words whose ids a worker remembers from task to task (30 bytes each); bytes of texts encoded together, about; words asked for in one call.
+REMEMBERED, ENCODED, ASKED = 1_000_000, 1 << 20, 512
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, score double"
 
 
 #: ASCII characters that are neither letters, digits nor blanks.
 MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+#: Kinds of bytes, in bits: ASCII letters, those marks, second bytes of À to ÿ but × and ÷, and of these those of capitals. A-Z in lower case.
+LETTER, MARK, SECOND, CAPITAL = 1, 2, 4, 8
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+KINDS[list(MARKS.encode())] = MARK
+KINDS[0x80:0xC0] = SECOND
+KINDS[0x80:0x9F] |= CAPITAL
+KINDS[[0x97, 0xB7]] = 0
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Marks behind a word that are taken from it; words with more are remembered whole.
+BEHIND = 8
 #: The byte-level alphabet: printable bytes stand for themselves, the others, in turn, for characters from 256 on.
 PRINTABLE = [i for i in range(256) if 33 <= i <= 126 or 161 <= i and i != 173]
 ALPHABET = {i: i for i in PRINTABLE} | {b: 256 + n for n, b in enumerate(i for i in range(256) if i not in PRINTABLE)}
+#: The same for lines, each a word.
+LINES = "".join(chr(ALPHABET[i]) if i != 10 else "\n" for i in range(256))
 #: Words on which the short way must agree with the tokenizer before it is taken.
 PROBES = ["the", "École", "straße", "Ñandú", "antidisestablishment", "qqzx", "Über!?", "word,"]
 
@@ -84,60 +100,92 @@ class Table:
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple:
         both = [np.concatenate(x) for x in zip(a, b, strict=True)]
-        order = np.argsort(both[0])
+        order = np.argsort(both[0], kind="stable")  # two sorted runs
         return tuple(x[order] for x in both)
 
 
 class Encoder:
-    """Token ids of texts. Blanks and line feeds part tokens, so the ids of what stands between them are remembered.
+    """Token ids of texts. Blanks and line feeds part tokens, so the ids of what stands between them are remembered;
+    of Latin letters with marks behind them, the ids of the letters in lower case and of the marks.
 
-    Words of Latin letters go to the tokenizer's model without its normaliser and regular expressions: in lower case, in
-    the byte-level alphabet, and apart from the marks behind them. If that isn't what the tokenizer does, all go through it.
+    Words of Latin letters go to the tokenizer's model without its normaliser and regular expressions: many at once, in lower case and in
+    the byte-level alphabet. If that isn't what the tokenizer does, all go through it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.model = tokenizer.encode, tokenizer.model
-        self.marks: dict[str, bytes] = {}
-        self.short = True
-        self.short = all(self.word(w) == self.whole(w) for w in PROBES)
+        self.encode, self.model = tokenizer.encode, Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
         self.table = Table()
         self.splitter = Splitter(~np.isin(np.arange(256), [32, 10]), lower=False)
+        self.short = True
+        probes = np.frombuffer(" ".join(PROBES).encode(), np.uint8)
+        self.short = self.of(probes, np.array([0, len(probes)]))[0][:-1].tobytes() == b"".join(map(self.whole, PROBES))
+        self.table = Table()
 
     def whole(self, word: str) -> bytes:
         return array("H", self.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def word(self, word: str) -> bytes:
-        if self.short:
-            head = word.rstrip(MARKS)
-            low = head.lower()
-            if head.isalpha() and (low.isascii() or max(low) < "\u0100"):
-                chars = low if low.isascii() else low.encode().decode("latin-1").translate(ALPHABET)
-                ids = array("H", [t.id for t in self.model.tokenize(chars)]).tobytes()
-                return ids if len(head) == len(word) else ids + self.behind(word[len(head) :])
-        return self.whole(word)
-
-    def behind(self, marks: str) -> bytes:
-        if marks not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[marks] = self.whole(marks)
-        return self.marks[marks]
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words without line feeds."""
+        if not self.short:
+            return [self.whole(w) for w in words]
+        lows = [w.lower() if w.isalpha() else "" for w in words]
+        lows = [x if x.isascii() or max(x) < "\u0100" else "" for x in lows]
+        asked = [x for x in lows if x]
+        found = chain.from_iterable(self.heads(asked[i : i + ASKED]) for i in range(0, len(asked), ASKED))
+        return [next(found) if x else self.whole(w) for w, x in zip(words, lows, strict=True)]
+
+    def heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters in lower case, from one call of the model."""
+        found = self.model.encode(codecs.charmap_decode("\n".join(heads).encode(), "strict", LINES)[0], add_special_tokens=False)
+        ids, stops = np.array(found.ids, np.uint16).tobytes(), (2 * np.cumsum(np.bincount(found.word_ids, minlength=len(heads)))).tolist()
+        return [ids[a:z] for a, z in zip([0, *stops], stops)]  # noqa: B905
+
+    def parted(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """data with words of Latin letters in lower case, and where words and the marks behind such words start and stop."""
+        starts, stops = self.splitter.spans(data, offsets)
+        if not self.short:
+            return data, starts, stops
+        kinds = looked_up(KINDS, data)
+        second = np.zeros(len(data), bool)  # bytes of letters of two
+        second[1:] = (data[:-1] == 0xC3) & (kinds[1:] & SECOND > 0)
+        second[offsets[offsets < len(data)]] = False
+        odd = (kinds != LETTER) & ~second  # not of letters
+        odd[:-1] &= ~second[1:]
+        ends, some = stops.copy(), np.arange(len(stops))
+        for _ in range(BEHIND):
+            some = some[(ends[some] > starts[some]) & (kinds[ends[some] - 1] == MARK)]
+            ends[some] -= 1
+        n = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(odd, out=n[1:])
+        latin = (ends > starts) & (n[ends] == n[starts])
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[latin]] += 1
+        inside[ends[latin]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        low = np.where(inside, looked_up(LOWER, data), data)
+        low[np.flatnonzero(second & inside & (kinds & CAPITAL > 0))] += 32
+        cuts = ends[latin & (ends < stops)]
+        return low, *(np.sort(np.append(x, cuts)) for x in (starts, stops))
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """16-bit ids of all texts data[offsets[i]:offsets[i + 1]] in turn, each with its end, and how many each has."""
-        hashes, starts, stops = self.splitter.of(data, offsets)
-        values, at = np.unique(hashes, return_inverse=True)
+        if not len(data):
+            return np.full(len(offsets) - 1, END, np.uint16), np.ones(len(offsets) - 1, np.int64)
+        raw, starts, stops = self.parted(data, offsets)
+        values, at = np.unique(hashed(raw, starts, stops), return_inverse=True)
         first, size = self.table.find(values)
         if len(new := np.flatnonzero(size < 0)):
             last = np.zeros(len(values), np.int64)
             last[at] = np.arange(len(at))
-            raw = data.tobytes()
-            found = [self.word(raw[a:z].decode("utf-8", "replace")) for a, z in zip(starts[last[new]].tolist(), stops[last[new]].tolist(), strict=True)]
-            self.table.add(values[new], found)
+            raw = raw.tobytes()
+            words = b"\n".join([raw[a:z] for a, z in zip(starts[last[new]].tolist(), stops[last[new]].tolist(), strict=True)])
+            self.table.add(values[new], self.words(words.decode("utf-8", "replace").split("\n")))
             first, size = self.table.find(values) if len(self.table.flat) else (first, size)
             if (size < 0).any():  # the table was full, and forgot
                 return self.of(data, offsets)
@@ -150,6 +198,15 @@ class Encoder:
         return out, total
 
 
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder. Functions travel by value with each task, so it is kept in a module that stays."""
+    kept = vars(sys).setdefault("_myospark_encoders", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -170,7 +227,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     schema = "doc_id long, doc_tokens long, start long, length int, near int, ids_crc32 long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for b in batches:
             for begin, data, offsets in pieces(b.column(1), ENCODED):
                 ids, sizes = encoder.of(data, offsets)

@@ -143,6 +143,23 @@ def test_encoder_against_the_tokenizer():
             assert ids[ends[i] - n[i] : ends[i] - 1].tolist() == e.encode(words[first + i], add_special_tokens=False).ids
 
 
+def test_encoder_asks_once_for_words_in_any_case_with_any_marks():
+    """Few ids are remembered, and those of another task too; texts apart and long runs of marks are as the tokenizer has them."""
+    e = packing.encoder_of(TOKENIZER)
+    assert packing.encoder_of(TOKENIZER) is e
+    asked, words = [], e.words
+    e.words = lambda some: asked.extend(some) or words(some)
+    heads = ["Erkeit", "ERKEIT", "erkeit", "Über", "ÜBER", "über"]
+    texts = [" ".join(h + m for h in heads for m in ("", ".", "!!", "$$$", ".***")), "über" + "!" * 40, "", "a\xd7b µM. <|endoftext|>!", "Ã", "é.", "x" + "." * 8 + " y" + "." * 9]
+    raw = [t.encode() for t in texts] + [b"ab\xc3", b"\xa9cd!", b"\xc3\x89\xc3!"]
+    for _ in range(2):
+        ids, n = e.of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    ends = np.cumsum(n)
+    for t, a, z in zip(raw, ends - n, ends, strict=True):
+        assert ids[a:z].tolist() == [*e.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 2]
+    assert len(asked) == len(set(asked)) < 25 and {"erkeit", "über", "!!", ".***"} <= set(asked)
+
+
 def test_index_scores():
     docs = [np.array(x, np.uint16) for x in ([5, 6, 7, 7], [7, 7, 8], [9, 9, 9])]
     idf = np.ones(packing.VOCABULARY)
