@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from myospark.llm.words import Splitter, hashed, looked_up, mix, pieces, powers
-from myospark.session import cut, ensure_workers
+from myospark.session import cut, ensure_workers, give_back
 
 WINDOW, END = 4096, 2
 #: Tokens of one shard, about; token ids are below VOCABULARY.
@@ -41,7 +41,7 @@ SHINGLE = 8
 #: Ranges that are split are broadcast up to this number.
 BROADCAST_RANGES = 100_000
 #: Words whose ids a worker remembers from task to task (30 bytes each); bytes of texts encoded together, about; words asked for in one call.
-REMEMBERED, ENCODED, ASKED = 1_000_000, 1 << 20, 512
+REMEMBERED, ENCODED, ASKED = 1_000_000, 1 << 19, 512
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, score double"
 
@@ -227,6 +227,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     schema = "doc_id long, doc_tokens long, start long, length int, near int, ids_crc32 long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = encoder_of(path)
         for b in batches:
             for begin, data, offsets in pieces(b.column(1), ENCODED):
@@ -358,6 +359,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", sh
     idf, mean = term_weights(rest)
 
     def run(group: pa.Table) -> pa.Table:
+        give_back()
         group = group.take(pa.array(np.lexsort([group[c].to_numpy() for c in ("row", "near")])))
         ids = [np.frombuffer(x, np.uint16) for x in group["ids"].to_pylist()]
         filled = list(zip(*fill([len(x) for x in ids], Index(ids, idf, mean)), strict=True))

@@ -160,6 +160,25 @@ def test_encoder_asks_once_for_words_in_any_case_with_any_marks():
     assert len(asked) == len(set(asked)) < 25 and {"erkeit", "über", "!!", ".***"} <= set(asked)
 
 
+def test_encoding_holds_little_memory():
+    """Of 4 MB of texts a worker holds arrays for a piece of half a megabyte at a time, and freed memory can be given back."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from myospark.llm.words import pieces
+    from myospark.session import give_back
+
+    e, text = packing.encoder_of(TOKENIZER), pa.array(["the quick brown fox, " * 200] * 1000)
+    tracemalloc.start()
+    for _, data, offsets in pieces(text, packing.ENCODED):
+        e.of(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    give_back()
+
+
 def test_index_scores():
     docs = [np.array(x, np.uint16) for x in ([5, 6, 7, 7], [7, 7, 8], [9, 9, 9])]
     idf = np.ones(packing.VOCABULARY)
