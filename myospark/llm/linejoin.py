@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from myospark.llm.components import connected
 from myospark.llm.spread import BROADCAST_ROWS, fresh, join_dealt, numbered, small, written
 from myospark.llm.words import BETWEEN_BLANKS, Splitter, mix, pieces
-from myospark.session import batch_rows, cut, ensure_workers
+from myospark.session import batch_rows, cut, ensure_workers, give_back
 
 #: Jaccard threshold, as a fraction.
 UP, DOWN = 4, 5
@@ -164,6 +164,7 @@ def line_rows(docs: DataFrame, levels: np.ndarray, whole: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in LINE.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         lines = Lines(levels)
         for b in batches:
             for piece in pieces(b.column(2)):

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import codecs
 import os
-import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from myospark.llm.words import Splitter, hashed, looked_up, mix, pieces, powers
-from myospark.session import cut, ensure_workers, give_back
+from myospark.session import cut, ensure_workers, give_back, kept
 
 WINDOW, END = 4096, 2
 #: Tokens of one shard, about; token ids are below VOCABULARY.
@@ -199,12 +198,8 @@ class Encoder:
 
 
 def encoder_of(path: str) -> Encoder:
-    """This process's encoder. Functions travel by value with each task, so it is kept in a module that stays."""
-    kept = vars(sys).setdefault("_myospark_encoders", {})
-    if path not in kept:
-        kept.clear()
-        kept[path] = Encoder(path)
-    return kept[path]
+    """This process's encoder."""
+    return kept(path, lambda: Encoder(path))
 
 
 def crc(ids: np.ndarray) -> int:
@@ -227,7 +222,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     schema = "doc_id long, doc_tokens long, start long, length int, near int, ids_crc32 long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back(path)
         encoder = encoder_of(path)
         for b in batches:
             for begin, data, offsets in pieces(b.column(1), ENCODED):
@@ -359,7 +354,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", sh
     idf, mean = term_weights(rest)
 
     def run(group: pa.Table) -> pa.Table:
-        give_back()
+        give_back(path)
         group = group.take(pa.array(np.lexsort([group[c].to_numpy() for c in ("row", "near")])))
         ids = [np.frombuffer(x, np.uint16) for x in group["ids"].to_pylist()]
         filled = list(zip(*fill([len(x) for x in ids], Index(ids, idf, mean)), strict=True))

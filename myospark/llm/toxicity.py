@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from myospark.llm import linear
 from myospark.llm.spread import fresh
-from myospark.session import ensure_workers
+from myospark.session import ensure_workers, give_back
 
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7, 8)
@@ -94,6 +94,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", threshold: float =
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def probabilities(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         vectors = linear.Vectors(chain.features, word_features, no_features)
         for texts in it:
             yield pd.DataFrame(linear.sigmoid(chain.odds([vectors.of(t) for t in texts])), columns=names)
