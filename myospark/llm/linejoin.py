@@ -182,24 +182,34 @@ def line_classes(lines: DataFrame) -> DataFrame:
     return written(found.select(F.monotonically_increasing_id().alias("id"), "class", "twin", "held", own, "x.n", "x.sketch0", "x.sketch1", "x.wide", "x.keys"))
 
 
-def folded(sketches: dict[int, np.ndarray]) -> dict[int, dict[int, np.ndarray]]:
-    """The wide sketches (by row) by width, each in all widths from its own down to 4 words."""
-    out: dict[int, dict[int, np.ndarray]] = {}
-    for row, x in sketches.items():
-        while len(x) > 2:
-            out.setdefault(len(x), {})[row] = x
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return out
-
-
-def join_lists(key: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[np.ndarray], wide: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes that pass the filters, rows sorted by (key, n): as many as connect what they connect."""
-    by_width, root, out, d = folded(wide), np.arange(len(key)), [], 1
-    i = np.arange(len(key))
+class Wide:
+    """The wide sketches of rows, null where lines are short. Two are compared at the lesser of their widths, folded when that is asked."""
+
+    def __init__(self, sketches: pa.ListArray):
+        self.bits, self.edges = sketches.values.to_numpy().view(np.uint64), sketches.offsets.to_numpy()
+        self.known = sketches.is_valid().to_numpy(zero_copy_only=False)
+
+    def apart(self, x: int, y: int) -> int:
+        """Bits that tell x from y; 0 where one has no wide sketch."""
+        if not self.known[x] or not self.known[y]:
+            return 0
+        a, b = (self.bits[self.edges[i] : self.edges[i + 1]] for i in (x, y))
+        while len(a) != len(b):
+            a, b = (a, b) if len(a) > len(b) else (b, a)
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        return int(np.bitwise_count(a ^ b).sum())
+
+
+def join_lists(key: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray, sketches: list[np.ndarray], wide: Wide, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes that pass the filters, rows sorted by (key, n): as many as connect what they connect. at: where rows stand in wide."""
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    list_ = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    root, out, d = np.arange(len(key)), [], 1
+    i = np.flatnonzero((UP + DOWN) * (n - pos) >= 2 * UP * n)  # from elsewhere no later row is in reach
     while True:
         i = i[i < len(key) - d]
         j = i + d
-        going = (key[i] == key[j]) & (UP * n[j] <= DOWN * n[i])  # later rows of a list are longer
+        going = (list_[i] == list_[j]) & (UP * n[j] <= DOWN * n[i])  # later rows of a list are longer
         i = i[going]
         if not len(i):
             break
@@ -211,14 +221,9 @@ def join_lists(key: np.ndarray, cls: np.ndarray, n: np.ndarray, pos: np.ndarray,
         apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in sketches)
         near = (UP + DOWN) * apart <= (DOWN - UP) * total[some]
         for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            if root[x] == root[y]:
+            if root[x] == root[y] or (UP + DOWN) * wide.apart(at[x], at[y]) > (DOWN - UP) * (n[x] + n[y]):
                 continue
-            if x in wide and y in wide:
-                k = min(len(wide[x]), len(wide[y]))
-                if (UP + DOWN) * int(np.bitwise_count(by_width[k][x] ^ by_width[k][y]).sum()) > (DOWN - UP) * (n[x] + n[y]):
-                    continue
-            first, last = np.searchsorted(key, key[x]), np.searchsorted(key, key[x], "right")
-            part = root[first:last]
+            part = root[edges[list_[x]] : edges[list_[x] + 1]]
             part[part == root[y]] = root[x]
             out.append((cls[x], cls[y]))
         d += 1
@@ -249,42 +254,37 @@ def postings(classes: DataFrame) -> DataFrame:
     return posted.where(~often).unionByName(paired.withColumn("key", key).select(*posted.columns))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): ids of classes that some prefix word's list connects after the filters."""
-    posted = postings(classes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
+def join_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of classes that lists connect: batches of postings, in the order of their keys."""
+    kept: list[pa.RecordBatch] = []
+
+    def joined(t: pa.Table) -> pa.RecordBatch:
+        packed, n = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64)
+        key = packed >> POSITION_BITS
+        starts = np.concatenate([[True], key[1:] != key[:-1]])
+        list_ = np.cumsum(starts) - 1
+        some = np.flatnonzero(np.bincount(list_)[list_] > 1)
+        at = some[np.argsort(list_[some] << 32 | n[some], kind="stable")]
+        pos, sketches = packed[at] & ((1 << POSITION_BITS) - 1), [t[c].to_numpy().view(np.uint64)[at] for c in ("sketch0", "sketch1")]
+        a, b = join_lists(key[at], t["id"].to_numpy()[at], n[at], pos, sketches, Wide(t["wide"].combine_chunks()), at)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for b in batches:
+        kept.append(b)
+        if sum(x.num_rows for x in kept) >= BUFFER:
+            t = pa.Table.from_batches(kept)
+            key = t["key"].to_numpy() >> POSITION_BITS
+            end = int(np.searchsorted(key, key[-1]))  # the last list may go on
+            if end:
+                yield joined(t.slice(0, end))
+                kept = t.slice(end).to_batches()
+    if kept:
+        yield joined(pa.Table.from_batches(kept))
 
-        def joined(t: pa.Table) -> pa.RecordBatch:
-            packed, n, cls = t["key"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["id"].to_numpy()
-            order = np.lexsort((cls, n, packed >> POSITION_BITS))
-            packed, n, cls = packed[order], n[order], cls[order]
-            key, pos = packed >> POSITION_BITS, packed & ((1 << POSITION_BITS) - 1)
-            starts = np.concatenate([[True], key[1:] != key[:-1]])
-            lengths = np.bincount(np.cumsum(starts) - 1)
-            rows = np.flatnonzero(np.repeat(lengths, lengths) > 1)
-            from_ = order[rows]
-            a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if len(rows):
-                some = t["wide"].combine_chunks().take(pa.array(from_))
-                wide = {i: np.array(some[i].as_py(), np.int64).view(np.uint64) for i in np.flatnonzero(some.is_valid().to_numpy(zero_copy_only=False)).tolist()}
-                a, b = join_lists(key[rows], cls[rows], n[rows], pos[rows], [t[c].to_numpy().view(np.uint64)[from_] for c in ("sketch0", "sketch1")], wide)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        for b in batches:
-            kept.append(b)
-            if sum(x.num_rows for x in kept) >= BUFFER:
-                t = pa.Table.from_batches(kept)
-                key = t["key"].to_numpy() >> POSITION_BITS
-                end = int(np.searchsorted(key, key[-1]))  # the last list may go on
-                if end:
-                    yield joined(t.slice(0, end))
-                    kept = t.slice(end).to_batches()
-        if kept:
-            yield joined(pa.Table.from_batches(kept))
-
-    return posted.repartition(F.shiftright("key", POSITION_BITS)).sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): ids of classes that some prefix word's list connects after the filters."""
+    return postings(classes).repartition(F.shiftright("key", POSITION_BITS)).sortWithinPartitions("key").mapInArrow(join_postings, "a long, b long")
 
 
 def compare(keys: list[np.ndarray], n: np.ndarray, rows: np.ndarray, columns: np.ndarray, first: int | None = None) -> np.ndarray:

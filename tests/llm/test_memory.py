@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from myospark import session
-from myospark.llm import decontamination, linear, nearcopies, toxicity
+from myospark.llm import decontamination, linear, linejoin, nearcopies, toxicity
 from myospark.llm.words import pieces
 
 
@@ -72,3 +72,47 @@ def test_what_is_kept_between_tasks():
     two = session.kept("two", list)
     assert session.kept("one", list) is not two and session.kept("two", list) is not two
     session.give_back()
+
+
+def test_wide_sketches_are_folded_when_asked(monkeypatch):
+    """Postings of long lines stay in Arrow, and as few sketches are folded as pairs pass the other filters; links are those of plain pairs."""
+    rng = np.random.default_rng(8)
+    rows, lists = 40_000, 8_000
+    key, n, width = np.sort(rng.integers(0, lists, rows)), rng.integers(200, 400, rows).astype(np.int32), rng.choice([8, 16], rows)
+    base = rng.integers(0, 1 << 63, (lists, 18))
+    noise = np.where(rng.random(rows) < 0.02, 0, 1)[:, None] * rng.integers(0, 1 << 63, (rows, 18))  # of a list, a few rows are alike
+    bits = base[key] ^ noise
+    wide = [b[2 : 2 + w] for b, w in zip(bits, width, strict=True)]
+    wide = pa.ListArray.from_arrays(np.append(0, np.cumsum(width)).astype(np.int32), pa.array(np.concatenate(wide)))
+    columns = {"key": key << linejoin.POSITION_BITS, "id": np.arange(rows), "n": n, "sketch0": bits[:, 0], "sketch1": bits[:, 1]}
+    table = pa.table({k: pa.array(v) for k, v in columns.items()} | {"wide": wide})
+    monkeypatch.setattr(linejoin, "BUFFER", rows // 4)
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(linejoin.join_postings(iter(table.to_batches(1000)))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    root = {i: i for i in range(rows)}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def fold(x, k):
+        while len(x) > k:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
+
+    linked, sketches = [], wide.to_pylist()
+    for a, b in ((i, j) for i in range(rows) for j in range(i + 1, min(i + 60, rows)) if key[i] == key[j]):
+        total, k = int(n[a]) + int(n[b]), min(width[a], width[b])
+        if 9 * min(n[a], n[b]) < 4 * total or 9 * int(np.bitwise_count(bits[a, :2] ^ bits[b, :2]).sum()) > total:
+            continue
+        if 9 * int(np.bitwise_count(fold(np.array(sketches[a]), k) ^ fold(np.array(sketches[b]), k)).sum()) <= total:
+            linked.append((a, b))
+    got = list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+    assert np.bincount(key).max() < 60 and got and {tuple(sorted(p)) for p in got} <= set(linked)
+    for a, b in got:
+        root[top(a)] = top(b)
+    assert all(top(a) == top(b) for a, b in linked)
+    assert peak < 8 << 20
