@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from myospark.session import ensure_checkpoints
+from myospark.session import ensure_checkpoints, release
 
 #: Keys that hold more than LEAST rows are dealt over several tasks, the MOST largest of them; any other key holds less
 #: than one row in MOST. Their list is broadcast (MOST rows at most).
@@ -31,6 +31,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoints(spark)
+    release(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import time
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from myospark import session
-from myospark.llm import decontamination, linear, linejoin, nearcopies, toxicity
+from myospark.llm import decontamination, linear, linejoin, nearcopies, spread, toxicity
 from myospark.llm.words import pieces
 
 
@@ -116,3 +118,17 @@ def test_wide_sketches_are_folded_when_asked(monkeypatch):
         root[top(a)] = top(b)
     assert all(top(a) == top(b) for a, b in linked)
     assert peak < 8 << 20
+
+
+def test_shuffles_of_earlier_steps_go_as_tables_are_written(spark):
+    """What a step has shuffled is removed with the second table after it at the latest, though the driver's heap has room for its plan."""
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    held = lambda: int(tracker.shuffleStatuses().size())
+    before = held()
+    for i in range(8):
+        spark.range(100).repartition(3).groupBy((F.col("id") % (i + 2)).alias("k")).count().collect()
+    assert held() >= before + 8
+    for table in (session.cut, spread.written):
+        table(spark.range(10))
+        time.sleep(3)  # Python tells the JVM of dropped frames by and by
+    assert held() <= before
