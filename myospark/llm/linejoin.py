@@ -50,8 +50,8 @@ SKETCH = 64
 LINE = "class long, twin long, doc_id long, row long, line_no int, n int, sketch0 long, sketch1 long, wide array<long>, keys array<long>"
 
 
-def word_levels(docs: DataFrame) -> np.ndarray:
-    """The binary logarithm of the number of words in each of BUCKETS hash buckets, plus 1; 0 for none.
+def word_levels(docs: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
+    """The binary logarithm of the number of words in each of 2^bits hash buckets, plus 1; 0 for none.
 
     A word whose bucket holds 1 is nowhere else. Tasks send on blocks of counts, which are added up block by block.
     """
@@ -70,7 +70,7 @@ def word_levels(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for _, data, offsets in pieces(b.column(0)):
                 hashes, _, _ = splitter.of(data, offsets)
-                kept.append((hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
+                kept.append((hashes >> np.uint64(64 - bits)).astype(np.uint32))
                 held += len(hashes)
                 if held > COUNTED:
                     yield from sent()
@@ -85,7 +85,7 @@ def word_levels(docs: DataFrame) -> np.ndarray:
 
     counts = docs.select(F.col("text").cast("binary")).mapInArrow(run, "block int, bucket array<int>, n array<int>")
     found = counts.groupBy("block").applyInArrow(add, "block int, levels binary").toArrow()  # as many bytes as buckets, at most
-    out = np.zeros((1 << (BUCKET_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+    out = np.zeros((1 << (bits - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
     for block, levels in zip(found["block"].to_pylist(), found["levels"].to_pylist(), strict=True):
         out[block] = np.frombuffer(levels, np.uint8)
     return out.ravel()

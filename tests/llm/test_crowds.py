@@ -108,3 +108,39 @@ def test_a_chain_is_not_compared_with_itself(spark, monkeypatch):
     got = linejoin.similar_lines(corpus(spark, [(i, "\n".join(lines[i : i + 50])) for i in range(0, 5000, 50)])).groupBy("n_links").count().collect()
     assert {r["n_links"]: r["count"] for r in got} == {1: 2, 2: 4998}
     assert met[-1] <= 5000 * 6  # a row for each class and prefix word
+
+
+@pytest.fixture
+def posted(monkeypatch):
+    """How many rows each pass over the prefixes leaves."""
+    rows, plain = [], nearcopies.Classes.posted
+
+    def spy(self, ranked):
+        found = plain(self, ranked)
+        rows.append(found.count())
+        return found
+
+    monkeypatch.setattr(nearcopies.Classes, "posted", spy)
+    return rows
+
+
+def test_prefixes_take_shingles_of_rare_words(spark, posted, monkeypatch):
+    """Unlike documents share shingles of frequent words by chance, the more the more documents there are; those stay out of the prefixes."""
+    monkeypatch.setattr(nearcopies, "COUNT_DOCS", 2)  # the sample says nothing about them
+    rng, often = random.Random(9), "the of and to in is on at".split()
+    texts = [" ".join([*rng.choices(often, k=30), *(f"own{i}x{j}" for j in range(30))]) for i in range(600)]
+    texts += [t + " tail" for t in texts[:20]]
+    kept = nearcopies.keep_one(corpus(spark, list(enumerate(texts)))).count()
+    assert kept == 600
+    assert len(posted) == 1 and posted[0] <= 20 * 2 * 12, posted
+
+
+def test_few_crowds_take_no_further_pass(spark, posted, compared, monkeypatch):
+    """Prefixes are taken again only where crowded shingles would make more pairs than all others may."""
+    monkeypatch.setattr(nearcopies, "CROWD", 8)
+    texts = [f"{prose(12, 20_000)} {prose(40, 21_000 + i)}" for i in range(10)]
+    texts += [f"{prose(12, 22_000 + i // 2)} {prose(40, 23_000 + i)}" for i in range(120)]
+    texts += [t + " tail" for t in texts[::10]]
+    kept = nearcopies.keep_one(corpus(spark, list(enumerate(texts)))).count()
+    assert kept == components([plain_sets(t, 5) for t in texts]) == 130
+    assert len(posted) == 1, posted
