@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ MOST, LEAST = 10_000, 1_000
 #: Ids and classes are broadcast up to this number (50 bytes each at most); beyond it they are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
+_open: list[list[str]] = []
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """A name that no column of df has."""
@@ -24,15 +28,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+@contextmanager
+def tables(made: list[str]) -> Iterator[None]:
+    """made: gets the folders of the tables that are written inside."""
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the shared checkpoint folder: later reads take only the columns they need.
 
-    Like a checkpoint's files, the table stays until that folder is cleared.
+    Like a checkpoint's files, the table stays until that folder is cleared, or until who asked for its name (`tables`) removes it.
     """
     spark = df.sparkSession
     ensure_checkpoints(spark)
     release(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    for made in _open:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
