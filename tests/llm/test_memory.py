@@ -135,6 +135,10 @@ def test_shuffles_of_earlier_steps_go_as_tables_are_written(spark):
     assert held() <= before
 
 
+def test_driver_returns_native_memory(spark):
+    assert session.trim(spark).startswith("Trim native heap")
+
+
 def test_stages_remove_the_tables_of_those_before(spark):
     """What a stage has written for itself goes when the next one begins, but for what the next one still reads."""
     import corpus_pipeline as p
